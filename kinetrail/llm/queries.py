@@ -28,6 +28,20 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.lines import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.substrings import dedup_substrings
 
@@ -35,6 +49,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.ngram_join import ngram_groups
+
+    return ngram_groups(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.language import fit, held_out, identify
 
@@ -54,5 +74,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op5_substring_dedup, op7_language_id, op8_decontamination, op9_bpe_round_trip)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.secrets import digest, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "stop", "form", digest(F.col("candidate")).alias("candidate_sha256"), "score", "is_secret")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan)}
 ORACLES: dict[str, str] = {}

@@ -102,3 +102,25 @@ def edits(a, b, bound):
 
 def crc(x: bytes) -> int:
     return zlib.crc32(x)
+
+
+def lines(docs, least=5, fuzzy=8):
+    """docs: (doc_id, text) -> {doc_id: (n_lines, removed line numbers)}."""
+    before, out = [], {}
+    exact = set()
+    for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0])):
+        ls = t.split("\n") if t else []
+        if ls and ls[-1] == "":
+            ls.pop()
+        gone = []
+        for i, line in enumerate(ls):
+            w = tuple(spaced(line))
+            if len(w) < least:
+                continue
+            if w in exact or len(w) >= fuzzy and any(len(b) >= fuzzy and edits(w, b, 1) <= 1 for b in before if abs(len(b) - len(w)) <= 1 and (b[: len(b) // 2 - 1] == w[: len(b) // 2 - 1] or b[-(len(b) // 2 - 1) :] == w[-(len(b) // 2 - 1) :])):
+                gone.append(i)
+            if w not in exact:
+                before.append(w)
+                exact.add(w)
+        out[d] = (len(ls), gone)
+    return out
