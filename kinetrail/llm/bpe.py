@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of chunks; it is emptied when full.
-MEMORY = 800_000
+MEMORY = 1_200_000
+#: Rows that are encoded together.
+GROUP = 256
 
 
 def alphabet() -> dict[str, int]:
@@ -154,45 +156,35 @@ class Codec:
             ids = self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]]
             into[c] = (",".join([shown[i] for i in ids]), b"".join([raw[i] for i in ids]))
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """Ids of a text: decimal, comma-joined, and as bytes of the codec's width."""
-        if self.splitter and any(s in text for s in self.special):
-            done = [(str(self.special[x]), np.array([self.special[x]], self.width).tobytes()) if x in self.special else self._encode(x) for x in self.splitter.split(text) if x]
-            return ",".join(x for x, _ in done), b"".join(b for _, b in done)
-        return self._encode(text)
-
-    def _encode(self, text: str) -> tuple[str, bytes]:
-        if not text:
-            return "", b""
-        if self.amid(text):  # a space inside a longer run of white space: no cutting at spaces
-            ids = []
-            pieces = self.find(text)
-            new = [p for p in dict.fromkeys(pieces) if p not in self.pieces]
-            self.pieces.update(zip(new, self.encode_pieces([p.encode().decode("latin-1") for p in new])))
-            for p in pieces:
-                ids += self.pieces[p]
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            return ",".join(map(str, ids)), np.array(ids, self.width).tobytes()
-        # A space that has no white space before or after it starts a piece: these chunks encode on their own.
-        chunks = text.split(" ")
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """Ids of each text: decimal, comma-joined, and as bytes of the codec's width."""
+        if not self.special or not any(x in t for t in texts for x in self.special):
+            return self._encode(texts)
+        parts = [[x for x in self.splitter.split(t) if x] for t in texts]  # special tokens stand alone
+        flat = iter(self._encode([x for p in parts for x in p if x not in self.special]))
+        out = []
+        for p in parts:
+            done = [(self.shown[self.special[x]], self.raw[self.special[x]]) if x in self.special else next(flat) for x in p]
+            out.append((",".join(x for x, _ in done), b"".join(y for _, y in done)))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        # A space that has no white space before or after it starts a piece: the chunks between encode on their own.
         first, rest = self.seen
-        if len(rest) > MEMORY:
-            rest.clear()
-        if len(first) > MEMORY:
-            first.clear()
-        head = chunks[0]
-        if head not in first:
-            self.learn({head}, "", first)
-        if missing := {c for c in chunks[1:] if c not in rest}:
-            self.learn(missing, " ", rest)
-        done = [first[head], *map(rest.__getitem__, chunks[1:])]
-        if not head:
-            done = done[1:]
-        if not done:
-            return "", b""
-        shown, raw = zip(*done)
-        return ",".join(shown), b"".join(raw)
+        for memory in (first, rest):
+            if len(memory) > MEMORY:
+                memory.clear()
+        cut = [[t] if self.amid(t) else t.split(" ") for t in texts]  # a space inside a longer run: not cut
+        heads, chunks = {cs[0] for cs in cut}, set().union(*(cs[1:] for cs in cut))
+        self.learn(heads.difference(first), "", first)
+        self.learn(chunks.difference(rest), " ", rest)
+        have = {c: rest[c] for c in chunks}.__getitem__
+        out = []
+        for cs in cut:
+            done = [first[cs[0]], *map(have, cs[1:])] if cs[0] else list(map(have, cs[1:]))
+            shown, raw = zip(*done) if done else ((), ())
+            out.append((",".join(shown), b"".join(raw)))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: each token's bytes are gathered from one block by its offset; broken UTF-8 shows U+FFFD."""
@@ -220,10 +212,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             ids, texts = [], []
-            for t in batch.column("text").to_pylist():
-                raw = np.frombuffer(c.encode(t or "")[1], c.width)
-                ids.append(pa.array(raw.astype(np.int32)))
-                texts.append(c.decode(raw))
+            for a in range(0, batch.num_rows, GROUP):
+                for _, data in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
+                    raw = np.frombuffer(data, c.width)
+                    ids.append(pa.array(raw.astype(np.int32)))
+                    texts.append(c.decode(raw))
             sizes = np.array([len(x) for x in ids], np.int32)
             flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
@@ -241,12 +234,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         for batch in batches:
             n, shown, decoded = [], [], []
-            for t in batch.column("text"):
-                text, raw = c.encode(t.as_py() or "")
-                ids = np.frombuffer(raw, c.width)
-                n.append(len(ids))
-                shown.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+            for a in range(0, batch.num_rows, GROUP):
+                for text, raw in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
+                    ids = np.frombuffer(raw, c.width)
+                    n.append(len(ids))
+                    shown.append(hashlib.sha256(text.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")

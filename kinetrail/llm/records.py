@@ -75,29 +75,43 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.whole = regex.compile("|".join([r"\s \s", *(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])).search
+        self.amid = regex.compile(r"\s \s").search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.seen: dict[str, bytes] = {}
+        # a token that starts with a space starts a chunk
+        vocab = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[v for k, v in vocab.items() if k.startswith("\u0120")]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def learn(self, chunks: list[str]) -> None:
+        """Adds the ids of chunks, each after a space. Those without white space at their ends go many to a text."""
+        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+        parts = [plain[a : a + 2000] for a in range(0, len(plain), 2000)]
+        for part, got in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(part) for part in parts], add_special_tokens=False)):
+            ids = np.array(got.ids, self.dtype)
+            cut = np.append(np.flatnonzero(self.leads[ids]), len(ids)) * self.width
+            raw, at = ids.tobytes(), cut.tolist()
+            if len(at) != len(part) + 1:
+                raise AssertionError("the tokenizer doesn't start a token at each space")
+            self.seen.update((c, raw[x:y]) for c, x, y in zip(part, at, at[1:]))
+        if len(plain) < len(chunks):
+            known = set(plain)
+            self.seen.update((c, self.ids(" " + c)) for c in chunks if c not in known)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
         if len(seen) > MEMORY:
             seen.clear()
-        cut = [None if self.whole(t) else t.split(" ") for t in texts]
-        missing = list({c for cs in cut if cs is not None for c in cs[1:] if c not in seen})
-        for a in range(0, len(missing), 10_000):
-            part = missing[a : a + 10_000]
-            got = self.tokenizer.encode_batch_fast([" " + c for c in part], add_special_tokens=False)
-            sizes = [len(e) for e in got]
-            flat = np.array([i for e in got for i in e.ids], self.dtype).tobytes()
-            at = 0
-            for c, n in zip(part, sizes):
-                seen[c] = flat[at : at + n * self.width]
-                at += n * self.width
-        return [self.ids(t) + self.end if cs is None else b"".join([self.ids(cs[0]) if cs[0] else b"", *map(seen.__getitem__, cs[1:]), self.end]) for t, cs in zip(texts, cut)]
+        cut = [None if self.amid(t) or any(x in t for x in self.special) else t.split(" ") for t in texts]
+        chunks = set().union(*(cs[1:] for cs in cut if cs is not None))
+        if missing := chunks.difference(seen):
+            self.learn(sorted(missing))
+        have = {c: seen[c] for c in chunks}.__getitem__
+        return [self.ids(t) + self.end if cs is None else b"".join([self.ids(cs[0]) if cs[0] else b"", *map(have, cs[1:]), self.end]) for t, cs in zip(texts, cut)]
 
 
 @functools.lru_cache(2)
