@@ -21,6 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinetrail.llm.bpe import alphabet
 from kinetrail.llm.common import parallelism, scratch
 
 #: Fixed value of checksum masks.
@@ -28,7 +29,9 @@ MASK = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 PAYLOAD = struct.Struct("<BBq")
 #: Entries of a worker's memory of encoded chunks; it is emptied when full.
-MEMORY = 800_000
+MEMORY = 2_000_000
+#: Rows that are encoded together.
+GROUP = 256
 
 
 def masked(data: bytes) -> int:
@@ -82,14 +85,27 @@ class Encoder:
         # a token that starts with a space starts a chunk
         vocab = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.marks = {m: self.ids(m) for m in ".,"}
+        self.whole = {b: c for c, b in alphabet().items()}
+        self.pack = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)]
         self.leads[[v for k, v in vocab.items() if k.startswith("\u0120")]] = True
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Adds the ids of chunks, each after a space. Those without white space at their ends go many to a text."""
-        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+    def learn(self, chunks: set[str]) -> None:
+        """Adds the ids of chunks, each after a space. Latin letters before a final mark are a piece of their own, known
+        from elsewhere more often than not; chunks without white space at their ends go many to a text."""
+        seen = self.seen
+        marked = [c for c in chunks if c[-1:] in self.marks and c[:-1].isalpha() and max(c) < "\u0250"]
+        todo = sorted(chunks.difference(marked).union({x for c in marked if (x := c[:-1]) not in seen}))
+        tokenize, whole = self.tokenizer.model.tokenize, self.whole
+        words = {c for c in todo if c.isalpha() and max(c) < "\u0250"}  # one piece each: no pre-tokenizer needed
+        for c in words:
+            raw = [t.id for t in tokenize("\u0120" + (c if c.isascii() else c.encode().decode("latin-1").translate(whole)))]
+            seen[c] = self.pack[len(raw)](*raw) if len(raw) < 64 else np.array(raw, self.dtype).tobytes()
+        todo = [c for c in todo if c not in words]
+        plain = [c for c in todo if c and not c[0].isspace() and not c[-1].isspace()]
         parts = [plain[a : a + 2000] for a in range(0, len(plain), 2000)]
         for part, got in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(part) for part in parts], add_special_tokens=False)):
             ids = np.array(got.ids, self.dtype)
@@ -97,20 +113,23 @@ class Encoder:
             raw, at = ids.tobytes(), cut.tolist()
             if len(at) != len(part) + 1:
                 raise AssertionError("the tokenizer doesn't start a token at each space")
-            self.seen.update((c, raw[x:y]) for c, x, y in zip(part, at, at[1:]))
-        if len(plain) < len(chunks):
+            seen.update((c, raw[x:y]) for c, x, y in zip(part, at, at[1:]))
+        if len(plain) < len(todo):
             known = set(plain)
-            self.seen.update((c, self.ids(" " + c)) for c in chunks if c not in known)
+            seen.update((c, self.ids(" " + c)) for c in todo if c not in known)
+        for c in marked:
+            seen[c] = seen[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         seen = self.seen
         if len(seen) > MEMORY:
             seen.clear()
         cut = [None if self.amid(t) or any(x in t for x in self.special) else t.split(" ") for t in texts]
-        chunks = set().union(*(cs[1:] for cs in cut if cs is not None))
-        if missing := chunks.difference(seen):
-            self.learn(sorted(missing))
-        have = {c: seen[c] for c in chunks}.__getitem__
+        known = {c: seen.get(c) for c in set().union(*(cs[1:] for cs in cut if cs is not None))}
+        if missing := {c for c, ids in known.items() if ids is None}:
+            self.learn(missing)
+            known.update((c, seen[c]) for c in missing)
+        have = known.__getitem__
         return [self.ids(t) + self.end if cs is None else b"".join([self.ids(cs[0]) if cs[0] else b"", *map(have, cs[1:]), self.end]) for t, cs in zip(texts, cut)]
 
 
@@ -146,8 +165,8 @@ def write_records(docs: DataFrame, path: str, out: str, end_id: int | None = 0,
                 fs.create_dir(folder, recursive=True)
                 stream = fs.open_output_stream(f"{folder}/{name}")
             rows = []
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, GROUP):
+                part = batch.slice(a, GROUP)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()])):
                     data = frame(doc_id, ids, enc.width)
                     stream.write(data)
