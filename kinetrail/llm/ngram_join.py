@@ -4,8 +4,9 @@ Sets are sorted by a global order (the hash of the n-gram). Two sets with Jaccar
 least l of the first n - ceil(t n) + l n-grams of each, so a set whose first n-grams (its signature) are shared with too
 few other sets has no partner. For the rest, the shared n-grams of a signature are reordered, rarest first, and the
 first of those tie candidates together into blocks; frequent passages don't, as they come last. Within a block the whole
-sets stand in a prefix tree: a set walks it once, sharing the overlap with common beginnings, and leaves a subtree as
-soon as what remains of the two can't reach the bound, or when all of it is in the set's own group already.
+sets stand in a prefix tree: a set walks the branches that lead to its candidates, sharing the overlap with common
+beginnings, and leaves a subtree as soon as what remains of the two can't reach the bound. Candidates that links have
+already put in the set's own group are passed over.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from kinetrail.llm.common import keyed, parallelism, stored
 from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
-#: Most sets that one prefix tree holds; a larger block is compared chunk by chunk.
-CHUNK = 2000
+#: Bytes of sets that one prefix tree holds; a larger block is compared chunk by chunk.
+CHUNK = 48 << 20
 
 
 def hashed_sets(w: Words, n: int) -> list[np.ndarray]:
@@ -42,14 +43,14 @@ def set_id(s: np.ndarray) -> int:
 
 
 class Node:
-    __slots__ = ("part", "depth", "children", "low", "high", "ends", "tag")
+    __slots__ = ("part", "depth", "children", "low", "high", "ends", "above", "mark")
 
-    def __init__(self, part: np.ndarray, depth: int):
-        self.part, self.depth = part, depth  # n-grams from the node above to here; how many end here
+    def __init__(self, part: np.ndarray, depth: int, above: Node | None):
+        self.part, self.depth, self.above = part, depth, above  # n-grams from the node above to here; how many end here
         self.children: dict[int, Node] = {}
         self.low, self.high = 1 << 62, 0  # sizes of the sets below
         self.ends: list[int] = []
-        self.tag = -2  # a set of the group that all below belong to; -1: several groups; -2: nothing below
+        self.mark = -1  # the walk that has candidates below
 
 
 class Tree:
@@ -58,8 +59,11 @@ class Tree:
     def __init__(self, percent: int):
         self.percent = percent
         self.sets: list[np.ndarray] = []
-        self.root = Node(np.zeros(0, np.uint64), 0)
+        self.at: list[Node] = []
+        self.root = Node(np.zeros(0, np.uint64), 0, None)
         self.up: list[int] = []
+        self.walks = 0
+        self.by_key: dict[int, dict[int, list[int]]] = {}  # key -> group -> sets
 
     def find(self, a: int) -> int:
         up = self.up
@@ -72,78 +76,97 @@ class Tree:
         a, b = self.find(a), self.find(b)
         self.up[max(a, b)] = min(a, b)
 
-    def add(self, s: np.ndarray, like: int = -1) -> int:
-        """Adds a set, links it; like: an earlier set known to be in its group."""
+    def add(self, s: np.ndarray, keys: list[int], like: int = -1) -> int:
+        """Adds a set and links it with the earlier ones that share a key; like: one known to be in its group."""
         me = len(self.sets)
         self.sets.append(s)
         self.up.append(me)
         if like >= 0:
             self.union(me, like)
-        self._link(me)
+        for group, lists in self._candidates(keys).items():
+            if self.find(group) == self.find(me):
+                continue
+            some = dict.fromkeys(x for found in lists for x in found[-2:])  # of a group, one link is enough
+            if not self._walk(me, some) and any(len(found) > 2 for found in lists):
+                self._walk(me, {x: None for found in lists for x in found if x not in some})
         self._insert(me)
+        group = self.find(me)
+        for k in keys:
+            self.by_key.setdefault(k, {}).setdefault(group, []).append(me)
         return me
 
-    def _link(self, me: int) -> None:
+    def _candidates(self, keys: list[int]) -> dict[int, list[list[int]]]:
+        out: dict[int, list[list[int]]] = {}
+        for k in keys:
+            groups = self.by_key.get(k)
+            if groups:
+                for g in [g for g in groups if self.up[g] != g]:  # merged since
+                    old, root = groups.pop(g), self.find(g)
+                    new = groups.get(root)
+                    if new is None:
+                        groups[root] = old
+                    else:
+                        groups[root] = new + old if len(new) < len(old) else (new.extend(old) or new)
+                for g, found in groups.items():
+                    out.setdefault(g, []).append(found)
+        return out
+
+    def _walk(self, me: int, wanted: dict[int, None]) -> bool:
+        """Links set `me` with those of wanted that are similar enough."""
+        self.walks += 1
+        mark = self.walks
+        for y in wanted:
+            node = self.at[y]
+            while node is not None and node.mark != mark:
+                node.mark = mark
+                node = node.above
         x, p = self.sets[me], self.percent
-        n = len(x)
+        n, linked = len(x), False
         stack = [(self.root, 0, 0)]
         while stack:
             node, pos, shared = stack.pop()
-            if node.tag == -2 or (node.tag >= 0 and self.find(node.tag) == self.find(me)):
-                continue
             if len(node.part):
                 rest = x[pos:]
                 at = np.searchsorted(rest, node.part)
                 inside = at < len(rest)
-                hits = int((rest[at[inside]] == node.part[inside]).sum())
-                shared += hits
+                shared += int((rest[at[inside]] == node.part[inside]).sum())
                 pos += int(np.searchsorted(rest, node.part[-1], side="right"))
             # even if all that is left matched: shared >= p / (100 + p) * (n + size) is needed
             most = shared + min(n - pos, node.high - node.depth)
             if most * (100 + p) < p * (n + node.low):
                 continue
             for y in node.ends:
-                size = len(self.sets[y])
-                if 100 * shared >= p * (n + size - shared):
+                if y in wanted and 100 * shared >= p * (n + len(self.sets[y]) - shared):
                     self.union(me, y)
-            if node.children:
-                own = node.children.get(int(x[pos])) if pos < n else None
-                stack += [(c, pos, shared) for c in node.children.values() if c is not own]
-                if own is not None:  # first
-                    stack.append((own, pos, shared))
+                    linked = True
+            stack += [(c, pos, shared) for c in node.children.values() if c.mark == mark]
+        return linked
 
     def _insert(self, me: int) -> None:
         s = self.sets[me]
         n = len(s)
         node, at = self.root, 0
-        self._note(node, me, n)
-        while at < n:
+        while True:
+            node.low, node.high = min(node.low, n), max(node.high, n)
+            if at == n:
+                break
             child = node.children.get(int(s[at]))
             if child is None:
-                child = node.children[int(s[at])] = Node(s[at:], n)
-                self._note(child, me, n)
-                child.ends.append(me)
-                return
-            k = min(len(child.part), n - at)
-            differ = np.flatnonzero(child.part[:k] != s[at : at + k])
-            k = int(differ[0]) if len(differ) else k
-            if k < len(child.part):  # split
-                upper = Node(child.part[:k], child.depth - len(child.part) + k)
-                upper.low, upper.high, upper.tag = child.low, child.high, child.tag
-                child.part = child.part[k:]
-                upper.children[int(child.part[0])] = child
-                node.children[int(upper.part[0])] = upper
-                child = upper
-            node, at = child, at + k
-            self._note(node, me, n)
+                child = node.children[int(s[at])] = Node(s[at:], n, node)
+            else:
+                k = min(len(child.part), n - at)
+                differ = np.flatnonzero(child.part[:k] != s[at : at + k])
+                k = int(differ[0]) if len(differ) else k
+                if k < len(child.part):  # split
+                    upper = Node(child.part[:k], child.depth - len(child.part) + k, node)
+                    upper.low, upper.high = child.low, child.high
+                    child.part, child.above = child.part[k:], upper
+                    upper.children[int(child.part[0])] = child
+                    node.children[int(upper.part[0])] = upper
+                    child = upper
+            node, at = child, at + len(child.part)
         node.ends.append(me)
-
-    def _note(self, node: Node, me: int, n: int) -> None:
-        node.low, node.high = min(node.low, n), max(node.high, n)
-        if node.tag == -2:
-            node.tag = me
-        elif node.tag >= 0 and self.find(node.tag) != self.find(me):
-            node.tag = -1
+        self.at.append(node)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,38 +208,41 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
         return 1 + k // 20
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal sets of a task give one signature
         for batch in batches:
-            size, ids = [], []
-            for _, _, w in words(batch.column("text"), SPACED, lower=True):
+            ids = batch.column("_id")
+            for a, b, w in words(batch.column("text"), SPACED, lower=True):
+                size, sids, parts = [], [], []
                 for s in hashed_sets(w, n):
+                    sid = set_id(s) if len(s) else None
                     size.append(len(s))
-                    ids.append(set_id(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(size, pa.int32()), pa.array(ids, pa.int64())], ["_id", "n", "sid"])
+                    sids.append(sid)
+                    new = sid is not None and sid not in seen
+                    seen.add(sid)
+                    parts.append(s[: len(s) - alpha(len(s)) + level(len(s))].tobytes() if new else None)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())], ["_id", "n", "sid", "part"])
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal sets of a task count once
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sids, sizes = [], [], []
-            for _, _, w in words(batch.column("text"), SPACED, lower=True):
-                for s in hashed_sets(w, n):
-                    if len(s) and (sid := set_id(s)) not in seen:
-                        seen.add(sid)
-                        part = s[: len(s) - alpha(len(s)) + level(len(s))]
-                        keys.append(part)
-                        sids.append(np.full(len(part), sid))
-                        sizes.append(np.full(len(part), len(s), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))], ["key", "sid", "n"])
-
-    named = stored(slim.mapInArrow(names, "_id long, n int, sid long"), "sets")
-    signed = slim.mapInArrow(signatures, "key long, sid long, n int")
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                parts = some.column("part").to_pylist()
+                sizes = [len(x) // 8 for x in parts]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(some.column("sid").to_numpy(), sizes)), pa.array(np.repeat(some.column("n").to_numpy(), sizes))
+                ], ["key", "sid", "n"])
+
+    named = stored(slim.mapInArrow(names, "_id long, n int, sid long, part binary"), "sets")
+    signed = named.filter("part is not null").select("part", "sid", "n").mapInArrow(opened, "key long, sid long, n int")
+    named = named.drop("part")
     shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
     least_level = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20).cast("int")
     lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
-    rare = lists.filter(F.size("keys") >= least_level).select("sid", F.explode(F.slice("keys", F.lit(1), F.size("keys") - least_level + 1)).alias("k")).select("sid", "k.key")
-    rare = stored(rare, "candidates")
-    centres = stored(rare.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a <> z").select("key", "a"), "centres")
-    blocks = components(rare.join(centres, "key").filter("sid <> a").select(F.col("sid").alias("b"), "a")).select(F.col("node").alias("sid"), F.col("label").alias("block"))
+    rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"))
+    rare = stored(rare.select("sid", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("keys")), "candidates")
+    single = rare.select("sid", F.explode("keys").alias("key"))
+    centres = stored(single.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a <> z").select("key", "a"), "centres")
+    blocks = components(single.join(centres, "key").filter("sid <> a").select(F.col("sid").alias("b"), "a")).select(F.col("node").alias("sid"), F.col("label").alias("block"))
     blocks = stored(blocks, "blocks")
 
     # the whole sets of candidates, from one document of each
@@ -237,7 +263,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["block", "sid", "items"])
 
     picked = slim.join(one.groupBy("_id").agg(F.collect_list(F.struct("sid", "block")).alias("sids")), "_id").select("text", "sids")
-    sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]), "whole")
+    sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare, "sid"), "whole")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets in the order of their group; one tree a group. Yields (sid, root) of sets that links joined."""
@@ -248,12 +274,12 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
 
         group, tree, sids, first = None, Tree(percent), [], {}
         for batch in batches:
-            for g, sid, label, items in zip(*(batch.column(c).to_pylist() for c in ("g", "sid", "label", "items"))):
+            for g, sid, label, items, keys in zip(*(batch.column(c).to_pylist() for c in ("g", "sid", "label", "items", "keys"))):
                 if g != group:
                     if sids:
                         yield settle(tree, sids)
                     group, tree, sids, first = g, Tree(percent), [], {}
-                me = tree.add(np.frombuffer(items, np.uint64), first.get(label, -1) if label is not None else -1)
+                me = tree.add(np.frombuffer(items, np.uint64), keys, first.get(label, -1) if label is not None else -1)
                 sids.append(sid)
                 if label is not None:
                     first.setdefault(label, me)
@@ -262,33 +288,32 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
 
     def joined(rows: DataFrame) -> DataFrame:
         parts = parallelism(spark)
-        return rows.repartition(parts, "g").sortWithinPartitions("g", "sid").select("g", "sid", "label", "items").mapInArrow(join, "b long, a long")
+        return rows.repartition(parts, "g").sortWithinPartitions("g", "sid").select("g", "sid", "label", "items", "keys").mapInArrow(join, "b long, a long")
 
-    sizes = sets.groupBy("block").agg(F.count("*").alias("size"))
+    sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
     none = F.lit(None).cast("long")
-    small = joined(sets.join(sizes.filter(F.col("size") <= chunk), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items"))
+    small = joined(sets.join(sizes.filter(F.col("bytes") <= chunk), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys"))
     small = stored(small, "links")
     labels = small.select(F.col("b").alias("sid"), F.col("a").alias("label"))
 
-    if sizes.filter(F.col("size") > chunk).limit(1).count():
+    if sizes.filter(F.col("bytes") > chunk).limit(1).count():
         # Large blocks: chunks by hash, each with the same few pivots; then the sets outside the largest group so far
         # against all chunks, so that no pair of sets in different groups is left out.
-        half = chunk // 2
-        large = stored(sets.join(sizes.filter(F.col("size") > chunk), "block").withColumn("c", F.ceil(F.col("size") / half).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
+        large = stored(sets.join(sizes.filter(F.col("bytes") > chunk), "block").withColumn("c", F.ceil(2 * F.col("bytes") / chunk).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
         pivot = F.floor(F.pmod(F.col("h"), F.lit(2**40)) * F.col("size") / 2**40) < 64  # about 64 of a block
         spread = large.withColumn("q", F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))).withColumn("q", F.explode("q"))
-        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items")), "links")
+        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items", "keys")), "links")
         groups = components(first)
         marked = stored(large.join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "marked")
         count = marked.groupBy("block", "label").agg(F.count("*").alias("k"))
         count = count.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("k"), "label"))).filter("rank = 1")
         main = count.select("block", F.col("label").alias("main"), F.col("k").alias("main_size"))
-        rest = marked.join(main, "block").withColumn("r", F.ceil((F.col("size") - F.col("main_size")) / half).cast("int")).filter("r > 0")
+        rest = marked.join(main, "block").withColumn("r", F.ceil(F.col("c") * (F.col("size") - F.col("main_size")) / F.col("size")).cast("int")).filter("r > 0")
         # a query chunk (sets outside the main group) meets every chunk of the block
         asks = rest.filter("label <> main").withColumn("ask", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("r")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         told = rest.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("to", F.col("q"))
-        pairs = asks.select("block", "ask", "to", "sid", "label", "items").union(told.select("block", "ask", "to", "sid", "label", "items"))
-        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "sid", "label", "items"))
+        pairs = asks.select("block", "ask", "to", "sid", "label", "items", "keys").union(told.select("block", "ask", "to", "sid", "label", "items", "keys"))
+        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "sid", "label", "items", "keys"))
         final = components(first.union(second))
         labels = labels.union(final.select(F.col("node").alias("sid"), "label"))
 
