@@ -23,6 +23,8 @@ from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
 #: Bytes of sets that one prefix tree holds; a larger block is compared chunk by chunk.
 CHUNK = 48 << 20
+#: Up to this size a fourth of a set must be shared within signatures, so that a line many documents share ties no short ones.
+SHORT = 160
 
 
 def hashed_sets(w: Words, n: int) -> list[np.ndarray]:
@@ -205,7 +207,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
         return -(-percent * k // 100)
 
     def level(k: int) -> int:
-        return 1 + k // 20
+        return 1 + max(min(k, SHORT) // 4, k // 20)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task give one signature
@@ -236,7 +238,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
     signed = named.filter("part is not null").select("part", "sid", "n").mapInArrow(opened, "key long, sid long, n int")
     named = named.drop("part")
     shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
-    least_level = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 20).cast("int")
+    smallest = F.ceil(F.col("n") * percent / 100)  # a partner's set
+    least_level = (1 + F.greatest(F.floor(F.least(smallest, F.lit(SHORT)) / 4), F.floor(smallest / 20))).cast("int")
     lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
     rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"))
     rare = stored(rare.select("sid", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("keys")), "candidates")
