@@ -61,11 +61,14 @@ class Tree:
     def __init__(self, percent: int):
         self.percent = percent
         self.sets: list[np.ndarray] = []
+        self.sizes: list[int] = []
         self.at: list[Node] = []
         self.root = Node(np.zeros(0, np.uint64), 0, None)
         self.up: list[int] = []
         self.walks = 0
         self.by_key: dict[int, dict[int, list[int]]] = {}  # key -> group -> sets
+        self.links: list[int] = []  # how often a set was linked to
+        self.hub: dict[int, int] = {}  # group -> the set most often linked to
 
     def find(self, a: int) -> int:
         up = self.up
@@ -76,21 +79,27 @@ class Tree:
 
     def union(self, a: int, b: int) -> None:
         a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
+        if a != b:
+            one, two = self.hub.pop(a, a), self.hub.pop(b, b)
+            self.up[max(a, b)] = min(a, b)
+            self.hub[min(a, b)] = one if self.links[one] >= self.links[two] else two
 
     def add(self, s: np.ndarray, keys: list[int], like: int = -1) -> int:
         """Adds a set and links it with the earlier ones that share a key; like: one known to be in its group."""
         me = len(self.sets)
         self.sets.append(s)
+        self.sizes.append(len(s))
         self.up.append(me)
+        self.links.append(0)
         if like >= 0:
             self.union(me, like)
-        for group, lists in self._candidates(keys).items():
-            if self.find(group) == self.find(me):
-                continue
-            some = dict.fromkeys(x for found in lists for x in found[-2:])  # of a group, one link is enough
-            if not self._walk(me, some) and any(len(found) > 2 for found in lists):
-                self._walk(me, {x: None for found in lists for x in found if x not in some})
+        size, p, near = len(s), self.percent, self._candidates(keys)
+        if near:  # first the set of each group that most others were linked to: of a group, one link is enough
+            self._walk(me, {self.hub.get(g, g): None for g in map(self.find, near)})
+            left = [found for g, lists in near.items() if self.find(g) != self.find(me) for found in lists]
+            if left:
+                sizes = self.sizes
+                self._walk(me, {x: None for x in set().union(*left) if 100 * size >= p * sizes[x] and 100 * sizes[x] >= p * size})
         self._insert(me)
         group = self.find(me)
         for k in keys:
@@ -127,21 +136,30 @@ class Tree:
         stack = [(self.root, 0, 0)]
         while stack:
             node, pos, shared = stack.pop()
-            if len(node.part):
-                rest = x[pos:]
-                at = np.searchsorted(rest, node.part)
-                inside = at < len(rest)
-                shared += int((rest[at[inside]] == node.part[inside]).sum())
-                pos += int(np.searchsorted(rest, node.part[-1], side="right"))
-            # even if all that is left matched: shared >= p / (100 + p) * (n + size) is needed
-            most = shared + min(n - pos, node.high - node.depth)
-            if most * (100 + p) < p * (n + node.low):
+            kids = [c for c in node.children.values() if c.mark == mark]
+            if not kids:
                 continue
-            for y in node.ends:
-                if y in wanted and 100 * shared >= p * (n + len(self.sets[y]) - shared):
-                    self.union(me, y)
-                    linked = True
-            stack += [(c, pos, shared) for c in node.children.values() if c.mark == mark]
+            # the children's n-grams are looked up in what is left of x at once
+            rest = x[pos:]
+            parts = np.concatenate([c.part for c in kids])
+            ends = np.cumsum([len(c.part) for c in kids])
+            hit = np.zeros(len(parts), np.int64)
+            if len(rest):
+                at = np.minimum(np.searchsorted(rest, parts), len(rest) - 1)
+                hit[rest[at] == parts] = 1
+            total = shared + np.add.reduceat(hit, np.concatenate([[0], ends[:-1]]))
+            past = pos + np.searchsorted(rest, parts[ends - 1], side="right")
+            # even if all that is left matched: shared >= p / (100 + p) * (n + size) is needed
+            most = total + np.minimum(n - past, np.array([c.high - c.depth for c in kids]))
+            for k in np.flatnonzero(most * (100 + p) >= p * (n + np.array([c.low for c in kids]))).tolist():
+                child, have = kids[k], int(total[k])
+                for y in child.ends:
+                    if y in wanted and 100 * have >= p * (n + self.sizes[y] - have):
+                        self.links[y] += 1
+                        self.union(me, y)
+                        linked = True
+                if child.children:
+                    stack.append((child, int(past[k]), have))
         return linked
 
     def _insert(self, me: int) -> None:
@@ -241,8 +259,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
     smallest = F.ceil(F.col("n") * percent / 100)  # a partner's set
     least_level = (1 + F.greatest(F.floor(F.least(smallest, F.lit(SHORT)) / 4), F.floor(smallest / 20))).cast("int")
     lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
-    rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"))
-    rare = stored(rare.select("sid", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("keys")), "candidates")
+    rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
+    rare = stored(rare.select("sid", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("keys"), "weight"), "candidates")
     single = rare.select("sid", F.explode("keys").alias("key"))
     centres = stored(single.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a <> z").select("key", "a"), "centres")
     blocks = components(single.join(centres, "key").filter("sid <> a").select(F.col("sid").alias("b"), "a")).select(F.col("node").alias("sid"), F.col("label").alias("block"))
@@ -269,7 +287,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
     sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare, "sid"), "whole")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets in the order of their group; one tree a group. Yields (sid, root) of sets that links joined."""
+        """Sets in the order of their group, those that share most first; one tree a group. Yields (sid, root) of sets that links joined."""
 
         def settle(tree: Tree, sids: list[int]) -> pa.RecordBatch:
             roots = [sids[tree.find(i)] for i in range(len(sids))]
@@ -291,11 +309,11 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
 
     def joined(rows: DataFrame) -> DataFrame:
         parts = parallelism(spark)
-        return rows.repartition(parts, "g").sortWithinPartitions("g", "sid").select("g", "sid", "label", "items", "keys").mapInArrow(join, "b long, a long")
+        return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("weight"), "sid").select("g", "sid", "label", "items", "keys").mapInArrow(join, "b long, a long")
 
     sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
     none = F.lit(None).cast("long")
-    small = joined(sets.join(sizes.filter(F.col("bytes") <= chunk), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys"))
+    small = joined(sets.join(sizes.filter(F.col("bytes") <= chunk), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys", "weight"))
     small = stored(small, "links")
     labels = small.select(F.col("b").alias("sid"), F.col("a").alias("label"))
 
@@ -305,7 +323,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
         large = stored(sets.join(sizes.filter(F.col("bytes") > chunk), "block").withColumn("c", F.ceil(2 * F.col("bytes") / chunk).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
         pivot = F.floor(F.pmod(F.col("h"), F.lit(2**40)) * F.col("size") / 2**40) < 64  # about 64 of a block
         spread = large.withColumn("q", F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))).withColumn("q", F.explode("q"))
-        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items", "keys")), "links")
+        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items", "keys", "weight")), "links")
         groups = components(first)
         marked = stored(large.join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "marked")
         count = marked.groupBy("block", "label").agg(F.count("*").alias("k"))
@@ -315,8 +333,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
         # a query chunk (sets outside the main group) meets every chunk of the block
         asks = rest.filter("label <> main").withColumn("ask", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("r")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         told = rest.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("to", F.col("q"))
-        pairs = asks.select("block", "ask", "to", "sid", "label", "items", "keys").union(told.select("block", "ask", "to", "sid", "label", "items", "keys"))
-        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "sid", "label", "items", "keys"))
+        pairs = asks.select("block", "ask", "to", "sid", "label", "items", "keys", "weight").union(told.select("block", "ask", "to", "sid", "label", "items", "keys", "weight"))
+        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "sid", "label", "items", "keys", "weight"))
         final = components(first.union(second))
         labels = labels.union(final.select(F.col("node").alias("sid"), "label"))
 
