@@ -17,7 +17,7 @@ TRACKS = """tracks AS (SELECT event_id, user_id, event_type AS action, CAST(json
   CAST(json_extract(props, '$.k') AS DOUBLE) AS y, CASE (user_id % 8) % 3 WHEN 0 THEN 25 WHEN 1 THEN 30 ELSE 50 END AS fps FROM events)"""
 SEGMENTS = TRACKS + """, segments AS (SELECT event_id, seq AS agent, user_id % 3 AS target, action, frame AS start, frame + 1 + k % 20 AS stop FROM tracks)"""
 POSES = """poses AS (SELECT label AS entity, ROW_NUMBER() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, CAST(embedding[1] AS DOUBLE) * 10 AS ax,
-  CAST(embedding[2] AS DOUBLE) * 10 AS ay, CAST(embedding[3] AS DOUBLE) * 10 AS bx, CAST(embedding[4] AS DOUBLE) * 10 AS "by" FROM embeddings)"""
+  CAST(embedding[2] AS DOUBLE) * 10 AS ay, CAST(embedding[3] AS DOUBLE) * 10 AS bx, CAST(embedding[4] AS DOUBLE) * 10 AS by2 FROM embeddings)"""
 OVER = "PARTITION BY seq ORDER BY frame"
 
 
@@ -195,7 +195,7 @@ def directed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "frame").filter("agent <> target").select("agent", "target", "frame", rounded(F.sqrt(dx * dx + dy * dy)).alias("distance"))
 
 
-@register("centroid", f"WITH {POSES} SELECT entity, frame, ROUND((ax + bx) / 2, 4) AS cx, ROUND(LEAST(ay, "by"), 4) AS low FROM poses")
+@register("centroid", f"WITH {POSES} SELECT entity, frame, ROUND((ax + bx) / 2, 4) AS cx, ROUND(LEAST(ay, by2), 4) AS low FROM poses")
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("entity", "frame", rounded((F.col("ax") + F.col("bx")) / 2).alias("cx"), rounded(F.least("ay", "by")).alias("low"))
 
