@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of chunks; it is emptied when full.
-MEMORY = 1_200_000
+MEMORY = 700_000
 #: Rows that are encoded together.
 GROUP = 256
 
@@ -142,8 +142,8 @@ class Codec:
         return out
 
     def learn(self, chunks: set[str], lead: str, into: dict) -> None:
-        """Adds the encodings of chunks, each after lead, to a memory: (ids as text, ids as bytes)."""
-        shown, raw = self.shown, self.raw
+        """Adds the ids of chunks, each after lead, to a memory, as bytes."""
+        raw = self.raw
         split = {c: self.find(lead + c) for c in chunks}
         new = list({p for ps in split.values() for p in ps if p not in self.pieces})
         if len(self.pieces) > MEMORY // 4:
@@ -154,21 +154,24 @@ class Codec:
             self.pieces.update(zip(part, self.encode_pieces([p.encode().decode("latin-1") for p in part])))
         for c, ps in split.items():
             ids = self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]]
-            into[c] = (",".join([shown[i] for i in ids]), b"".join([raw[i] for i in ids]))
+            into[c] = b"".join([raw[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of each text: decimal, comma-joined, and as bytes of the codec's width."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as bytes of the codec's width."""
         if not self.special or not any(x in t for t in texts for x in self.special):
             return self._encode(texts)
         parts = [[x for x in self.splitter.split(t) if x] for t in texts]  # special tokens stand alone
         flat = iter(self._encode([x for p in parts for x in p if x not in self.special]))
         out = []
         for p in parts:
-            done = [(self.shown[self.special[x]], self.raw[self.special[x]]) if x in self.special else next(flat) for x in p]
-            out.append((",".join(x for x, _ in done), b"".join(y for _, y in done)))
+            out.append(b"".join([self.raw[self.special[x]] if x in self.special else next(flat) for x in p]))
         return out
 
-    def _encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+    def text(self, ids: np.ndarray) -> str:
+        """Decimal ids, comma-joined."""
+        return ",".join(map(self.shown.__getitem__, ids.tolist()))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         # A space that has no white space before or after it starts a piece: the chunks between encode on their own.
         first, rest = self.seen
         for memory in (first, rest):
@@ -176,15 +179,10 @@ class Codec:
                 memory.clear()
         cut = [[t] if self.amid(t) else t.split(" ") for t in texts]  # a space inside a longer run: not cut
         heads, chunks = {cs[0] for cs in cut}, set().union(*(cs[1:] for cs in cut))
-        self.learn(heads.difference(first), "", first)
+        self.learn({x for x in heads if x and x not in first}, "", first)
         self.learn(chunks.difference(rest), " ", rest)
         have = {c: rest[c] for c in chunks}.__getitem__
-        out = []
-        for cs in cut:
-            done = [first[cs[0]], *map(have, cs[1:])] if cs[0] else list(map(have, cs[1:]))
-            shown, raw = zip(*done) if done else ((), ())
-            out.append((",".join(shown), b"".join(raw)))
-        return out
+        return [b"".join([first[cs[0]] if cs[0] else b"", *map(have, cs[1:])]) for cs in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: each token's bytes are gathered from one block by its offset; broken UTF-8 shows U+FFFD."""
@@ -213,7 +211,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             ids, texts = [], []
             for a in range(0, batch.num_rows, GROUP):
-                for _, data in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
+                for data in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
                     raw = np.frombuffer(data, c.width)
                     ids.append(pa.array(raw.astype(np.int32)))
                     texts.append(c.decode(raw))
@@ -235,10 +233,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             n, shown, decoded = [], [], []
             for a in range(0, batch.num_rows, GROUP):
-                for text, raw in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
+                for raw in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
                     ids = np.frombuffer(raw, c.width)
                     n.append(len(ids))
-                    shown.append(hashlib.sha256(text.encode()).hexdigest())
+                    shown.append(hashlib.sha256(c.text(ids).encode()).hexdigest())
                     decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
