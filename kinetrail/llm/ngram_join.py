@@ -95,7 +95,7 @@ class Tree:
             self.union(me, like)
         size, p, near = len(s), self.percent, self._candidates(keys)
         if near:  # first the set of each group that most others were linked to: of a group, one link is enough
-            self._walk(me, {self.hub.get(g, g): None for g in map(self.find, near)})
+            self._walk(me, {self.hub.get(g, g): None for g in map(self.find, near) if g != self.find(me)})
             left = [found for g, lists in near.items() if self.find(g) != self.find(me) for found in lists]
             if left:
                 sizes = self.sizes
