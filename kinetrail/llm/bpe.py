@@ -19,10 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from kinetrail.llm.common import bounded
+
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of chunks; it is emptied when full.
-MEMORY = 700_000
+MEMORY = 500_000
 #: Rows that are encoded together.
 GROUP = 256
 
@@ -137,7 +139,7 @@ class Codec:
                 before, options = token, iter(at[pos - 1])
             out.append(ids)
             base = end + 1
-        if len(fits) > 2_000_000:
+        if len(fits) > 600_000:
             fits.clear()
         return out
 
@@ -220,7 +222,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes.astype(np.int64)), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    slim = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
 
 
@@ -240,5 +242,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    slim = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

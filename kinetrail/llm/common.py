@@ -25,10 +25,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs; from here on the session's Arrow batches hold at most `rows` rows, since a row here is a whole text and a
+    worker, and the executor that feeds it, hold a batch or two at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def keyed(docs: DataFrame, *keep: str) -> DataFrame:
     """Rows (_id, _th, text, keep...): a never-null document id (null becomes the smallest long, so it comes first)
     and a 64-bit hash of the text, which together name a row; rows that repeat in full share a name and fare alike."""
-    return docs.select(
+    return bounded(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"),
         F.xxhash64(F.col("text")).alias("_th"),
         F.col("text").cast("string").alias("text"),

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetrail.llm.common import bounded
 from kinetrail.llm.words import ALNUM, Words, words
 
 #: Most words of items in one automaton.
@@ -175,7 +176,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     no hits. Equal items are all listed. Rows of docs that repeat fare alike. Columns of docs keep their names.
     Narrow for benchmarks of one block: no shuffle, one pass over the documents.
     """
-    have = docs.withColumns({"_n_words": F.lit(-1).cast("long"), "_spans": F.array().cast("array<struct<start: int, stop: int>>"), "_items": F.array().cast("array<string>")})
+    have = bounded(docs).withColumns({"_n_words": F.lit(-1).cast("long"), "_spans": F.array().cast("array<struct<start: int, stop: int>>"), "_items": F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     schema = have.schema
     for items in [*item_blocks(benchmark, window, block)] or [[]]:

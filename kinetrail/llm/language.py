@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrail.llm.common import bounded
 from kinetrail.llm.words import groups
 
 DIMS = 1 << 12
@@ -129,7 +130,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             for a, b, m in features(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in m], pa.binary())], ["lang", "x"])
 
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     common = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
     # the rows with the smallest hashes: a few a language and task first, then of those
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     score 0. Nothing learned: always `und`. Rows that repeat fare alike; very long texts are read whole, one after
     another. lang, source and doc_id play no part."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: machines of at most LANGS languages
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
+    slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     out = slim.drop("_text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

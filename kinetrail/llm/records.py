@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrail.llm.bpe import alphabet
-from kinetrail.llm.common import parallelism, scratch
+from kinetrail.llm.common import bounded, parallelism, scratch
 
 #: Fixed value of checksum masks.
 MASK = 0xA282EAD8
@@ -177,7 +177,7 @@ def write_records(docs: DataFrame, path: str, out: str, end_id: int | None = 0,
         if stream is not None:
             stream.close()
 
-    slim = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     index = slim.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     index = index.mapInArrow(write, "file int, name string, doc_id long, offset long, bytes long, n_tokens long, local_start long")
     index.write.mode("overwrite").parquet(f"{out}/index")
