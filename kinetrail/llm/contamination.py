@@ -167,22 +167,25 @@ def item_blocks(benchmark: DataFrame, window: int, block: int) -> Iterator[list[
         yield have
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK, cut: bool = False) -> DataFrame:
     """docs' columns and (_n_words long, _spans array<struct<start, stop>>, _items array<string>): the number of words, the
     maximal hit intervals of word numbers, and the sorted ids of items with occurring windows. A window is `window`
     consecutive words of an item; an item of fewer words, but not none, is one window.
 
     Null or wordless text: 0 words, no hits. Null item_id: its words hit, it is not listed. Null or empty benchmark:
-    no hits. Equal items are all listed. Rows of docs that repeat fare alike. Columns of docs keep their names.
+    no hits. cut: the hit spans are left out of `text`. Equal items are all listed. Rows of docs that repeat fare alike. Columns of docs keep their names.
     Narrow for benchmarks of one block: no shuffle, one pass over the documents.
     """
     have = bounded(docs).withColumns({"_n_words": F.lit(-1).cast("long"), "_spans": F.array().cast("array<struct<start: int, stop: int>>"), "_items": F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     schema = have.schema
-    for items in [*item_blocks(benchmark, window, block)] or [[]]:
+    blocks = item_blocks(benchmark, window, block)
+    items = next(blocks, [])
+    while items is not None:
+        after = next(blocks, None)
         sent = sc.broadcast(Automaton(items, window))  # at most `block` words: bounded
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=cut and after is None) -> Iterator[pa.RecordBatch]:
             m = sent.value
             for batch in batches:
                 n = np.zeros(batch.num_rows, np.int64)
@@ -198,16 +201,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                             hit.setdefault(a + d, []).extend((p + off, q + off) for p, q in hits)
                             items.setdefault(a + d, set()).update(found - {None})
                 spans = [_merge(hit[i]) if i in hit else [] for i in range(batch.num_rows)]
+                if last and any(spans):
+                    texts = batch.column("text").to_pylist()
+                    batch = batch.set_column(batch.schema.names.index("text"), "text", pa.array([_without(t, x) if x else t for t, x in zip(texts, spans)], pa.string()))
                 cols = [batch.column(c) for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")]
                 yield pa.RecordBatch.from_arrays([
                     *cols, pa.array(n), pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                     pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
                 ], names=[*(c for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")), "_n_words", "_spans", "_items"])
 
-        have = have.mapInArrow(run, schema)
+        have, items = have.mapInArrow(run, schema), after
     return have
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    w = Words(raw, np.array([0, len(raw)]), ALNUM, True)
+    parts, at = [], 0
+    for x, y in spans:
+        parts.append(raw[at : w.start[x]].tobytes())
+        at = int(w.end[y - 1])
+    return b"".join([*parts, raw[at:].tobytes()]).decode()
+
+
 def _merge(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(hits):
@@ -231,26 +247,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """docs with the columns it came with: a document at or above the share goes; from another the hit spans are cut
     out of the text, at the bytes between words, and the rest stays as it was. Cases as in contamination()."""
     names = docs.columns
-    found = contamination(docs, benchmark, window)
+    found = contamination(docs, benchmark, window, cut=True)
     n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["stop"] - x["start"]))
-    kept = found.filter((n_hit == 0) | (n_hit * share < F.col("_n_words")))
-    schema = kept.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("_spans").to_pylist()
-            if any(spans):
-                texts = batch.column("text").to_pylist()
-                for i, found in enumerate(spans):
-                    if found:
-                        raw = np.frombuffer(texts[i].encode(), np.uint8)
-                        w = Words(raw, np.array([0, len(raw)]), ALNUM, True)
-                        parts, at = [], 0
-                        for x in found:
-                            parts.append(raw[at : w.start[x["start"]]].tobytes())
-                            at = int(w.end[x["stop"] - 1])
-                        texts[i] = b"".join([*parts, raw[at:].tobytes()]).decode()
-                batch = batch.set_column(batch.schema.names.index("text"), "text", pa.array(texts, pa.string()))
-            yield batch
-
-    return kept.mapInArrow(cut, schema).select(*[F.col(f"`{c}`") for c in names])
+    return found.filter((n_hit == 0) | (n_hit * share < F.col("_n_words"))).select(*[F.col(f"`{c}`") for c in names])

@@ -84,6 +84,8 @@ def test_contamination(spark, docs, odd, empty, block):
     want = brute.contamination(docs[0], [tuple(r) for r in real.select("item_id", "text").collect()])
     assert sorted(map(tuple, judged(docs[1], real).collect())) == sorted(want)
     kept = decontaminate(odd, bench)
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert texts[10] is not None and len(texts[10]) < len(dict(ODD)[10]) if 10 in texts else True
     assert kept.columns == odd.columns and kept.count() == sum(not b[5] for b in brute.contamination(ODD, items))
     assert judged(empty, bench).count() == 0 and judged(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
