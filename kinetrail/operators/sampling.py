@@ -30,3 +30,15 @@ def hold_out(rows: DataFrame, group: str, share: float = 0.1) -> DataFrame:
     n = groups.count()
     rank = F.row_number().over(Window.orderBy(F.md5(F.col(group).cast("string")), group))
     return groups.withColumn("held_out", rank <= max(1, int(n * share))) if share > 0 else groups.withColumn("held_out", F.lit(False))
+
+
+def upsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
+    """labels (by, key, y) with rows of y = true repeated until their share is ratio (as they are, where it is there
+    already): each equally often, those with the smallest md5 of key once more."""
+    counted = class_weights(labels, by).select(by, "pos", "neg")
+    want = F.ceil(ratio * F.col("neg") / (1 - ratio))
+    rank = F.row_number().over(Window.partitionBy(by, "y").orderBy(F.md5(F.col(key).cast("string")), key))
+    rows = labels.withColumn("_r", rank).join(counted.withColumn("_w", want), by)
+    more = F.floor(F.col("_w") / F.col("pos")) + F.when(F.col("_r") <= F.col("_w") % F.col("pos"), 1).otherwise(0)
+    copies = F.when(F.col("y") & (F.col("_w") > F.col("pos")), more).otherwise(1).cast("int")
+    return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).select(*labels.columns)

@@ -44,3 +44,9 @@ def macro(scored: DataFrame) -> DataFrame:
 def dense(segments: DataFrame) -> DataFrame:
     """segments with `row`, their order within a lab, agent and target by start, stop and action."""
     return segments.withColumn("row", F.row_number().over(Window.partitionBy("lab", "agent", "target").orderBy("start", "stop", "action")))
+
+
+def report(counted: DataFrame) -> DataFrame:
+    """f_beta() with prec, recall (0 for a zero denominator) and support, the number of true frames."""
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
+    return f_beta(counted).withColumns({"prec": share("tp", "fp"), "recall": share("tp", "fn"), "support": F.col("tp") + F.col("fn")})
