@@ -23,6 +23,8 @@ from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
 #: Bytes of sets that one prefix tree holds; a larger block is compared chunk by chunk.
 CHUNK = 48 << 20
+#: Sets that one prefix tree holds, likewise: what is compared one by one grows with their square.
+MOST = 400
 #: Up to this size a fourth of a set must be shared within signatures, so that a line many documents share ties no short ones.
 SHORT = 160
 
@@ -210,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
     """(_id, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
     lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words: the whole sequence as one) and the smallest _id that links
     lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long.
@@ -312,15 +314,16 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
         return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("weight"), "sid").select("g", "sid", "label", "items", "keys").mapInArrow(join, "b long, a long")
 
     sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
+    over = (F.col("bytes") > chunk) | (F.col("size") > most)
     none = F.lit(None).cast("long")
-    small = joined(sets.join(sizes.filter(F.col("bytes") <= chunk), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys", "weight"))
+    small = joined(sets.join(sizes.filter(~over), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys", "weight"))
     small = stored(small, "links")
     labels = small.select(F.col("b").alias("sid"), F.col("a").alias("label"))
 
-    if sizes.filter(F.col("bytes") > chunk).limit(1).count():
+    if sizes.filter(over).limit(1).count():
         # Large blocks: chunks by hash, each with the same few pivots; then the sets outside the largest group so far
         # against all chunks, so that no pair of sets in different groups is left out.
-        large = stored(sets.join(sizes.filter(F.col("bytes") > chunk), "block").withColumn("c", F.ceil(2 * F.col("bytes") / chunk).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
+        large = stored(sets.join(sizes.filter(over), "block").withColumn("c", F.ceil(2 * F.greatest(F.col("bytes") / chunk, F.col("size") / most)).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
         pivot = F.floor(F.pmod(F.col("h"), F.lit(2**40)) * F.col("size") / 2**40) < 64  # about 64 of a block
         spread = large.withColumn("q", F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))).withColumn("q", F.explode("q"))
         first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items", "keys", "weight")), "links")
@@ -344,10 +347,10 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -
     return rows.join(least, "group", "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
 
 
-def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
     """(doc_id, n_shingles, component_id): linked() with doc_id as it came. A component that holds a null doc_id has a
     null component_id."""
-    found = linked(docs, n, percent, chunk)
+    found = linked(docs, n, percent, chunk, most)
     back = lambda c: F.when(F.col(c) == F.lit(-(2**63)), F.lit(None).cast("long")).otherwise(F.col(c))
     return found.select(back("_id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
