@@ -106,7 +106,11 @@ class Automaton:
         return self._runs(w, (self.pairs[at] == p) & (w.doc[:-1] == w.doc[1:]), 1)
 
     def _runs(self, w: Words, ok: np.ndarray, extra: int) -> list[tuple[int, int, int]]:
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]]))).reshape(-1, 2)
+        begins = np.zeros(len(w.hash) + 1, bool)
+        begins[w.first] = True  # no run goes on into the next document
+        begins = begins[: len(ok) + 1]
+        at, before = np.append(ok, False), np.append(False, ok)
+        edge = np.stack([np.flatnonzero(at & (~before | begins)), np.flatnonzero(before & (~at | begins))], axis=1)
         edge = edge[edge[:, 1] - edge[:, 0] + extra >= self.least]
         return [(int(w.doc[a]), int(a), int(b) + extra) for a, b in edge]
 

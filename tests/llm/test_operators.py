@@ -90,6 +90,19 @@ def test_contamination(spark, docs, odd, empty, block):
     assert judged(empty, bench).count() == 0 and judged(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_contamination_at_document_borders(spark):
+    """A one-word item beside longer ones: a document that ends in words of items, then one that begins with such words."""
+    items = [(1, "w1"), (2, "w2 w3 w4"), (3, "w1 w5")]
+    pad = " ".join(["pad"] * 60)
+    rows = [(1, f"{pad} w2"), (2, f"w3 w4 {pad}"), (3, f"{pad} w1"), (4, f"w1 {pad}"), (5, ""), (6, f"w5 {pad} w1"), (7, "w1"), (8, None), (9, f"w5 {pad}"), (10, "w1 w1"), (11, "w2 w3 w4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contamination(rows, items)
+    assert sorted(map(tuple, judged(df, bench).collect())) == sorted(want)
+    texts = {r["doc_id"]: r["text"] for r in decontaminate(df, bench).collect()}
+    assert set(texts) == {b[0] for b in want if not b[5]} and texts[1] == f"{pad} w2" and texts[3] == f"{pad} " and texts[4] == f" {pad}" and texts[9] == f"w5 {pad}"
+
+
 def test_bpe(docs, odd, empty):
     from tokenizers import Tokenizer
 
