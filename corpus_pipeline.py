@@ -29,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines go; n_chars counts what is left. A document none of whose words are left stays,
     empty."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return dedup_lines(docs, least=1).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

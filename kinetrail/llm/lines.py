@@ -197,7 +197,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
     of = F.when(F.col("p") == -3, F.struct(F.col("of_id").alias("_id"), F.col("of_th").alias("_th"), F.col("of_line").alias("line")))
     judged = found.withColumn("place", place).withColumn("same", F.min("place").over(by_vp))
     judged = judged.withColumn("whole", F.min(F.when(F.col("p") == -1, F.col("place"))).over(by_v)).withColumn("less", F.min(F.when(F.col("p") >= 0, F.col("place"))).over(by_v))
-    other = F.when(F.col("p") == -1, F.least("same", F.coalesce("less", "same"))).when(F.col("p") >= 0, F.least("same", F.coalesce("whole", "same")))
+    other = F.when(F.col("p") == -1, F.least("same", F.coalesce("less", "same"))).when(F.col("p") >= 0, F.least("same", F.coalesce("whole", "same"))).when(F.col("p") == -2, F.col("same"))
     late = judged.withColumn("of", F.coalesce(of, other)).filter("of < place or p = -3")
     return late.groupBy("_id", "_th", "line").agg(F.min("of").alias("of")).select("_id", "_th", "line", F.col("of._id").alias("first_id"), F.col("of.line").alias("first_line"))
 
@@ -206,7 +206,8 @@ def dedup_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFrame:
     """docs with the columns it came with, `text` without the lines that go, and (_n_lines, _removed array<int>): the
     number of lines and the removed line numbers, from 0. Lines end at a line feed; the others stay as they are.
 
-    Null text: null, no lines. Empty text: no lines. Lines of fewer than `least` words (`[^\\x20\\x09-\\x0D]+`) stay; white
+    Null text: null, no lines. Empty text: no lines. Lines of fewer than `least` words (`[^\\x20\\x09-\\x0D]+`) stay; at
+    least = 1, as the query and the pipeline have it, these are blank lines only. White
     space within a line doesn't count in comparisons. Null doc_id: before all others. Rows that share a doc_id: ordered
     by a hash of the text; rows that repeat in full fare alike, as one document. Empty table: no rows. Columns of docs
     named like the added ones are replaced.

@@ -38,7 +38,7 @@ def op3_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrail.llm.lines import dedup_lines
 
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").alias("n_removed"), F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -60,6 +60,24 @@ def test_lines(docs, odd, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_short_lines(spark, docs):
+    """Every repeated line that is not blank goes, in other tasks too, however few words it has."""
+    rows = [(i, f"Read more\n长长长长长长长长\nown line {i}\nfive words in a row\n\n\nRead  more\nMenu") for i in range(40)]
+    for have in (rows, docs[0]):
+        df = spark.createDataFrame(have, "doc_id long, text string").repartition(4, "doc_id")
+        got = {r["doc_id"]: (r["_n_lines"], list(r["_removed"])) for r in dedup_lines(df, least=1).collect()}
+        assert got == brute.lines(have, least=1)
+
+
+def test_short_lines_of_queries(spark, tmp_path):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "Read more\nx", "en", "s", 11), (2, "y\nRead more", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["removed"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()} == {1: "", 2: "1"}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, df, "").collect()} == {1: "Read more\nx", 2: "y"}
+
+
 @pytest.mark.parametrize("chunk", [48 << 20, 4000])
 def test_groups(docs, odd, empty, chunk):
     for rows, df in (docs, (ODD, odd)):
