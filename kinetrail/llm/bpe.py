@@ -1,9 +1,9 @@
 """Byte-level BPE encoding by backtracking, and decoding through an offset table.
 
-Encoding of a piece: an Aho-Corasick automaton over the reversed tokens lists the tokens that start at each place,
-longest first. The encoder takes the longest, keeps it only if the pair with the token before it is compatible (the
-merges would leave a border just there), tries shorter ones, and steps back when none is left; places that proved dead
-ends are marked, so the work is linear. Pieces are what the pre-tokenizer's pattern yields.
+Encoding of a piece: an Aho-Corasick automaton over the tokens finds the longest one at a place. The encoder keeps it only
+if the pair with the token before it is compatible (the merges would leave a border just there), goes through the shorter
+tokens that begin it, and steps back when none is left; places that proved dead ends are marked, so the work is linear.
+Matches are looked up only where the encoder comes by. Pieces are what the pre-tokenizer's pattern yields.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,10 +24,42 @@ from kinetrail.llm.common import bounded
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of chunks; it is emptied when full.
-MEMORY = 500_000
-#: Rows that are encoded together.
-GROUP = 256
+#: Entries of a worker's memory of pieces; it is emptied when full.
+MEMORY = 600_000
+#: Rows, and about as many characters, that are encoded together.
+GROUP, GROUP_SIZE = 256, 1 << 20
+#: Tokens that are decoded in one gather.
+GATHER = 1 << 17
+#: Bytes of a long piece that are matched at once.
+WINDOW = 4096
+
+
+def _near_pattern() -> str:
+    """PATTERN for characters up to LAST, with its classes spelled out and what is most frequent first."""
+    known = [chr(c) for c in range(ord(LAST) + 1)]
+    letter, number, space = ("".join(re.escape(c) for c in known if regex.match(k, c)) for k in (r"\p{L}", r"\p{N}", r"\s"))
+    return rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+
+LAST = "\u024f"
+BEYOND = re.compile(f"[^\0-{LAST}]").search
+NEAR, ALL = re.compile(_near_pattern()).findall, regex.compile(PATTERN).findall
+
+
+def pieces(text: str) -> list[str]:
+    """What the pre-tokenizer makes of a text."""
+    return ALL(text) if BEYOND(text) else NEAR(text)
+
+
+class Memory(dict):
+    """Ids of pieces, as bytes; a piece not met before is encoded."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self[p] = self.codec.encode_piece(p if p.isascii() else p.encode().decode("latin-1"))
+        return ids
 
 
 def alphabet() -> dict[str, int]:
@@ -64,19 +97,28 @@ class Codec:
         self.length = np.array([len(x) for x in spelled], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.blob = np.frombuffer(b"".join(spelled), np.uint8)
+        # a token that no merge makes is never output
+        made = {spelled[v].decode("latin-1"): v for v in vocab.values() if v in self.rank or len(spelled[v]) == 1}
         self.automaton = ahocorasick.Automaton()
-        for v in vocab.values():
-            if v in self.rank or len(spelled[v]) == 1:  # a token that no merge makes is never output
-                self.automaton.add_word(spelled[v].decode("latin-1")[::-1], (v, len(spelled[v])))
+        for text, v in made.items():
+            self.automaton.add_word(text, v)
         self.automaton.make_automaton()
+        self.shorter: dict[int, int] = {}  # the longest shorter token that begins a token
+        for text, v in made.items():
+            for k in range(len(text) - 1, 0, -1):
+                if text[:k] in made:
+                    self.shorter[v] = made[text[:k]]
+                    break
+        self.sizes = self.length.tolist()
+        self.reach = max(self.sizes)
         self.fits: dict[int, bool] = {}  # pair-compatibility table, filled as pairs turn up
-        self.find = regex.compile(PATTERN).findall
-        self.amid = regex.compile(r"\s \s").search
         self.width = np.uint16 if n <= 65536 else np.uint32
-        self.seen: tuple[dict, dict] = ({}, {})
-        self.pieces: dict[str, list[int]] = {}
-        self.shown = [str(i) for i in range(n)]
+        self.seen = Memory(self)
         self.raw = [int(i).to_bytes(np.dtype(self.width).itemsize, "little") for i in range(n)]
+        # decimal ids with a comma, padded to one width
+        shown = [b"%d," % i for i in range(n)]
+        self.digits = max(map(len, shown))
+        self.shown = np.frombuffer(b"".join(x.ljust(self.digits, b"\0") for x in shown), np.uint8).reshape(n, self.digits)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves tokens a, b standing side by side: undo their merges from the last on and look for a
@@ -95,68 +137,47 @@ class Codec:
             else:  # ties and later: the left one merges first, so a border merge of equal rank comes before
                 limit, b = min(limit, rb + 1), parts[b][0]
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Token ids of each piece (given with one character for each byte)."""
-        joined = "￿".join(p[::-1] for p in pieces)
-        n = len(joined)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(joined):
-            at[end].append(found)  # longest first
-        out, base = [], 0
-        fits, compatible = self.fits, self.compatible
-        for p in pieces:
-            end = base + len(p)  # the piece's first byte stands just before, its last at base
-            whole = at[end - 1][0]
-            if whole[1] == len(p):  # the longest match is the piece
-                out.append([whole[0]])
-                base = end + 1
-                continue
-            ids: list[int] = []
-            steps: list[tuple[int, Iterator]] = []  # place, shorter tokens not tried yet
-            dead: set[int] = set()
-            pos, before, options = end, -1, iter(at[end - 1])
-            while pos > base:
-                for token, width in options:
-                    if pos - width in dead:
-                        continue
-                    if before < 0:
-                        break
-                    pair = before << 32 | token
-                    ok = fits.get(pair)
-                    if ok is None:
-                        ok = fits[pair] = compatible(before, token)
-                    if ok:
-                        break
-                else:
+    def encode_piece(self, p: str) -> bytes:
+        """Token ids of a piece, given with one character for each byte."""
+        longest, sizes, shorter, fits = self.automaton.iter_long, self.sizes, self.shorter, self.fits
+        n, pos, ids, dead, before = len(p), 0, [], set(), -1
+        whole = n <= WINDOW
+        walk, safe = (longest(p), n) if whole else (longest(p[:WINDOW]), WINDOW - self.reach)
+        token, going = next(walk)[1], True  # going: walk has just given the longest token at pos
+        while True:
+            end = pos + sizes[token]
+            if before >= 0:
+                pair = before << 32 | token
+                ok = fits.get(pair)
+                if ok is None:
+                    ok = fits[pair] = self.compatible(before, token)
+                if dead and end in dead:
+                    ok = False
+            else:
+                ok = not dead or end not in dead
+            if ok:
+                ids.append(token)
+                if end == n:
+                    break
+                pos, before = end, token
+                if not going or pos > safe:
+                    walk, safe = (longest(p, pos), n) if whole else (longest(p[pos : pos + WINDOW]), pos + WINDOW - self.reach)
+                    going = True
+                token = next(walk)[1]
+            else:
+                going = False
+                if token in shorter:
+                    token = shorter[token]
+                else:  # nothing fits here: the token before is tried again, shorter
                     dead.add(pos)
-                    pos, options = steps.pop()
-                    ids.pop()
+                    token = ids.pop()
+                    pos -= sizes[token]
                     before = ids[-1] if ids else -1
-                    continue
-                ids.append(token)
-                steps.append((pos, options))
-                pos -= width
-                before, options = token, iter(at[pos - 1])
-            out.append(ids)
-            base = end + 1
         if len(fits) > 600_000:
             fits.clear()
-        return out
-
-    def learn(self, chunks: set[str], lead: str, into: dict) -> None:
-        """Adds the ids of chunks, each after lead, to a memory, as bytes."""
-        raw = self.raw
-        split = {c: self.find(lead + c) for c in chunks}
-        new = list({p for ps in split.values() for p in ps if p not in self.pieces})
-        if len(self.pieces) > MEMORY // 4:
-            self.pieces.clear()
-            new = list({p for ps in split.values() for p in ps})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.pieces.update(zip(part, self.encode_pieces([p.encode().decode("latin-1") for p in part])))
-        for c, ps in split.items():
-            ids = self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]]
-            into[c] = b"".join([raw[i] for i in ids])
+        if len(ids) == 1:
+            return self.raw[token]
+        return b"".join([self.raw[i] for i in ids])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of the codec's width."""
@@ -169,30 +190,48 @@ class Codec:
             out.append(b"".join([self.raw[self.special[x]] if x in self.special else next(flat) for x in p]))
         return out
 
-    def text(self, ids: np.ndarray) -> str:
-        """Decimal ids, comma-joined."""
-        return ",".join(map(self.shown.__getitem__, ids.tolist()))
+    def texts(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        """Decimal ids, comma-joined, of each row; rows end at `ends` of ids."""
+        parts, size = [], np.zeros(len(ids) + 1, np.int64)
+        for a in range(0, len(ids), GATHER):
+            wide = self.shown[ids[a : a + GATHER]]
+            there = wide != 0
+            parts.append(wide[there].tobytes())
+            size[a + 1 : a + 1 + GATHER] = there.sum(axis=1)
+        data, at = b"".join(parts), np.cumsum(size)
+        stops = at[ends].tolist()
+        return [data[x : y - 1] if y > x else b"" for x, y in zip([0, *stops], stops)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        # A space that has no white space before or after it starts a piece: the chunks between encode on their own.
-        first, rest = self.seen
-        for memory in (first, rest):
-            if len(memory) > MEMORY:
-                memory.clear()
-        cut = [[t] if self.amid(t) else t.split(" ") for t in texts]  # a space inside a longer run: not cut
-        heads, chunks = {cs[0] for cs in cut}, set().union(*(cs[1:] for cs in cut))
-        self.learn({x for x in heads if x and x not in first}, "", first)
-        self.learn(chunks.difference(rest), " ", rest)
-        have = {c: rest[c] for c in chunks}.__getitem__
-        return [b"".join([first[cs[0]] if cs[0] else b"", *map(have, cs[1:])]) for cs in cut]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: each token's bytes are gathered from one block by its offset; broken UTF-8 shows U+FFFD."""
+        if len(self.seen) > MEMORY:
+            self.seen.clear()
+        ids = self.seen.__getitem__
+        return [b"".join(map(ids, pieces(t))) for t in texts]
+
+    def decode(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """Text of each row of ids; rows end at `ends`. Each token's bytes are gathered from one block by its offset;
+        broken UTF-8 shows U+FFFD."""
         size = self.length[ids]
-        ends = np.cumsum(size)
-        if not len(ends) or not ends[-1]:
-            return ""
-        return self.blob[np.repeat(self.offset[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes().decode("utf-8", "replace")
+        at = np.concatenate([[0], np.cumsum(size)])
+        parts = []
+        for a in range(0, len(ids), GATHER):
+            b = min(a + GATHER, len(ids))
+            shift = self.offset[ids[a:b]] - at[a:b] + at[a]
+            parts.append(self.blob[np.repeat(shift, size[a:b]) + np.arange(at[b] - at[a])].tobytes())
+        data, stops = b"".join(parts), at[ends].tolist()
+        return [data[x:y].decode("utf-8", "replace") for x, y in zip([0, *stops], stops)]
+
+
+def row_groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """From, to of consecutive rows that are handled together; one row may be longer."""
+    a, held = 0, 0
+    for b, t in enumerate(texts):
+        if b > a and (b - a == GROUP or held + len(t) > GROUP_SIZE):
+            yield a, b
+            a, held = b, 0
+        held += len(t)
+    if a < len(texts):
+        yield a, len(texts)
 
 
 @functools.lru_cache(2)
@@ -201,6 +240,16 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def coded(c: Codec, column: pa.Array) -> Iterator[tuple[np.ndarray, list[int], list[str]]]:
+    """(ids, where each row ends in them, decoded texts) of groups of rows of a text column; null is empty."""
+    texts = [t or "" for t in column.to_pylist()]
+    for a, b in row_groups(texts):
+        rows = c.encode(texts[a:b])
+        ids = np.frombuffer(b"".join(rows), c.width)
+        ends = (np.cumsum([len(r) for r in rows]) // ids.itemsize).tolist()
+        yield ids, ends, c.decode(ids, ends)
+
+
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, n_tokens, decoded) of each row of docs: ids array<int>, decoded string. A null text is empty (no
     ids, decoded ''); a null doc_id stays null; repeated rows give repeated results; other columns are left out.
@@ -209,18 +258,16 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
         for batch in batches:
-            ids, texts = [], []
-            for a in range(0, batch.num_rows, GROUP):
-                for data in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
-                    raw = np.frombuffer(data, c.width)
-                    ids.append(pa.array(raw.astype(np.int32)))
-                    texts.append(c.decode(raw))
-            sizes = np.array([len(x) for x in ids], np.int32)
-            flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes.astype(np.int64)), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+            ids, sizes, texts = [], [], []
+            for raw, ends, shown in coded(codec(path), batch.column("text")):
+                ids.append(raw.astype(np.int32))
+                sizes.append(np.diff([0, *ends]))
+                texts += shown
+            sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
@@ -231,16 +278,16 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     so that ids need not pass through Spark's rows. Cases as there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             n, shown, decoded = [], [], []
-            for a in range(0, batch.num_rows, GROUP):
-                for raw in c.encode([t or "" for t in batch.column("text").slice(a, GROUP).to_pylist()]):
-                    ids = np.frombuffer(raw, c.width)
-                    n.append(len(ids))
-                    shown.append(hashlib.sha256(c.text(ids).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            c = codec(path)
+            for ids, ends, texts in coded(c, batch.column("text")):
+                n.append(np.diff([0, *ends]))
+                shown += map(sha, c.texts(ids, ends))
+                decoded += [sha(t.encode()) for t in texts]
+            sizes = np.concatenate([np.zeros(0, np.int64), *n])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
