@@ -1,4 +1,4 @@
-"""Shared helpers: the scratch folder all machines see, written intermediate tables, row keys."""
+"""Shared helpers: the scratch folder all machines see, written intermediate tables, row keys, free column names."""
 
 from __future__ import annotations
 
@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null doc_id among keys.
+NO_ID = -(2**63)
+
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a
+    cluster it is an error, as executors would write to folders of their own."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -22,7 +28,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored() tables that no later plan reads."""
+    for t in tables:
+        if path := t.__dict__.get("stored_at"):
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def bounded(docs: DataFrame, rows: int = 1000) -> DataFrame:
@@ -39,7 +67,7 @@ def keyed(docs: DataFrame, *keep: str) -> DataFrame:
     """Rows (_id, _th, text, keep...): a never-null document id (null becomes the smallest long, so it comes first)
     and a 64-bit hash of the text, which together name a row; rows that repeat in full share a name and fare alike."""
     return bounded(docs).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
         F.xxhash64(F.col("text")).alias("_th"),
         F.col("text").cast("string").alias("text"),
         *keep,

@@ -4,9 +4,9 @@ Sets are sorted by a global order (the hash of the n-gram). Two sets with Jaccar
 least l of the first n - ceil(t n) + l n-grams of each, so a set whose first n-grams (its signature) are shared with too
 few other sets has no partner. For the rest, the shared n-grams of a signature are reordered, rarest first, and the
 first of those tie candidates together into blocks; frequent passages don't, as they come last. Within a block the whole
-sets stand in a prefix tree: a set walks the branches that lead to its candidates, sharing the overlap with common
-beginnings, and leaves a subtree as soon as what remains of the two can't reach the bound. Candidates that links have
-already put in the set's own group are passed over.
+sets stand in a prefix tree: a set walks the branches that lead to its candidates, those that share
+enough of their signatures with it for what remains to reach the bound, sharing the overlap with common beginnings, and
+leaves a subtree as soon as what remains of the two can't reach it. Candidates that links have already put in the set's own group are passed over.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import keyed, parallelism, stored
+from kinetrail.llm.common import NO_ID, discard, fresh, keyed, parallelism, stored
+from kinetrail.llm.groups import Forest, components
 from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
 #: Bytes of sets that one prefix tree holds; a larger block is compared chunk by chunk.
 CHUNK = 48 << 20
 #: Sets that one prefix tree holds, likewise: what is compared one by one grows with their square.
 MOST = 400
+#: Names a task remembers; what it forgets costs only shuffling.
+REMEMBERED = 1_000_000
 #: Up to this size a fourth of a set must be shared within signatures, so that a line many documents share ties no short ones.
 SHORT = 160
 
@@ -57,18 +60,34 @@ class Node:
         self.mark = -1  # the walk that has candidates below
 
 
+def level(k: int) -> int:
+    """How many n-grams of the signatures of two sets, of k n-grams or more, are shared if the sets are similar."""
+    return 1 + max(min(k, SHORT) // 4, k // 20)
+
+
+def alpha(k: int, percent: int) -> int:
+    """How many n-grams a set of k shares with a similar one, at least."""
+    return -(-percent * k // 100)
+
+
+def left_out(k: int, percent: int) -> int:
+    """How many n-grams of a set of k its signature leaves out."""
+    return max(0, alpha(k, percent) - level(k))
+
+
 class Tree:
     """Prefix tree of sorted sets that joins each added set with those before it. percent: Jaccard bound."""
 
     def __init__(self, percent: int):
         self.percent = percent
         self.sets: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.sizes = np.zeros(64, np.int64)
+        self.rests = np.zeros(64, np.int64)  # sizes less signatures
         self.at: list[Node] = []
         self.root = Node(np.zeros(0, np.uint64), 0, None)
         self.up: list[int] = []
         self.walks = 0
-        self.by_key: dict[int, dict[int, list[int]]] = {}  # key -> group -> sets
+        self.by_key: dict[int, list] = {}  # key -> [sets, how many]
         self.links: list[int] = []  # how often a set was linked to
         self.hub: dict[int, int] = {}  # group -> the set most often linked to
 
@@ -87,42 +106,45 @@ class Tree:
             self.hub[min(a, b)] = one if self.links[one] >= self.links[two] else two
 
     def add(self, s: np.ndarray, keys: list[int], like: int = -1) -> int:
-        """Adds a set and links it with the earlier ones that share a key; like: one known to be in its group."""
-        me = len(self.sets)
+        """Adds a set and links it with the earlier ones; keys: the shared n-grams of its signature; like: a set known to
+        be in its group."""
+        me, size = len(self.sets), len(s)
+        near = self._candidates(size, keys)
         self.sets.append(s)
-        self.sizes.append(len(s))
+        if me == len(self.sizes):
+            self.sizes, self.rests = np.resize(self.sizes, 2 * me), np.resize(self.rests, 2 * me)
+        self.sizes[me], self.rests[me] = size, left_out(size, self.percent)
         self.up.append(me)
         self.links.append(0)
         if like >= 0:
             self.union(me, like)
-        size, p, near = len(s), self.percent, self._candidates(keys)
-        if near:  # first the set of each group that most others were linked to: of a group, one link is enough
+        if near:
+            # first the set of each group that most others were linked to: of a group, one link is enough
             self._walk(me, {self.hub.get(g, g): None for g in map(self.find, near) if g != self.find(me)})
-            left = [found for g, lists in near.items() if self.find(g) != self.find(me) for found in lists]
-            if left:
-                sizes = self.sizes
-                self._walk(me, {x: None for x in set().union(*left) if 100 * size >= p * sizes[x] and 100 * sizes[x] >= p * size})
+            mine = self.find(me)
+            if left := {x: None for x in near if self.find(x) != mine}:
+                self._walk(me, left)
         self._insert(me)
-        group = self.find(me)
         for k in keys:
-            self.by_key.setdefault(k, {}).setdefault(group, []).append(me)
+            held = self.by_key.get(k)
+            if held is None:
+                held = self.by_key[k] = [np.zeros(4, np.int32), 0]
+            elif held[1] == len(held[0]):
+                held[0] = np.resize(held[0], 2 * held[1])
+            held[0][held[1]] = me
+            held[1] += 1
         return me
 
-    def _candidates(self, keys: list[int]) -> dict[int, list[list[int]]]:
-        out: dict[int, list[list[int]]] = {}
-        for k in keys:
-            groups = self.by_key.get(k)
-            if groups:
-                for g in [g for g in groups if self.up[g] != g]:  # merged since
-                    old, root = groups.pop(g), self.find(g)
-                    new = groups.get(root)
-                    if new is None:
-                        groups[root] = old
-                    else:
-                        groups[root] = new + old if len(new) < len(old) else (new.extend(old) or new)
-                for g, found in groups.items():
-                    out.setdefault(g, []).append(found)
-        return out
+    def _candidates(self, size: int, keys: list[int]) -> list[int]:
+        held = [h[0][: h[1]] for k in keys if (h := self.by_key.get(k)) is not None]
+        if not held:
+            return []
+        n, p = len(self.sets), self.percent
+        shared, sizes = np.bincount(np.concatenate(held), minlength=n), self.sizes[:n]
+        # what two sets share beyond both signatures lies beyond the one that ends first
+        ok = (shared + np.maximum(self.rests[:n], left_out(size, p))) * (100 + p) >= p * (size + sizes)
+        ok &= (shared > 0) & (100 * size >= p * sizes) & (100 * sizes >= p * size)
+        return np.flatnonzero(ok).tolist()
 
     def _walk(self, me: int, wanted: dict[int, None]) -> bool:
         """Links set `me` with those of wanted that are similar enough."""
@@ -135,33 +157,31 @@ class Tree:
                 node = node.above
         x, p = self.sets[me], self.percent
         n, linked = len(x), False
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, pos, shared = stack.pop()
-            kids = [c for c in node.children.values() if c.mark == mark]
+        front, shared = [self.root], np.zeros(1, np.int64)
+        while front:  # a level of the tree at a time: its n-grams are looked up in x at once
+            kids, above = [], []
+            for i, node in enumerate(front):
+                for c in node.children.values():
+                    if c.mark == mark:
+                        kids.append(c)
+                        above.append(i)
             if not kids:
-                continue
-            # the children's n-grams are looked up in what is left of x at once
-            rest = x[pos:]
+                break
             parts = np.concatenate([c.part for c in kids])
             ends = np.cumsum([len(c.part) for c in kids])
-            hit = np.zeros(len(parts), np.int64)
-            if len(rest):
-                at = np.minimum(np.searchsorted(rest, parts), len(rest) - 1)
-                hit[rest[at] == parts] = 1
-            total = shared + np.add.reduceat(hit, np.concatenate([[0], ends[:-1]]))
-            past = pos + np.searchsorted(rest, parts[ends - 1], side="right")
+            hit = x[np.minimum(np.searchsorted(x, parts), n - 1)] == parts
+            total = shared[above] + np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], ends[:-1]]))
+            past = np.searchsorted(x, parts[ends - 1], side="right")
             # even if all that is left matched: shared >= p / (100 + p) * (n + size) is needed
             most = total + np.minimum(n - past, np.array([c.high - c.depth for c in kids]))
-            for k in np.flatnonzero(most * (100 + p) >= p * (n + np.array([c.low for c in kids]))).tolist():
-                child, have = kids[k], int(total[k])
-                for y in child.ends:
-                    if y in wanted and 100 * have >= p * (n + self.sizes[y] - have):
+            kept = np.flatnonzero(most * (100 + p) >= p * (n + np.array([c.low for c in kids])))
+            front, shared = [kids[k] for k in kept], total[kept]
+            for node, have in zip(front, shared.tolist()):
+                for y in node.ends:
+                    if y in wanted and 100 * have >= p * (n + len(self.sets[y]) - have):
                         self.links[y] += 1
                         self.union(me, y)
                         linked = True
-                if child.children:
-                    stack.append((child, int(past[k]), have))
         return linked
 
     def _insert(self, me: int) -> None:
@@ -191,48 +211,32 @@ class Tree:
         self.at.append(node)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of edges (a, b): label is the smallest node that edges lead to. Alternating star
-    contraction; each round is aggregations before joins, and is written to the shared folder."""
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    now = stored(both, "edges")
-    seen = None
-    while True:
-        # each node's neighbours point to the smallest of them, first the larger ones, then the smaller ones
-        two = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = stored(two.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        now = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if sign == seen:
-            break
-        seen = sign
-    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+def _pivots(table: pa.Table) -> pa.Table:
+    """(pivot, root) of the pivots of a block, tied by pairs (b, p): at most the square of some 64."""
+    forest = Forest()
+    for a, b in zip(table.column("b").to_pylist(), table.column("p").to_pylist()):
+        forest.union(a, b)
+    return pa.table([pa.array(c, pa.int64()) for c in forest.edges()], names=["p", "root"])
 
 
 def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
-    """(_id, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
+    """(_id, _th, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
     lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words: the whole sequence as one) and the smallest _id that links
-    lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long.
+    lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long, which
+    names a component only where all its ids are null; _th is a hash of the text.
 
     Null text or no words: empty set, linked with nothing. Rows that repeat or share a doc_id: one row each; equal sets
     are one set. Empty table: no rows. Very long texts: one set at a time is held. Other columns are left out.
     """
     spark = docs.sparkSession
-    slim = keyed(docs).select("_id", "text")
-
-    def alpha(k: int) -> int:
-        return -(-percent * k // 100)
-
-    def level(k: int) -> int:
-        return 1 + max(min(k, SHORT) // 4, k // 20)
+    slim = keyed(docs).select("_id", "_th", "text")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task give one signature
         for batch in batches:
-            ids = batch.column("_id")
+            ids, ths = batch.column("_id"), batch.column("_th")
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for a, b, w in words(batch.column("text"), SPACED, lower=True):
                 size, sids, parts = [], [], []
                 for s in hashed_sets(w, n):
@@ -241,8 +245,9 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                     sids.append(sid)
                     new = sid is not None and sid not in seen
                     seen.add(sid)
-                    parts.append(s[: len(s) - alpha(len(s)) + level(len(s))].tobytes() if new else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())], ["_id", "n", "sid", "part"])
+                    parts.append(s[: len(s) - left_out(len(s), percent)].tobytes() if new else None)
+                cols = [ids.slice(a, b - a), ths.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n", "sid", "part"])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +259,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                     pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(some.column("sid").to_numpy(), sizes)), pa.array(np.repeat(some.column("n").to_numpy(), sizes))
                 ], ["key", "sid", "n"])
 
-    named = stored(slim.mapInArrow(names, "_id long, n int, sid long, part binary"), "sets")
+    named = stored(slim.mapInArrow(names, "_id long, _th long, n int, sid long, part binary"), "sets")
     signed = named.filter("part is not null").select("part", "sid", "n").mapInArrow(opened, "key long, sid long, n int")
     named = named.drop("part")
     shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
@@ -262,14 +267,41 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     least_level = (1 + F.greatest(F.floor(F.least(smallest, F.lit(SHORT)) / 4), F.floor(smallest / 20))).cast("int")
     lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
     rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
-    rare = stored(rare.select("sid", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("keys"), "weight"), "candidates")
-    single = rare.select("sid", F.explode("keys").alias("key"))
-    centres = stored(single.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).filter("a <> z").select("key", "a"), "centres")
-    blocks = components(single.join(centres, "key").filter("sid <> a").select(F.col("sid").alias("b"), "a")).select(F.col("node").alias("sid"), F.col("label").alias("block"))
-    blocks = stored(blocks, "blocks")
+    rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
+    discard(shared)
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets of a task that share a key: edges (a, b) to one of each group, and (key, that one), so that a key sends
+        few rows however many sets have it."""
+        forest, of = Forest(), {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            a, b = forest.edges()
+            none = [None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (none, a, b)], ["key", "a", "b"])
+            held = [forest.find(x) for x in of.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(of), held, held)], ["key", "a", "b"])
+
+        for batch in batches:
+            for sid, keys in zip(batch.column("sid").to_pylist(), batch.column("ties").to_pylist()):
+                for k in keys:
+                    if (other := of.setdefault(k, sid)) != sid:
+                        forest.union(sid, other)
+            if len(of) > REMEMBERED:
+                yield from told()
+                forest, of = Forest(), {}
+        yield from told()
+
+    ties = stored(rare.select("sid", "ties").mapInArrow(tie, "key long, a long, b long"), "ties")
+    by_key = ties.filter("key is not null").select("key", F.col("a").alias("x")).distinct()
+    centres = by_key.groupBy("key").agg(F.min("x").alias("m"), F.max("x").alias("z")).filter("m <> z").select("key", "m")
+    across = by_key.join(centres, "key").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+    blocks = components(ties.filter("key is null").select("a", "b").union(across))
+    blocks = stored(blocks.select(F.col("node").alias("sid"), F.col("label").alias("block")), "blocks")
+    discard(ties)
 
     # the whole sets of candidates, from one document of each
-    one = named.filter("sid is not null").join(blocks, "sid").groupBy("sid", "block").agg(F.min("_id").alias("_id"))
+    one = named.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("_id")).join(blocks, "sid")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,78 +318,94 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["block", "sid", "items"])
 
     picked = slim.join(one.groupBy("_id").agg(F.collect_list(F.struct("sid", "block")).alias("sids")), "_id").select("text", "sids")
-    sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare, "sid"), "whole")
+    sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare.drop("ties"), "sid"), "whole")
+    discard(rare, blocks)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets in the order of their group, those that share most first; one tree a group. Yields (sid, root) of sets that links joined."""
+        """Sets in the order of their group, those that share most first; one tree a group. Yields each set and the one
+        that stands for those it is linked to; of sets with a label, only the pairs of labels that links joined."""
 
-        def settle(tree: Tree, sids: list[int]) -> pa.RecordBatch:
-            roots = [sids[tree.find(i)] for i in range(len(sids))]
-            return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(roots, pa.int64())], ["b", "a"])
+        def settle(group: int, block: int, tree: Tree, sids: list[int], labels: list, pivots: list[bool]) -> pa.RecordBatch:
+            roots = [tree.find(i) for i in range(len(sids))]
+            if labels[0] is None:
+                rows = [(sid, sids[r], p) for sid, r, p in zip(sids, roots, pivots)]
+            else:
+                rows = sorted({(a, labels[r], False) for a, r in zip(labels, roots) if a != labels[r]})
+            b, a, p = zip(*rows) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array([group] * len(b), pa.int64()), pa.array([block] * len(b), pa.int64()), pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(p, pa.bool_())], ["g", "block", "b", "a", "pivot"])
 
-        group, tree, sids, first = None, Tree(percent), [], {}
+        group, tree, sids, labels, pivots, first = None, Tree(percent), [], [], [], {}
         for batch in batches:
-            for g, sid, label, items, keys in zip(*(batch.column(c).to_pylist() for c in ("g", "sid", "label", "items", "keys"))):
+            for g, in_block, sid, label, pivot, items, keys in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "sid", "label", "pivot", "items", "keys"))):
                 if g != group:
                     if sids:
-                        yield settle(tree, sids)
-                    group, tree, sids, first = g, Tree(percent), [], {}
+                        yield settle(group, block, tree, sids, labels, pivots)
+                    group, block, tree, sids, labels, pivots, first = g, in_block, Tree(percent), [], [], [], {}
                 me = tree.add(np.frombuffer(items, np.uint64), keys, first.get(label, -1) if label is not None else -1)
                 sids.append(sid)
+                labels.append(label)
+                pivots.append(pivot)
                 if label is not None:
                     first.setdefault(label, me)
         if sids:
-            yield settle(tree, sids)
+            yield settle(group, block, tree, sids, labels, pivots)
 
     def joined(rows: DataFrame) -> DataFrame:
         parts = parallelism(spark)
-        return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("weight"), "sid").select("g", "sid", "label", "items", "keys").mapInArrow(join, "b long, a long")
+        return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("weight"), "sid").select("g", "block", "sid", "label", "pivot", "items", "keys").mapInArrow(join, "g long, block long, b long, a long, pivot boolean")
 
     sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
     over = (F.col("bytes") > chunk) | (F.col("size") > most)
-    none = F.lit(None).cast("long")
-    small = joined(sets.join(sizes.filter(~over), "block").select(F.xxhash64("block").alias("g"), "sid", none.alias("label"), "items", "keys", "weight"))
-    small = stored(small, "links")
+    none, no = F.lit(None).cast("long").alias("label"), F.lit(False).alias("pivot")
+    small = stored(joined(sets.join(sizes.filter(~over), "block").select(F.xxhash64("block").alias("g"), "block", "sid", none, no, "items", "keys", "weight")), "links")
     labels = small.select(F.col("b").alias("sid"), F.col("a").alias("label"))
 
     if sizes.filter(over).limit(1).count():
-        # Large blocks: chunks by hash, each with the same few pivots; then the sets outside the largest group so far
-        # against all chunks, so that no pair of sets in different groups is left out.
+        # Large blocks: chunks by hash, each with the same few pivots, which tie the groups of the chunks together; then the
+        # sets outside the largest group so far against all chunks, so that no pair of sets in different groups is left out.
         large = stored(sets.join(sizes.filter(over), "block").withColumn("c", F.ceil(2 * F.greatest(F.col("bytes") / chunk, F.col("size") / most)).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
         pivot = F.floor(F.pmod(F.col("h"), F.lit(2**40)) * F.col("size") / 2**40) < 64  # about 64 of a block
-        spread = large.withColumn("q", F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))).withColumn("q", F.explode("q"))
-        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "sid", none.alias("label"), "items", "keys", "weight")), "links")
-        groups = components(first)
-        marked = stored(large.join(groups.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "marked")
+        spread = large.withColumn("pivot", pivot).withColumn("q", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))))
+        first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "block", "sid", none, "pivot", "items", "keys", "weight")), "links")
+        held = first.filter("pivot").groupBy("block", "g", "a").agg(F.min("b").alias("p"))
+        pairs = first.filter("pivot").join(held, ["block", "g", "a"]).filter("b <> p").select("block", "b", "p").distinct()
+        roots = pairs.groupBy("block").applyInArrow(_pivots, "p long, root long")
+        heads = stored(held.join(roots, "p", "left").select("g", "a", F.coalesce("root", "p").alias("head")), "heads")
+        groups = first.join(heads, ["g", "a"], "left").groupBy(F.col("b").alias("sid")).agg(F.min(F.coalesce("head", "a")).alias("label"))
+        marked = stored(large.join(groups, "sid"), "marked")
         count = marked.groupBy("block", "label").agg(F.count("*").alias("k"))
-        count = count.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("k"), "label"))).filter("rank = 1")
-        main = count.select("block", F.col("label").alias("main"), F.col("k").alias("main_size"))
+        main = count.groupBy("block").agg(F.max(F.struct("k", "label")).alias("top")).select("block", F.col("top.label").alias("main"), F.col("top.k").alias("main_size"))
         rest = marked.join(main, "block").withColumn("r", F.ceil(F.col("c") * (F.col("size") - F.col("main_size")) / F.col("size")).cast("int")).filter("r > 0")
         # a query chunk (sets outside the main group) meets every chunk of the block
         asks = rest.filter("label <> main").withColumn("ask", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("r")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
         told = rest.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("to", F.col("q"))
-        pairs = asks.select("block", "ask", "to", "sid", "label", "items", "keys", "weight").union(told.select("block", "ask", "to", "sid", "label", "items", "keys", "weight"))
-        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "sid", "label", "items", "keys", "weight"))
-        final = components(first.union(second))
-        labels = labels.union(final.select(F.col("node").alias("sid"), "label"))
+        wide = ["block", "ask", "to", "sid", "label", "items", "keys", "weight"]
+        pairs = asks.select(*wide).union(told.select(*wide))
+        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "block", "sid", "label", no, "items", "keys", "weight"))
+        final = stored(components(second.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("final")), "final")
+        labels = labels.union(marked.select("sid", "label").join(final, "label", "left").select("sid", F.coalesce("final", "label")))
+        discard(large, first, heads)
 
     group = F.coalesce("label", "sid")
-    rows = stored(named.join(labels, "sid", "left").withColumn("group", group).select("_id", "n", "group"), "grouped")
-    least = stored(rows.filter("group is not null").groupBy("group").agg(F.min("_id").alias("least")), "least")
-    return rows.join(least, "group", "left").select("_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
+    rows = stored(named.join(labels, "sid", "left").withColumn("group", group).select("_id", "_th", "n", "group"), "grouped")
+    known = F.when(F.col("_id") != F.lit(NO_ID), F.col("_id"))
+    least = stored(rows.filter("group is not null").groupBy("group").agg(F.min(known).alias("least")), "least")
+    discard(named, sets, small)
+    return rows.join(least, "group", "left").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
-    """(doc_id, n_shingles, component_id): linked() with doc_id as it came. A component that holds a null doc_id has a
-    null component_id."""
+    """(doc_id, n_shingles, component_id): linked() with doc_id as it came. component_id is null only where no row of the
+    component has a doc_id."""
     found = linked(docs, n, percent, chunk, most)
-    back = lambda c: F.when(F.col(c) == F.lit(-(2**63)), F.lit(None).cast("long")).otherwise(F.col(c))
+    back = lambda c: F.when(F.col(c) == F.lit(NO_ID), F.lit(None).cast("long")).otherwise(F.col(c))
     return found.select(back("_id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the columns it came with, only the rows whose doc_id is the smallest of its group; rows that share that
-    doc_id stay together."""
-    found = linked(docs, n, percent).filter("_id = component").select("_id").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.join(found.withColumnRenamed("_id", "__kept"), key == F.col("__kept"), "left_semi")
+    """docs with the columns it came with, only the rows whose doc_id is the smallest of its group; rows of a group that
+    share that doc_id stay together, and so do those of a group without any doc_id."""
+    found = linked(docs, n, percent).filter("_id = component").select("_id", "_th").distinct()
+    a, b = fresh(docs, "kept_id", "kept_text")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.join(found.select(F.col("_id").alias(a), F.col("_th").alias(b)), (key == F.col(a)) & (F.xxhash64("text") == F.col(b)), "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.llm import queries
 from kinetrail.llm.bpe import codec, encode_decode
+from kinetrail.llm.groups import Forest, components
 from kinetrail.llm.contamination import contamination, decontaminate, judged
 from kinetrail.llm.language import fit, held_out, identify
 from kinetrail.llm.lines import dedup_lines
@@ -78,14 +79,51 @@ def test_short_lines_of_queries(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, df, "").collect()} == {1: "Read more\nx", 2: "y"}
 
 
-@pytest.mark.parametrize("chunk", [48 << 20, 4000])
-def test_groups(docs, odd, empty, chunk):
+@pytest.mark.parametrize("chunk, most", [(48 << 20, 400), (4000, 400), (48 << 20, 6)])
+def test_groups(docs, odd, empty, chunk, most):
     for rows, df in (docs, (ODD, odd)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_groups(df, chunk=chunk).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_groups(df, chunk=chunk, most=most).collect()}
         assert got == brute.components(rows)
     assert ngram_groups(empty).count() == 0
 
 
+def test_groups_of_near_and_nearly_near_copies(spark):
+    """Many sets in one block, some linked, some just short of the bound, cut into chunks and not."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(150):
+        w = list(WORDS[:60])
+        for j in rng.choice(60, rng.integers(0, 4), replace=False):
+            w[j] = f"z{rng.integers(0, 9)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.components(rows)
+    assert len({c for _, c in want.values()}) > 5
+    for most in (400, 8):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_groups(df, most=most).collect()} == want
+
+
+def test_groups_with_null_ids_and_repeats(spark):
+    a, b = " ".join(WORDS[:30]), " ".join(WORDS[100:130])
+    rows = [(None, a), (4, a), (1, a), (1, b), (7, b), (None, b + " c"), (None, "alone"), (4, a)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, kept_id string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_groups(df).collect()), key=str)
+    assert got == sorted([(None, 1), (4, 1), (4, 1), (1, 1), (1, 1), (7, 1), (None, 1), (None, None)], key=str)
+    kept = one_of_each(df)
+    assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, "alone")], key=str)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (500, 2))] + [(5000, i) for i in range(3000, 4500)] + [(i, i + 1) for i in range(7000, 7060)]
+    forest = Forest()
+    for a, b in edges:
+        forest.union(a, b)
+    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {x: forest.find(x) for e in edges if e[0] != e[1] for x in e} and len(got) > 2000
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_of_each(odd):
     want = {i for i, (_, c) in brute.components(ODD).items() if i == c}
     assert {r["doc_id"] for r in one_of_each(odd).collect()} == want
