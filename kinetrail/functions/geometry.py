@@ -48,21 +48,27 @@ def wall_distance(p: Point, width: Column, height: Column, circular: Column) ->
     return F.when(p[0].isNotNull() & p[1].isNotNull(), F.greatest(F.when(circular, F.least(width, height) / 2 - away).otherwise(straight), F.lit(0.0)))
 
 
+def moment(points: list[Point], mean: Point, j: int, k: int) -> Column:
+    """Second moment of coordinates j and k of points about their mean, divided by the count of points, missing ones
+    too, less 1."""
+    return sum((F.coalesce((p[j] - mean[j]) * (p[k] - mean[k]), F.lit(0.0)) for p in points), F.lit(0.0)) / float(max(1, len(points) - 1))
+
+
+def axes(xx: Column, yy: Column, xy: Column) -> tuple[Column, Column]:
+    """Larger and smaller eigenvalue of a symmetric matrix."""
+    root = F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)
+    return (xx + yy + root) / 2, (xx + yy - root) / 2
+
+
 def spread_axes(points: list[Point]) -> tuple[Column, Column]:
-    """Larger and smaller eigenvalue of the covariance of a frame's points, divided by their count, missing ones too,
-    less 1."""
-    n = float(max(1, len(points) - 1))
+    """axes() of the moments of a frame's points."""
 
     def centre(k: int) -> Column:
         total = sum((F.coalesce(p[k], F.lit(0.0)) for p in points), F.lit(0.0))
         return F.try_divide(total, sum((p[k].isNotNull().cast("double") for p in points), F.lit(0.0)))
 
-    def moment(j: int, k: int) -> Column:
-        return sum((F.coalesce((p[j] - centre(j)) * (p[k] - centre(k)), F.lit(0.0)) for p in points), F.lit(0.0)) / n
-
-    xx, yy, xy = moment(0, 0), moment(1, 1), moment(0, 1)
-    root = F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)
-    return (xx + yy + root) / 2, (xx + yy - root) / 2
+    mean = centre(0), centre(1)
+    return axes(moment(points, mean, 0, 0), moment(points, mean, 1, 1), moment(points, mean, 0, 1))
 
 
 def step(c: Column, k: int = 1, seq: str = "seq", frame: str = "frame") -> Column:

@@ -52,6 +52,14 @@ def changed(state: Column, seq: str = "seq", frame: str = "frame") -> Column:
     return F.when(state.isNull() | before.isNull() | (state != before), 1).otherwise(0)
 
 
-def by_rate(df: DataFrame, rates: list[float], make: Callable[[DataFrame, float], DataFrame], column: str = "fps") -> DataFrame:
-    """make(rows of a frame rate, rate) for each rate, together: window widths are literals of a plan."""
-    return reduce(DataFrame.unionByName, [make(df.filter(F.col(column) == r), r) for r in rates])
+def by_rate(df: DataFrame, rates: list[float] | None, make: Callable[[DataFrame, float], DataFrame], column: str = "fps", default: float = 30.0) -> DataFrame:
+    """make(rows of a frame rate, rate) for each rate, together: window widths are literals of a plan. rates: those that
+    df may hold, None to look them up (one small job); a null rate counts as `default`, any other fails when its row is
+    read."""
+    known = df.withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(float(default))))
+    if rates is None:
+        rates = sorted(r[0] for r in known.select(column).distinct().collect())
+    values = [float(r) for r in rates]
+    checked = F.when(F.col(column).isin(values), F.col(column)).otherwise(F.raise_error(F.concat(F.lit("a frame rate that was not named: "), F.col(column).cast("string"))).cast("double"))
+    known = known.withColumn(column, checked)
+    return reduce(DataFrame.unionByName, [make(known.filter(F.col(column) == r), r) for r in values])

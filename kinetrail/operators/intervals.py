@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrail.functions.windows import changed
@@ -32,17 +35,46 @@ def run_lengths(states: DataFrame, seq: str = "seq", least: int = 3) -> DataFram
 
 
 def greedy(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments of each key in order of start (then stop, action) that start no earlier than the last kept one stopped."""
-    ordered = F.sort_array(F.collect_list(F.struct("start", "stop", "action")))
-    step = lambda acc, s: F.when(s["start"] >= acc["last"], F.struct(s["stop"].alias("last"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
-    empty = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<start: bigint, stop: bigint, action: string>>").alias("kept"))
-    kept = segments.groupBy(*keys).agg(F.aggregate(ordered, empty, step, lambda acc: acc["kept"]).alias("kept"))
-    return kept.select(*keys, F.explode("kept").alias("s")).select(*keys, "s.action", "s.start", "s.stop")
+    """Segments of each key in order of start (then stop, action) that start no earlier than the last kept one stopped,
+    at first 0. Rows stream past in order, with one number of state, so a key may have any number of segments. Rows whose
+    start or stop is null go."""
+    rows = segments.filter("start is not null and stop is not null").select(*keys, "action", "start", "stop")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "start", "stop", "action")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            kept = []
+            starts, stops = batch.column("start").to_pylist(), batch.column("stop").to_pylist()
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+                if k != key:
+                    key, last = k, 0
+                if starts[i] >= last:
+                    kept.append(i)
+                    last = stops[i]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return ordered.mapInArrow(walk, rows.schema)
+
+
+def best_actions(scores: DataFrame, keys: list[str], thresholds: DataFrame | None = None, default: float = 0.27) -> DataFrame:
+    """(keys, frame, action): the action of largest prob, the one of lowest ordinal of equals; null where prob is below
+    the action's threshold (thresholds: action, threshold; `default` for others)."""
+    top = scores.groupBy(*keys, "frame").agg(F.max(F.struct("prob", (-F.col("ordinal")).alias("o"), "action")).alias("top"))
+    rows = top.select(*keys, "frame", "top.prob", "top.action")
+    if thresholds is not None:
+        rows = rows.join(F.broadcast(thresholds.select("action", "threshold")), "action", "left")
+        bound = F.coalesce("threshold", F.lit(default))
+    else:
+        bound = F.lit(default)
+    return rows.select(*keys, "frame", F.when(F.col("prob") >= bound, F.col("action")).alias("action"))
 
 
-def repair(intervals: DataFrame, rate: float = 25.0) -> DataFrame:
+def repair(intervals: DataFrame, rate: float = 25.0, where: Column | None = None) -> DataFrame:
     """Intervals drawn at 30 frames a second on a timeline of `rate`: scaled with halves to even, clipped to 0..limit, and
-    turned where start passes stop. Columns start, stop, limit."""
-    moved = lambda c: F.least(F.greatest(F.bround(F.col(c) * rate / 30.0).cast("long"), F.lit(0).cast("long")), F.col("limit"))
+    turned where start passes stop. Columns start, stop, limit. where: the rows that need scaling (null: no), all if not
+    given; the others are clipped and turned only."""
+    scaled = lambda c: F.bround(F.col(c) * rate / 30.0) if where is None else F.when(where, F.bround(F.col(c) * rate / 30.0)).otherwise(F.col(c))
+    moved = lambda c: F.least(F.greatest(scaled(c).cast("long"), F.lit(0).cast("long")), F.col("limit"))
     a, b = moved("start"), moved("stop")
     return intervals.withColumns({"start": F.least(a, b), "stop": F.greatest(a, b)})

@@ -19,18 +19,18 @@ def key_parts(label: Column) -> tuple[Column, Column, Column]:
 
 def listed(rows: DataFrame, column: str, *keep: str) -> DataFrame:
     """(keep, agent, target, action) of each distinct label of a JSON list, quotes gone, the action in lower case; no
-    rows for null or malformed lists."""
+    rows for null or malformed lists; a label with fewer than three parts has nulls for those it lacks."""
     found = F.from_json(column, "array<string>")
     each = F.array_distinct(F.transform(found, lambda v: F.regexp_replace(v, "'", "")))
     parts = F.split("label", ",")
-    return rows.select(*keep, F.explode(each).alias("label")).select(*keep, parts[0].alias("agent"), parts[1].alias("target"), F.lower(parts[2]).alias("action"))
+    return rows.select(*keep, F.explode(each).alias("label")).select(*keep, F.get(parts, 0).alias("agent"), F.get(parts, 1).alias("target"), F.lower(F.get(parts, 2)).alias("action"))
 
 
 def resolve(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, raw, id): the first of n, n - 1, `n`, `mouse n` and the raw name itself that is a known id (key, id; strings)
-    of the same key, n being the digits that end raw; null if none is."""
+    of the same key, n being the digits that end raw; null if none is. Digits beyond 64 bits have no n - 1."""
     n = F.nullif(F.regexp_extract("raw", r"(\d+)$", 1), F.lit(""))
-    tries = F.array(n, (n.cast("long") - 1).cast("string"), F.concat(F.lit("mouse"), n), F.col("raw"))
+    tries = F.array(n, (n.try_cast("long") - 1).cast("string"), F.concat(F.lit("mouse"), n), F.col("raw"))
     asked = wanted.select(key, "raw", F.posexplode(tries).alias("turn", "id"))
     found = asked.join(known.select(key, "id").distinct(), [key, "id"]).groupBy(key, "raw").agg(F.min_by("id", "turn").alias("id"))
     return wanted.select(key, "raw").distinct().join(found, [key, "raw"], "left")
@@ -43,6 +43,26 @@ def active(predictions: DataFrame, solution: DataFrame, key: str, labels: list[s
     return predictions.join(allowed, [key, *labels], "left_semi")
 
 
+def active_triples(predictions: DataFrame, solution: DataFrame, key: str) -> DataFrame:
+    """predictions (key, agent, target, action, ...) whose normalised label is in the JSON list `labels_of` of the first
+    row (smallest `row`) of their key's solution."""
+    first = solution.groupBy(key).agg(F.min_by("labels_of", "row").alias("labels_of"))
+    each = first.select(key, F.explode(F.array_distinct(F.from_json("labels_of", "array<string>"))).alias("label"))
+    a, t, c = key_parts(F.regexp_replace("label", "'", ""))
+    allowed = each.select(F.col(key).alias("_key"), a.alias("_a"), t.alias("_t"), c.alias("_c")).distinct()
+    mine = key_parts(F.concat_ws(",", "agent", F.coalesce("target", F.lit("")), "action"))
+    on = (F.col(key) == F.col("_key")) & (mine[0] == F.col("_a")) & (mine[1] == F.col("_t")) & (mine[2] == F.col("_c"))
+    return predictions.join(allowed, on, "left_semi")
+
+
+def single_targets(rows: DataFrame, listed_single: list[str]) -> DataFrame:
+    """rows (row, agent, target, action, ...) whose target is the agent where the action is done alone: its first row
+    (smallest `row`) is on itself, or it is listed."""
+    first = rows.groupBy("action").agg(F.min_by(F.col("agent") == F.col("target"), "row").alias("_alone")).select(F.col("action").alias("_action"), "_alone")
+    alone = F.coalesce("_alone", F.lit(False)) | F.col("action").isin(listed_single)
+    return rows.join(F.broadcast(first), F.col("action") == F.col("_action"), "left").withColumn("target", F.when(alone, F.col("agent")).otherwise(F.col("target"))).drop("_action", "_alone")
+
+
 def fill(extents: DataFrame, actions: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """(key, agent, target, action, start, stop) for keys without a prediction: each (agent, target)'s actions, in order,
     share the frames first..last in equal parts, the last one ending with them."""
@@ -56,12 +76,12 @@ def fill(extents: DataFrame, actions: DataFrame, predicted: DataFrame, key: str)
 
 
 def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with row_id, gapless from 0 in order of key, then order: places within a key plus the counts of the keys before;
-    only the counts pass one task."""
+    """rows with row_id, gapless from 0 in order of key (nulls first), then order: places within a key plus the counts of
+    the keys before; only the counts pass one task."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_c"))
-    before = counts.select(key, (F.sum("_c").over(Window.orderBy(key)) - F.col("_c")).alias("_before"))
+    before = counts.select(F.col(key).alias("_key"), (F.sum("_c").over(Window.orderBy(key)) - F.col("_c")).alias("_before"))
     at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("_at", at).join(before, key).withColumn("row_id", F.col("_before") + F.col("_at") - 1).drop("_at", "_before")
+    return rows.withColumn("_at", at).join(before, F.col(key).eqNullSafe(F.col("_key"))).withColumn("row_id", F.col("_before") + F.col("_at") - 1).drop("_at", "_before", "_key")
 
 
 def write_csv(rows: DataFrame, path: str, key: str, order: list[str]) -> None:

@@ -15,30 +15,52 @@ def class_weights(labels: DataFrame, by: str) -> DataFrame:
 
 def downsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
     """labels (by, key, y) with as many rows of y = false as bring the share of y = true to ratio (all, where it is
-    there already), those with the smallest md5 of key. Ranks come from a window over negatives of one `by`."""
-    counted = class_weights(labels, by).select(by, "pos", "neg")
+    there already, and where a group has only one class), those with the smallest md5 of key. Ranks come from a window
+    over negatives of one `by`; rows whose `by` is null are one group."""
+    counted = class_weights(labels, by).select(F.col(by).alias("_by"), "pos", "neg")
     want = F.floor(F.col("pos") * (1 - ratio) / ratio)
-    keep = F.when(F.col("pos") / (F.col("pos") + F.col("neg")) >= ratio, F.col("neg")).otherwise(F.least(F.greatest(want, F.lit(1)), F.col("neg")))
+    whole = (F.col("pos") == 0) | (F.col("neg") == 0) | (F.col("pos") / (F.col("pos") + F.col("neg")) >= ratio)
+    keep = F.when(whole, F.col("neg")).otherwise(F.least(F.greatest(want, F.lit(1)), F.col("neg")))
     rank = F.row_number().over(Window.partitionBy(by, "y").orderBy(F.md5(F.col(key).cast("string")), key))
-    rows = labels.withColumn("_r", rank).join(counted.withColumn("_k", keep).select(by, "_k"), by)
-    return rows.filter(F.col("y") | (F.col("_r") <= F.col("_k"))).drop("_r", "_k")
+    rows = labels.withColumn("_r", rank).join(counted.select("_by", keep.alias("_k")), F.col(by).eqNullSafe(F.col("_by")))
+    return rows.filter(F.col("y") | (F.col("_r") <= F.col("_k"))).select(*labels.columns)
 
 
-def hold_out(rows: DataFrame, group: str, share: float = 0.1) -> DataFrame:
-    """(group, held_out): max(1, int(groups * share)) groups with the smallest md5 are held out."""
-    groups = rows.select(group).distinct()
-    n = groups.count()
-    rank = F.row_number().over(Window.orderBy(F.md5(F.col(group).cast("string")), group))
-    return groups.withColumn("held_out", rank <= max(1, int(n * share))) if share > 0 else groups.withColumn("held_out", F.lit(False))
+def hold_out(rows: DataFrame, group: str, share: float = 0.1, digits: int = 2) -> DataFrame:
+    """(group, held_out): max(1, int(groups * share)) groups with the smallest md5 are held out. Groups are counted by the
+    first digits of their md5, and only those of the prefix in which the cut falls are ranked."""
+    groups = rows.select(group).distinct().withColumn("_m", F.md5(F.col(group).cast("string")))
+    if share <= 0:
+        return groups.select(group, F.lit(False).alias("held_out"))
+    prefix = F.substring(F.coalesce("_m", F.lit("")), 1, digits)
+    counts = groups.groupBy(prefix.alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16 ** digits rows at most
+    total = F.sum("_n").over(Window.partitionBy())
+    bases = counts.select("_p", before.alias("_before"), F.greatest(F.lit(1), F.floor(total * share)).alias("_cut"))
+    placed = groups.withColumn("_p", prefix).join(F.broadcast(bases), "_p")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_m", group))
+    return placed.select(group, (F.col("_before") + rank <= F.col("_cut")).alias("held_out"))
+
+
+def split_rows(rows: DataFrame, key: str, share: float = 0.1, seed: int = 0) -> DataFrame:
+    """rows with held_out: each with probability `share`, fixed by the md5 of key and seed; no shuffle."""
+    part = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
+    return rows.withColumn("held_out", part < share)
+
+
+def cap_rows(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows, those with the smallest md5 of key and seed."""
+    return rows.withColumn("_m", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))).orderBy("_m", key).limit(most).drop("_m")
 
 
 def upsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
     """labels (by, key, y) with rows of y = true repeated until their share is ratio (as they are, where it is there
     already): each equally often, those with the smallest md5 of key once more."""
-    counted = class_weights(labels, by).select(by, "pos", "neg")
+    counted = class_weights(labels, by).select(F.col(by).alias("_by"), "pos", "neg")
     want = F.ceil(ratio * F.col("neg") / (1 - ratio))
     rank = F.row_number().over(Window.partitionBy(by, "y").orderBy(F.md5(F.col(key).cast("string")), key))
-    rows = labels.withColumn("_r", rank).join(counted.withColumn("_w", want), by)
-    more = F.floor(F.col("_w") / F.col("pos")) + F.when(F.col("_r") <= F.col("_w") % F.col("pos"), 1).otherwise(0)
+    rows = labels.withColumn("_r", rank).join(counted.withColumn("_w", want), F.col(by).eqNullSafe(F.col("_by")))
+    pos = F.nullif(F.col("pos"), F.lit(0))
+    more = F.floor(F.col("_w") / pos) + F.when(F.col("_r") <= F.col("_w") % pos, 1).otherwise(0)
     copies = F.when(F.col("y") & (F.col("_w") > F.col("pos")), more).otherwise(1).cast("int")
     return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).select(*labels.columns)

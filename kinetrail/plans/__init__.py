@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from kinetrail.plans import catalog, features  # noqa: F401
+from kinetrail.plans import catalog, families, features, pair_families  # noqa: F401

@@ -42,3 +42,19 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     width = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal"))
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("lab"), F.col("c_custkey").alias("video"), width.alias("width"))
+
+#: Body parts of frames(): fixed values, names of tracked parts.
+PARTS = ("nose", "ear_left", "ear_right", "neck", "body_center", "hip_left", "hip_right", "tail_base", "lateral_left", "lateral_right")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, entity, seq, frame, fps, arena_width, arena_height, arena_shape, `<part>_x`, `<part>_y`): two entities of a
+    recording of 250 vectors, so recordings grow in number with the table; every 17th coordinate pair is missing."""
+    e = table(spark, sf_dir, "embeddings")
+    base = e.select("vec_id", "embedding", F.floor(F.col("vec_id") / 250).cast("long").alias("video"), (F.col("label") % 2).cast("long").alias("entity"))
+    frame = (F.row_number().over(Window.partitionBy("video", "entity").orderBy("vec_id")) - 1).cast("long")
+    fps = F.element_at(F.array(*map(F.lit, RATES)), (F.col("video") % 3 + 1).cast("int")).cast("long")
+    place = lambda i, k: F.when((F.col("vec_id") + i) % 17 != 0, F.col("embedding")[2 * i + k].cast("double") * 10 + (20, 15)[k])
+    coords = [place(i, k).alias(f"{p}_{'xy'[k]}") for i, p in enumerate(PARTS) for k in (0, 1)]
+    shape = F.when(F.col("video") % 2 == 0, "Circular").otherwise("square").alias("arena_shape")
+    return base.select("video", "entity", (F.col("video") * 2 + F.col("entity")).alias("seq"), frame.alias("frame"), fps.alias("fps"), F.lit(40.0).alias("arena_width"), F.lit(30.0).alias("arena_height"), shape, *coords)
