@@ -50,3 +50,17 @@ def report(counted: DataFrame) -> DataFrame:
     """f_beta() with prec, recall (0 for a zero denominator) and support, the number of true frames."""
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(a) + F.col(b)), F.lit(0.0))
     return f_beta(counted).withColumns({"prec": share("tp", "fp"), "recall": share("tp", "fn"), "support": F.col("tp") + F.col("fn")})
+
+
+def categories(truth: DataFrame, listed_single: list[str]) -> DataFrame:
+    """(action, switch): `single` where the action's first row (smallest `row`) is on its agent itself or it is listed, else
+    `pair`."""
+    first = truth.groupBy("action").agg(F.min_by(F.col("agent") == F.col("target"), "row").alias("own"))
+    return first.select("action", F.when(F.coalesce("own", F.lit(False)) | F.col("action").isin(listed_single), "single").otherwise("pair").alias("switch"))
+
+
+def granular(counted: DataFrame, kinds: DataFrame) -> DataFrame:
+    """report() of each action (summed over labs) with switch (`unknown` where kinds has none), in order of switch and f,
+    descending."""
+    whole = counted.groupBy("action").agg(*(F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+    return report(whole).join(F.broadcast(kinds), "action", "left").withColumn("switch", F.coalesce("switch", F.lit("unknown"))).orderBy(F.desc("switch"), F.desc("f"), "action")

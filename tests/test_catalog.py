@@ -30,7 +30,7 @@ def rows(names, found):
     return sorted(([plain(r[i]) for i in order] for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.sql(ORACLES[name])
