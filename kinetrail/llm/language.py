@@ -2,9 +2,9 @@
 vector machines for the languages within it.
 
 Features are hashed byte 1- to 3-grams of the lower-cased text, scaled by the square root of their share. The models
-are fitted on at most PER_LANG labelled documents of each language (those with the smallest hash of doc_id): the bound
-keeps what comes to the driver at PER_LANG * languages * DIMS numbers. Prediction reads every whole text, in one
-narrow pass.
+are fitted on at most PER_LANG labelled documents of each language, those with the smallest hash, and on at most ROWS of
+all: this bounds what comes to the driver at ROWS * DIMS numbers. Every language is learned. Prediction reads every whole
+text, in one narrow pass.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import bounded
+from kinetrail.llm.common import bounded, fresh
 from kinetrail.llm.words import groups
 
 DIMS = 1 << 12
 #: Most labelled documents of a language that the models are fitted on.
 PER_LANG = 300
-#: Most languages that are learned, the most frequent first; more would need a larger bound.
-LANGS = 200
+#: Most labelled documents of all languages together; with more than ROWS / PER_LANG languages each gets an equal share.
+ROWS = 20_000
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -63,13 +63,13 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 def hinge(x: np.ndarray, y: np.ndarray, rounds: int = 60, c: float = 1e-4) -> np.ndarray:
     """Weights (last: bias) of a linear support vector machine for y in -1, 1: averaged subgradient steps over all rows,
     classes weighted to equal sums. Deterministic."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w = np.zeros(x.shape[1])
     mean = np.zeros_like(w)
     for t in range(1, rounds * 10 + 1):
-        miss = y * (x @ w) < 1
-        w += (8.0 / (1 + 0.02 * t)) * (x[miss].T @ (y[miss] * weight[miss]) - c * w)
+        miss = y * (x @ w.astype(x.dtype)) < 1
+        w += (8.0 / (1 + 0.02 * t)) * ((y * weight * miss).astype(x.dtype) @ x - c * w)
         mean += w * t
     return mean / (rounds * 10 * (rounds * 10 + 1) / 2)
 
@@ -123,25 +123,27 @@ class Model:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """The models learned from docs (doc_id, text, lang): rows with a null text, no letter or null lang don't count."""
+    """The models learned from docs (doc_id, text, lang): rows with a null text, no letter or null lang don't count, rows
+    that repeat in full count once. Other columns play no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, m in features(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), pa.array([r.tobytes() for r in m], pa.binary())], ["lang", "x"])
 
+    # the order depends on all of a row, so only rows that repeat in full share a place
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
     labelled = bounded(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()]
-    # the rows with the smallest hashes: a few a language and task first, then of those
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    slots = labelled.filter(F.col("lang").isin(common)).select("doc_id", "lang", order.alias("o")).withColumn("s", F.pmod("o", F.lit(64)))
+    places = labelled.select("lang", order.alias("o"))
+    n = places.select("lang").distinct().count()
+    per_lang = min(per_lang, max(1, ROWS // max(1, n)))
+    # the smallest of each language and of 64 slots, without repeats, then of those
+    slots = places.withColumn("s", F.pmod("o", F.lit(64))).distinct()
     for by in (["lang", "s"], ["lang"]):
-        slots = slots.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("o", "doc_id"))).filter(F.col("n") <= per_lang).drop("n")
-    most = {r["lang"]: r["o"] for r in slots.groupBy("lang").agg(F.max("o").alias("o")).collect()}
-    picked = F.lit(False)
-    for code, o in most.items():
-        picked = picked | ((F.col("lang") == code) & (order <= F.lit(o)))
-    rows = labelled.filter(picked).mapInArrow(run, "lang string, x binary").collect() if most else []
+        slots = slots.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("o"))).filter(F.col("n") <= per_lang).drop("n")
+    most = slots.groupBy("lang").agg(F.max("o").alias("most"))  # a row a language
+    picked = labelled.withColumn("o", order).join(F.broadcast(most), "lang").filter(F.col("o") <= F.col("most")).dropDuplicates(["lang", "o"])
+    rows = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), DIMS)
     return Model(x, [r["lang"] for r in rows])
@@ -150,15 +152,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """docs' columns `keep` and (lang_pred, score) of each row; score is 0 to 1. Null text or one without a letter: `und`,
     score 0. Nothing learned: always `und`. Rows that repeat fare alike; very long texts are read whole, one after
-    another. lang, source and doc_id play no part."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: machines of at most LANGS languages
-    slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    out = slim.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    another. lang, source and doc_id play no part. Kept columns named like the added ones are replaced by them."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each family and pair of a family's languages
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
+    (name,) = fresh(docs, "whole_text")
+    slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(name))
+    out = slim.drop(name).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(batch.num_columns - 1)
             lettered = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             for a, b, x in features(texts):
