@@ -3,7 +3,7 @@
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Training words stream through the automaton,
 which tracks the longest match that ends at each word; a match of at least `window` words lies in an item's windows,
 and its words are hit. The automaton is built for blocks of items of bounded size, so what is sent to tasks is bounded;
-more items make more blocks, and each document passes through each.
+more items make more blocks, which are run in turn: what one found is written before the next begins.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import bounded
+from kinetrail.llm.common import bounded, discard, fresh, stored
 from kinetrail.llm.words import ALNUM, Words, words
 
 #: Most words of items in one automaton.
@@ -171,20 +171,24 @@ def item_blocks(benchmark: DataFrame, window: int, block: int) -> Iterator[list[
         yield have
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK, cut: bool = False) -> DataFrame:
-    """docs' columns and (_n_words long, _spans array<struct<start, stop>>, _items array<string>): the number of words, the
-    maximal hit intervals of word numbers, and the sorted ids of items with occurring windows. A window is `window`
-    consecutive words of an item; an item of fewer words, but not none, is one window.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block: int = BLOCK, cut: bool = False, names: tuple[str, str, str] = ("_n_words", "_spans", "_items")) -> DataFrame:
+    """docs' columns and, as `names`, (_n_words long, _spans array<struct<start, stop>>, _items array<string>): the number of
+    words, the maximal hit intervals of word numbers, and the sorted ids of items with occurring windows. A window is
+    `window` consecutive words of an item; an item of fewer words, but not none, is one window.
 
     Null or wordless text: 0 words, no hits. Null item_id: its words hit, it is not listed. Null or empty benchmark:
-    no hits. cut: the hit spans are left out of `text`. Equal items are all listed. Rows of docs that repeat fare alike. Columns of docs keep their names.
+    no hits. cut: the hit spans are left out of `text`. Equal items are all listed. Rows of docs that repeat fare alike, null
+    ids like others. Columns of docs keep their names and values; one named like an added column is an error.
     Narrow for benchmarks of one block: no shuffle, one pass over the documents.
     """
-    have = bounded(docs).withColumns({"_n_words": F.lit(-1).cast("long"), "_spans": F.array().cast("array<struct<start: int, stop: int>>"), "_items": F.array().cast("array<string>")})
+    if clash := [n for n in names if n.lower() in {c.lower() for c in docs.columns}]:
+        raise ValueError(f"docs has columns named like added ones: {', '.join(clash)}")
+    n_words, spans_of, items_of = names
+    have = bounded(docs).withColumns({n_words: F.lit(-1).cast("long"), spans_of: F.array().cast("array<struct<start: int, stop: int>>"), items_of: F.array().cast("array<string>")})
     sc = docs.sparkSession.sparkContext
     schema = have.schema
     blocks = item_blocks(benchmark, window, block)
-    items = next(blocks, [])
+    items, old = next(blocks, []), None
     while items is not None:
         after = next(blocks, None)
         sent = sc.broadcast(Automaton(items, window))  # at most `block` words: bounded
@@ -193,9 +197,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
             m = sent.value
             for batch in batches:
                 n = np.zeros(batch.num_rows, np.int64)
-                was = {k: v for k, v in zip(("_spans", "_items"), (batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()))}
-                hit: dict[int, list] = {i: [(x["start"], x["stop"]) for x in v] for i, v in enumerate(was["_spans"]) if v}
-                items: dict[int, set] = {i: set(v) for i, v in enumerate(was["_items"]) if v}
+                hit: dict[int, list] = {i: [(x["start"], x["stop"]) for x in v] for i, v in enumerate(batch.column(spans_of).to_pylist()) if v}
+                items: dict[int, set] = {i: set(v) for i, v in enumerate(batch.column(items_of).to_pylist()) if v}
                 for a, b, w in words(batch.column("text"), ALNUM, lower=True):
                     n[a:b] = w.counts
                     for d, x, y in m.stretches(w):
@@ -208,13 +211,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                 if last and any(spans):
                     texts = batch.column("text").to_pylist()
                     batch = batch.set_column(batch.schema.names.index("text"), "text", pa.array([_without(t, x) if x else t for t, x in zip(texts, spans)], pa.string()))
-                cols = [batch.column(c) for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")]
-                yield pa.RecordBatch.from_arrays([
-                    *cols, pa.array(n), pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
-                ], names=[*(c for c in batch.schema.names if c not in ("_n_words", "_spans", "_items")), "_n_words", "_spans", "_items"])
-
-        have, items = have.mapInArrow(run, schema), after
+                given = {
+                    n_words: pa.array(n), spans_of: pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                    items_of: pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
+                }
+                yield pa.RecordBatch.from_arrays([given[c] if c in given else batch.column(k) for k, c in enumerate(batch.schema.names)], names=batch.schema.names)
+
+        have = have.mapInArrow(run, schema)
+        if after is not None:  # one automaton at a time
+            have, was = stored(have, "found"), old
+            old = have
+            sent.unpersist()
+            if was is not None:
+                discard(was)
+        items = after
     return have
 
 
@@ -250,7 +260,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """docs with the columns it came with: a document at or above the share goes; from another the hit spans are cut
     out of the text, at the bytes between words, and the rest stays as it was. Cases as in contamination()."""
-    names = docs.columns
-    found = contamination(docs, benchmark, window, cut=True)
-    n_hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["stop"] - x["start"]))
-    return found.filter((n_hit == 0) | (n_hit * share < F.col("_n_words"))).select(*[F.col(f"`{c}`") for c in names])
+    names = tuple(fresh(docs, "_n_words", "_spans", "_items"))
+    found = contamination(docs, benchmark, window, cut=True, names=names)
+    n_hit = F.aggregate(names[1], F.lit(0).cast("long"), lambda acc, x: acc + (x["stop"] - x["start"]))
+    return found.filter((n_hit == 0) | (n_hit * share < F.col(names[0]))).select(*[F.col(f"`{c}`") for c in docs.columns])
