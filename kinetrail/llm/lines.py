@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import keyed, stored
+from kinetrail.llm.common import fresh, keyed, stored
 from kinetrail.llm.words import BASE, INVERSE, SPACED, Words, mix, powers, texts
 
 NEWLINE = 10
+#: Variants a task remembers; what it forgets costs only shuffling.
+REMEMBERED = 2_000_000
 
 
 class Lines:
@@ -121,12 +123,17 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
     shared = stored(counted.filter("a <> b or (whole and n > 1)").select("key"), "halves")
     lists = slim.mapInArrow(where, "key long, _id long").join(shared, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("keys"))
 
+    def apart(place: tuple) -> int:
+        return ((place[0] ^ place[1] ^ place[2] * 0x9E3779B97F4A7C15) + 2**63 & 2**64 - 1) - 2**63
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (v, p, place, of): variant, its i (-1: the line itself, -2: a line too short for edits, -3: settled by the
         earlier line `of` of this task)."""
         seen: dict[tuple[int, int], tuple] = {}  # of this task's rows so far, which come in order
         for batch in batches:
             ids, ths = batch.column("_id").to_pylist(), batch.column("_th").to_pylist()
+            if len(seen) > REMEMBERED:
+                seen.clear()
             listed = batch.column("keys")
             marks, values = np.asarray(listed.offsets), listed.values.to_numpy().view(np.uint64)
             for x, y, li in grouped(batch.column("text")):
@@ -159,8 +166,9 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
                     place = (ids[x + d], ths[x + d], int(li.number[r]))
                     e = int(whole_keys(total, np.array([a]), np.array([b])).view(np.int64)[0])
                     own = -1 if n >= fuzzy else -2
-                    if (e, own) in seen:  # the same line, earlier
-                        put(e, -3, place, seen[e, own])
+                    if (e, own) in seen:  # the same line, earlier; keyed by its place, not by what many lines share
+                        if seen[e, own] != place:  # not the same row once more
+                            put(apart(place), -3, place, seen[e, own])
                         continue
                     seen[e, own] = place
                     put(e, own, place, None)
@@ -178,12 +186,12 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
                         late = None
                         new = []
                         for p, v in zip(range(lo, hi), variants(total, a, b, a + lo, a + hi).view(np.int64).tolist()):
-                            if (of := seen.setdefault((v, p), place)) is not place:
+                            if (of := seen.setdefault((v, p), place)) != place:
                                 late = late or of
                             else:
                                 new.append((v, p))
                         if late:  # settled; its own variants still settle later lines
-                            put(e, -3, place, late)
+                            put(apart(place), -3, place, late)
                         for v, p in new:
                             put(v, p, place, None)
                 if out[0]:
@@ -210,26 +218,31 @@ def dedup_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFrame:
     least = 1, as the query and the pipeline have it, these are blank lines only. White
     space within a line doesn't count in comparisons. Null doc_id: before all others. Rows that share a doc_id: ordered
     by a hash of the text; rows that repeat in full fare alike, as one document. Empty table: no rows. Columns of docs
-    named like the added ones are replaced.
+    named like the two added ones are replaced; all others are kept, whatever their names.
     """
-    gone = duplicate_lines(docs, least, fuzzy).groupBy("_id").agg(F.collect_list(F.struct("_th", "line")).alias("_gone"))
+    slim = docs.select("doc_id", "text")
+    gone = duplicate_lines(slim, least, fuzzy).groupBy("_id").agg(F.collect_list(F.struct("_th", "line")).alias("_gone"))
     kind = docs.schema["doc_id"].dataType
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "_n_lines", "_removed", "_gone", "_id", "_th")]
-    have = keyed(docs, *[F.col(f"`{c}`") for c in rest]).join(gone, "_id", "left")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "_n_lines", "_removed")]
+    # the other columns travel as one, so their names meet no others
+    other = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []
+    have = keyed(docs, *other).join(gone, "_id", "left")
     doc_id = F.when(F.col("_id") != F.lit(-(2**63)), F.col("_id")).cast(kind).alias("doc_id")
-    order = [doc_id if c == "doc_id" else F.col(f"`{c}`") for c in docs.columns if c in rest or c in ("doc_id", "text")]
-    slim = have.select(*order, F.lit(0).alias("_n_lines"), F.array().cast("array<int>").alias("_removed"), "_th", "_gone")
-    schema = slim.drop("_th", "_gone").schema
+    order = [doc_id if c == "doc_id" else F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns if c in rest or c in ("doc_id", "text")]
+    kept = have.select(*order)
+    th, of = fresh(kept, "_th", "_gone")
+    slim = have.select(*order, F.lit(0).alias("_n_lines"), F.array().cast("array<int>").alias("_removed"), F.col("_th").alias(th), F.col("_gone").alias(of))
+    schema = slim.drop(th, of).schema
     schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
     names = schema.names
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, total, removed = [], [], []
-            for t, th, gone in zip(*(batch.column(c).to_pylist() for c in ("text", "_th", "_gone"))):
+            for t, mark, gone in zip(*(batch.column(c).to_pylist() for c in ("text", th, of))):
                 lines = t.split("\n") if t else []
                 count = len(lines) - (bool(t) and t.endswith("\n"))
-                mine = sorted({x["line"] for x in gone if x["_th"] == th}) if gone else []
+                mine = sorted({x["line"] for x in gone if x["_th"] == mark}) if gone else []
                 if mine:
                     drop = set(mine)
                     t = "\n".join(x for i, x in enumerate(lines) if i not in drop)
