@@ -19,6 +19,8 @@ from kinetrail.llm.words import Words, words
 
 #: Words of the grams among which a window's anchor is chosen.
 GRAM = 8
+#: Windows a task remembers; what it forgets costs only shuffling.
+REMEMBERED = 2_000_000
 
 
 def sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
@@ -86,7 +88,10 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # windows of this task's rows so far, which come in order
+        row = None  # the row before: one that repeats it in full is the same document
         for batch in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
             ids, hashes, listed = batch.column("_id").to_numpy(), batch.column("_th").to_numpy(), batch.column("anchors")
             marks, values = np.asarray(listed.offsets), listed.values.to_numpy().view(np.uint64)
             for a, b, w in words(batch.column("text")):
@@ -96,7 +101,8 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for d in range(b - a):
                     lo, hi = cut[d], cut[d + 1]
-                    if lo == hi:
+                    again, row = row == (ids[a + d], hashes[a + d]), (ids[a + d], hashes[a + d])
+                    if lo == hi or again:
                         continue
                     mine = np.flatnonzero(np.isin(anchor[lo:hi], values[marks[a + d] : marks[a + d + 1]]))
                     if not len(mine):
@@ -117,8 +123,9 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
 
     rows = base.join(lists, "_id").sortWithinPartitions("_id", "_th").select("_id", "_th", "text", "anchors")
     found = rows.mapInArrow(compare, "key long, _id long, _th long, pos int, more binary")
-    first = Window.partitionBy("key", F.col("pos") < 0).orderBy("_id", "_th", "pos")
-    late = found.withColumn("_n", F.row_number().over(first)).filter("_n > 1 or pos < 0")
+    place = F.struct("_id", "_th", "pos")
+    first = F.min(place).over(Window.partitionBy("key", F.col("pos") < 0))
+    late = found.withColumn("first", first).filter((place > F.col("first")) | (F.col("pos") < 0))
     late = late.groupBy("_id").agg(F.collect_list(F.struct("_th", "pos", "more")).alias("late"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
