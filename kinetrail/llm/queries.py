@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrail.llm.oracles import ORACLES  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -82,4 +84,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan)}
-ORACLES: dict[str, str] = {}

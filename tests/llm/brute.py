@@ -117,7 +117,7 @@ def lines(docs, least=5, fuzzy=8):
             w = tuple(spaced(line))
             if len(w) < least:
                 continue
-            if w in exact or len(w) >= fuzzy and any(len(b) >= fuzzy and edits(w, b, 1) <= 1 for b in before if abs(len(b) - len(w)) <= 1 and (b[: len(b) // 2 - 1] == w[: len(b) // 2 - 1] or b[-(len(b) // 2 - 1) :] == w[-(len(b) // 2 - 1) :])):
+            if w in exact or len(w) >= fuzzy and any(len(b) >= fuzzy and edits(w, b, 1) <= 1 for b in before if abs(len(b) - len(w)) <= 1):
                 gone.append(i)
             if w not in exact:
                 before.append(w)
