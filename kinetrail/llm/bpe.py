@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from kinetrail.llm.common import bounded
+from kinetrail.llm.common import bounded, frugal
 
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -257,6 +257,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     Narrow: no shuffle, one pass, a worker holds one Arrow batch.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, texts = [], [], []
@@ -277,6 +278,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what encode_decode() returns, made in the same pass
     so that ids need not pass through Spark's rows. Cases as there."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:

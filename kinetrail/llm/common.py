@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +58,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def frugal(task: Task) -> Task:
+    """A task that gives freed memory back at its end: workers are used again by later stages, and would keep it."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def bounded(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """docs; from here on the session's Arrow batches hold at most `rows` rows, since a row here is a whole text and a
     worker, and the executor that feeds it, hold a batch or two at a time."""

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import bounded, discard, fresh, stored
+from kinetrail.llm.common import bounded, discard, fresh, frugal, stored
 from kinetrail.llm.words import ALNUM, Words, words
 
 #: Most words of items in one automaton.
@@ -149,6 +149,7 @@ def item_blocks(benchmark: DataFrame, window: int, block: int) -> Iterator[list[
     """Items (item_id as string, hashes of words) in blocks of at most block words; a longer item is cut into parts
     that overlap by window - 1 words, which keeps all its windows."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -193,6 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         after = next(blocks, None)
         sent = sc.broadcast(Automaton(items, window))  # at most `block` words: bounded
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=cut and after is None) -> Iterator[pa.RecordBatch]:
             m = sent.value
             for batch in batches:

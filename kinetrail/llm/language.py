@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import bounded, fresh
+from kinetrail.llm.common import bounded, fresh, frugal
 from kinetrail.llm.words import groups
 
 DIMS = 1 << 12
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """The models learned from docs (doc_id, text, lang): rows with a null text, no letter or null lang don't count, rows
     that repeat in full count once. Other columns play no part."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, m in features(batch.column("text")):
@@ -159,6 +160,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(name))
     out = slim.drop(name).schema.add("lang_pred", "string").add("score", "double")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:

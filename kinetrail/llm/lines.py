@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import fresh, keyed, stored
+from kinetrail.llm.common import fresh, frugal, keyed, stored
 from kinetrail.llm.words import BASE, INVERSE, SPACED, Words, mix, powers, texts
 
 NEWLINE = 10
 #: Variants a task remembers; what it forgets costs only shuffling.
-REMEMBERED = 2_000_000
+REMEMBERED = 300_000
 
 
 class Lines:
@@ -48,7 +48,7 @@ class Lines:
         return total
 
 
-def grouped(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, Lines]]:
+def grouped(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, Lines]]:
     data, offsets = texts(column)
     a, n = 0, len(column)
     while a < n:
@@ -104,6 +104,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
         rows = np.concatenate([ok, *[ok[far]] * 4])
         return rows, np.concatenate([e, *halves]), np.concatenate([e, *[e[far]] * 4]), np.arange(len(rows)) < len(ok)
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, li in grouped(batch.column("text")):
@@ -111,6 +112,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
                     _, k, e, whole = keys(li)
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(e.view(np.int64)), pa.array(whole)], ["key", "e", "whole"])
 
+    @frugal
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy()
@@ -126,6 +128,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
     def apart(place: tuple) -> int:
         return ((place[0] ^ place[1] ^ place[2] * 0x9E3779B97F4A7C15) + 2**63 & 2**64 - 1) - 2**63
 
+    @frugal
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (v, p, place, of): variant, its i (-1: the line itself, -2: a line too short for edits, -3: settled by the
         earlier line `of` of this task)."""
@@ -236,6 +239,7 @@ def dedup_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFrame:
     schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
     names = schema.names
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, total, removed = [], [], []

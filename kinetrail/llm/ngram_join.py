@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.llm.common import NO_ID, discard, fresh, keyed, parallelism, stored
+from kinetrail.llm.common import NO_ID, discard, fresh, frugal, keyed, parallelism, stored
 from kinetrail.llm.groups import Forest, components
 from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
@@ -231,6 +231,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     spark = docs.sparkSession
     slim = keyed(docs).select("_id", "_th", "text")
 
+    @frugal
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of a task give one signature
         for batch in batches:
@@ -249,6 +250,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                 cols = [ids.slice(a, b - a), ths.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n", "sid", "part"])
 
+    @frugal
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -270,6 +272,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
     discard(shared)
 
+    @frugal
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of a task that share a key: edges (a, b) to one of each group, and (key, that one), so that a key sends
         few rows however many sets have it."""
@@ -303,6 +306,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     # the whole sets of candidates, from one document of each
     one = named.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("_id")).join(blocks, "sid")
 
+    @frugal
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column("sids").to_pylist()
@@ -321,6 +325,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare.drop("ties"), "sid"), "whole")
     discard(rare, blocks)
 
+    @frugal
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets in the order of their group, those that share most first; one tree a group. Yields each set and the one
         that stands for those it is linked to; of sets with a label, only the pairs of labels that links joined."""

@@ -110,7 +110,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def groups(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def groups(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, bytes, offsets) of consecutive rows with about size bytes together; one row may be longer."""
     data, offsets = texts(column)
     a, n = 0, len(column)
