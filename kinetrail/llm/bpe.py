@@ -25,7 +25,7 @@ from kinetrail.llm.common import bounded, frugal
 #: The pre-tokenizer's pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's memory of pieces; it is emptied when full.
-MEMORY = 600_000
+MEMORY = 300_000
 #: Rows, and about as many characters, that are encoded together.
 GROUP, GROUP_SIZE = 256, 1 << 20
 #: Tokens that are decoded in one gather.
@@ -120,6 +120,11 @@ class Codec:
         self.digits = max(map(len, shown))
         self.shown = np.frombuffer(b"".join(x.ljust(self.digits, b"\0") for x in shown), np.uint8).reshape(n, self.digits)
 
+    def forget(self) -> None:
+        """Empties what was remembered of texts; the tables stay."""
+        self.seen.clear()
+        self.fits.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves tokens a, b standing side by side: undo their merges from the last on and look for a
         merge across the border that would have come first."""
@@ -173,7 +178,7 @@ class Codec:
                     token = ids.pop()
                     pos -= sizes[token]
                     before = ids[-1] if ids else -1
-        if len(fits) > 600_000:
+        if len(fits) > MEMORY:
             fits.clear()
         if len(ids) == 1:
             return self.raw[token]
@@ -269,6 +274,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.int32), *ids])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+        codec(path).forget()
 
     slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
@@ -290,6 +296,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded += [sha(t.encode()) for t in texts]
             sizes = np.concatenate([np.zeros(0, np.int64), *n])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(shown, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec(path).forget()
 
     slim = bounded(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
