@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id among keys.
 NO_ID = -(2**63)
+#: Bytes of rows a task puts out until it gives freed memory back.
+TRIM = 1 << 23
 
 
 def scratch(spark: SparkSession) -> str:
@@ -61,28 +63,40 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(task: Task) -> Task:
-    """A task that gives freed memory back at its end: workers are used again by later stages, and would keep it."""
+    """A task that gives freed memory back as it goes, and at its end: workers are used again by later stages, and would
+    keep it."""
 
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
         try:
-            yield from task(batches)
+            for out in task(batches):
+                size += out.nbytes
+                yield out
+                if size > TRIM:
+                    size = 0
+                    give_back()
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # a C library without it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 
 
-def bounded(docs: DataFrame, rows: int = 1000) -> DataFrame:
-    """docs; from here on the session's Arrow batches hold at most `rows` rows, since a row here is a whole text and a
-    worker, and the executor that feeds it, hold a batch or two at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def bounded(docs: DataFrame, rows: int = 1000, size: int = 1 << 22) -> DataFrame:
+    """docs; from here on the session's Arrow batches hold at most `rows` rows and end with the row that reaches `size`
+    bytes, since a row here is a whole text and a worker, and the executor that feeds it, hold a batch or two at a time."""
     conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(conf.get(name).rstrip("bB")) <= most:
+            conf.set(name, str(most))
     return docs
 
 

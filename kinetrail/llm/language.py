@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kinetrail.llm.common import bounded, fresh, frugal
 from kinetrail.llm.words import groups
@@ -157,20 +158,22 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a machine for each family and pair of a family's languages
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     (name,) = fresh(docs, "whole_text")
-    slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(name))
+    once = "text" in keep and docs.schema["text"].dataType == StringType()  # a kept text travels once
+    slim = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], *([] if once else [F.col("text").cast("string").alias(name)]))
+    at = keep.index("text") if once else len(keep)
     out = slim.drop(name).schema.add("lang_pred", "string").add("score", "double")
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             lettered = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
             lang, score = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             for a, b, x in features(texts):
                 lang[a:b], score[a:b] = m.predict(x)
             lang[~lettered], score[~lettered] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names[: len(keep)], "lang_pred", "score"])
 
     return slim.mapInArrow(run, out)
 
