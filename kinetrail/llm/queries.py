@@ -83,4 +83,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "stop", "form", digest(F.col("candidate")).alias("candidate_sha256"), "score", "is_secret")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan, op11_periodic_runs)}

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 
 def sha(x: str) -> str:
@@ -124,3 +125,33 @@ def lines(docs, least=5, fuzzy=8):
                 exact.add(w)
         out[d] = (len(ls), gone)
     return out
+
+
+def runs(ws, least=24, power=3):
+    """(start, stop, period) of the runs of a list of words, by trying every period."""
+    n, found = len(ws), {}
+    for p in range(1, n // power + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and ws[j] == ws[j + p]:
+                j += 1
+            if j > i and j + p - i >= max(least, power * p):
+                found.setdefault((i, j + p), p)
+            i = max(j, i + 1)
+    return sorted((a, b, p) for (a, b), p in found.items())
+
+
+def run_digest(doc_id, text):
+    ws, h = spaced(text), zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(ws), h // 10
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        ws = [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+    found, gone = runs(ws), set()
+    for a, b, p in found:
+        gone.update(range(a + p, b))
+    best = min(found, key=lambda r: (-Fraction(r[1] - r[0], r[2]), r[0], r[2]), default=None)
+    top = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
+    return (len(found), *top, sha("".join(f"{a},{b - a},{p}\n" for a, b, p in found)), sha(" ".join(w for i, w in enumerate(ws) if i not in gone)))
