@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.common import NO_ID, discard, fresh, frugal, keyed, parallelism, stored
@@ -75,18 +75,15 @@ def left_out(k: int, percent: int) -> int:
     return max(0, alpha(k, percent) - level(k))
 
 
-class Tree:
-    """Prefix tree of sorted sets that joins each added set with those before it. percent: Jaccard bound."""
+class Block:
+    """Sets that are added one by one, each joined with those before it. percent: Jaccard bound. Subclasses say which
+    sets are candidates, compare them and remember them."""
 
     def __init__(self, percent: int):
         self.percent = percent
         self.sets: list[np.ndarray] = []
         self.sizes = np.zeros(64, np.int64)
-        self.rests = np.zeros(64, np.int64)  # sizes less signatures
-        self.at: list[Node] = []
-        self.root = Node(np.zeros(0, np.uint64), 0, None)
         self.up: list[int] = []
-        self.walks = 0
         self.by_key: dict[int, list] = {}  # key -> [sets, how many]
         self.links: list[int] = []  # how often a set was linked to
         self.hub: dict[int, int] = {}  # group -> the set most often linked to
@@ -106,16 +103,17 @@ class Tree:
             self.hub[min(a, b)] = one if self.links[one] >= self.links[two] else two
 
     def add(self, s: np.ndarray, keys: list[int], like: int = -1) -> int:
-        """Adds a set and links it with the earlier ones; keys: the shared n-grams of its signature; like: a set known to
+        """Adds a set and links it with the earlier ones; keys: the shared keys of its signature; like: a set known to
         be in its group."""
         me, size = len(self.sets), len(s)
         near = self._candidates(size, keys)
         self.sets.append(s)
         if me == len(self.sizes):
-            self.sizes, self.rests = np.resize(self.sizes, 2 * me), np.resize(self.rests, 2 * me)
-        self.sizes[me], self.rests[me] = size, left_out(size, self.percent)
+            self.sizes = np.resize(self.sizes, 2 * me)
+        self.sizes[me] = size
         self.up.append(me)
         self.links.append(0)
+        self._remember(me)
         if like >= 0:
             self.union(me, like)
         if near:
@@ -135,19 +133,51 @@ class Tree:
             held[1] += 1
         return me
 
-    def _candidates(self, size: int, keys: list[int]) -> list[int]:
+    def _shared(self, keys: list[int]) -> np.ndarray | None:
+        """How many keys each set has in common with these; None: none of them any."""
         held = [h[0][: h[1]] for k in keys if (h := self.by_key.get(k)) is not None]
-        if not held:
+        return np.bincount(np.concatenate(held), minlength=len(self.sets)) if held else None
+
+    def _candidates(self, size: int, keys: list[int]) -> list[int]:
+        raise NotImplementedError
+
+    def _remember(self, me: int) -> None:
+        """Called before set `me` is compared."""
+
+    def _walk(self, me: int, wanted: dict[int, None]) -> None:
+        """Links set `me` with those of wanted that are similar enough."""
+        raise NotImplementedError
+
+    def _insert(self, me: int) -> None:
+        """Called once it was compared."""
+
+
+class Tree(Block):
+    """Prefix tree of sorted sets; keys are the shared n-grams of signatures."""
+
+    def __init__(self, percent: int):
+        super().__init__(percent)
+        self.rests = np.zeros(64, np.int64)  # sizes less signatures
+        self.at: list[Node] = []
+        self.root = Node(np.zeros(0, np.uint64), 0, None)
+        self.walks = 0
+
+    def _remember(self, me: int) -> None:
+        if me == len(self.rests):
+            self.rests = np.resize(self.rests, 2 * me)
+        self.rests[me] = left_out(len(self.sets[me]), self.percent)
+
+    def _candidates(self, size: int, keys: list[int]) -> list[int]:
+        if (shared := self._shared(keys)) is None:
             return []
         n, p = len(self.sets), self.percent
-        shared, sizes = np.bincount(np.concatenate(held), minlength=n), self.sizes[:n]
+        sizes = self.sizes[:n]
         # what two sets share beyond both signatures lies beyond the one that ends first
         ok = (shared + np.maximum(self.rests[:n], left_out(size, p))) * (100 + p) >= p * (size + sizes)
         ok &= (shared > 0) & (100 * size >= p * sizes) & (100 * sizes >= p * size)
         return np.flatnonzero(ok).tolist()
 
-    def _walk(self, me: int, wanted: dict[int, None]) -> bool:
-        """Links set `me` with those of wanted that are similar enough."""
+    def _walk(self, me: int, wanted: dict[int, None]) -> None:
         self.walks += 1
         mark = self.walks
         for y in wanted:
@@ -156,7 +186,7 @@ class Tree:
                 node.mark = mark
                 node = node.above
         x, p = self.sets[me], self.percent
-        n, linked = len(x), False
+        n = len(x)
         front, shared = [self.root], np.zeros(1, np.int64)
         while front:  # a level of the tree at a time: its n-grams are looked up in x at once
             kids, above = [], []
@@ -181,8 +211,6 @@ class Tree:
                     if y in wanted and 100 * have >= p * (n + len(self.sets[y]) - have):
                         self.links[y] += 1
                         self.union(me, y)
-                        linked = True
-        return linked
 
     def _insert(self, me: int) -> None:
         s = self.sets[me]
@@ -211,6 +239,24 @@ class Tree:
         self.at.append(node)
 
 
+class Prefixes:
+    """Keys of a set: the n-grams of its signature; sets are compared in a prefix tree."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        return s[: len(s) - left_out(len(s), self.percent)]
+
+    def least(self, n: Column) -> Column:
+        """How many keys a set of n n-grams shares with a similar one."""
+        smallest = F.ceil(n * self.percent / 100)  # a partner's set
+        return (1 + F.greatest(F.floor(F.least(smallest, F.lit(SHORT)) / 4), F.floor(smallest / 20))).cast("int")
+
+    def block(self) -> Block:
+        return Tree(self.percent)
+
+
 def _pivots(table: pa.Table) -> pa.Table:
     """(pivot, root) of the pivots of a block, tied by pairs (b, p): at most the square of some 64."""
     forest = Forest()
@@ -219,16 +265,17 @@ def _pivots(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in forest.edges()], names=["p", "root"])
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST, method: Prefixes | None = None) -> DataFrame:
     """(_id, _th, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
     lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words: the whole sequence as one) and the smallest _id that links
     lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long, which
-    names a component only where all its ids are null; _th is a hash of the text.
+    names a component only where all its ids are null; _th is a hash of the text. method: how sets are keyed and compared.
 
     Null text or no words: empty set, linked with nothing. Rows that repeat or share a doc_id: one row each; equal sets
     are one set. Empty table: no rows. Very long texts: one set at a time is held. Other columns are left out.
     """
     spark = docs.sparkSession
+    method = method or Prefixes(percent)
     slim = keyed(docs).select("_id", "_th", "text")
 
     @frugal
@@ -246,7 +293,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                     sids.append(sid)
                     new = sid is not None and sid not in seen
                     seen.add(sid)
-                    parts.append(s[: len(s) - left_out(len(s), percent)].tobytes() if new else None)
+                    parts.append(method.keys(s).tobytes() if new else None)
                 cols = [ids.slice(a, b - a), ths.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n", "sid", "part"])
 
@@ -265,8 +312,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     signed = named.filter("part is not null").select("part", "sid", "n").mapInArrow(opened, "key long, sid long, n int")
     named = named.drop("part")
     shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
-    smallest = F.ceil(F.col("n") * percent / 100)  # a partner's set
-    least_level = (1 + F.greatest(F.floor(F.least(smallest, F.lit(SHORT)) / 4), F.floor(smallest / 20))).cast("int")
+    least_level = method.least(F.col("n"))
     lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
     rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
     rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
@@ -304,24 +350,19 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     discard(ties)
 
     # the whole sets of candidates, from one document of each
-    one = named.filter("sid is not null").groupBy("sid").agg(F.min("_id").alias("_id")).join(blocks, "sid")
+    one = named.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("_id", "_th")).alias("row")).select("sid", "row.*").join(blocks, "sid")
 
     @frugal
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column("sids").to_pylist()
+            sids, blocks = batch.column("sid").to_pylist(), batch.column("block")
             for a, b, w in words(batch.column("text"), SPACED, lower=True):
-                out: tuple[list, ...] = ([], [], [])
-                for d, s in enumerate(hashed_sets(w, n)):
-                    sid = set_id(s) if len(s) else None
-                    for x in wanted[a + d]:
-                        if x["sid"] == sid:
-                            for c, v in zip(out, (x["block"], sid, s.tobytes())):
-                                c.append(v)
-                            break
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["block", "sid", "items"])
-
-    picked = slim.join(one.groupBy("_id").agg(F.collect_list(F.struct("sid", "block")).alias("sids")), "_id").select("text", "sids")
+                sets = hashed_sets(w, n)
+                ok = [d for d, s in enumerate(sets) if len(s) and set_id(s) == sids[a + d]]
+                cols = [blocks.take(pa.array([a + d for d in ok], pa.int64())), pa.array([sids[a + d] for d in ok], pa.int64()), pa.array([sets[d].tobytes() for d in ok], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "sid", "items"])
+
+    picked = slim.join(one, ["_id", "_th"]).select("text", "sid", "block")
     sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare.drop("ties"), "sid"), "whole")
     discard(rare, blocks)
 
@@ -330,7 +371,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
         """Sets in the order of their group, those that share most first; one tree a group. Yields each set and the one
         that stands for those it is linked to; of sets with a label, only the pairs of labels that links joined."""
 
-        def settle(group: int, block: int, tree: Tree, sids: list[int], labels: list, pivots: list[bool]) -> pa.RecordBatch:
+        def settle(group: int, block: int, tree: Block, sids: list[int], labels: list, pivots: list[bool]) -> pa.RecordBatch:
             roots = [tree.find(i) for i in range(len(sids))]
             if labels[0] is None:
                 rows = [(sid, sids[r], p) for sid, r, p in zip(sids, roots, pivots)]
@@ -339,13 +380,13 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
             b, a, p = zip(*rows) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array([group] * len(b), pa.int64()), pa.array([block] * len(b), pa.int64()), pa.array(b, pa.int64()), pa.array(a, pa.int64()), pa.array(p, pa.bool_())], ["g", "block", "b", "a", "pivot"])
 
-        group, tree, sids, labels, pivots, first = None, Tree(percent), [], [], [], {}
+        group, tree, sids, labels, pivots, first = None, method.block(), [], [], [], {}
         for batch in batches:
             for g, in_block, sid, label, pivot, items, keys in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "sid", "label", "pivot", "items", "keys"))):
                 if g != group:
                     if sids:
                         yield settle(group, block, tree, sids, labels, pivots)
-                    group, block, tree, sids, labels, pivots, first = g, in_block, Tree(percent), [], [], [], {}
+                    group, block, tree, sids, labels, pivots, first = g, in_block, method.block(), [], [], [], {}
                 me = tree.add(np.frombuffer(items, np.uint64), keys, first.get(label, -1) if label is not None else -1)
                 sids.append(sid)
                 labels.append(label)
@@ -399,12 +440,16 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     return rows.join(least, "group", "left").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
 
 
+def with_ids(found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of what linked() found, with doc_id as it came."""
+    back = lambda c: F.when(F.col(c) == F.lit(NO_ID), F.lit(None).cast("long")).otherwise(F.col(c))
+    return found.select(back("_id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
+
+
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
     """(doc_id, n_shingles, component_id): linked() with doc_id as it came. component_id is null only where no row of the
     component has a doc_id."""
-    found = linked(docs, n, percent, chunk, most)
-    back = lambda c: F.when(F.col(c) == F.lit(NO_ID), F.lit(None).cast("long")).otherwise(F.col(c))
-    return found.select(back("_id").alias("doc_id"), "n_shingles", back("component").alias("component_id"))
+    return with_ids(linked(docs, n, percent, chunk, most))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -31,15 +31,25 @@ SUBSTRINGS = rf"""WITH d AS (SELECT doc_id, REGEXP_EXTRACT_ALL(COALESCE(text, ''
   c AS (SELECT doc_id, COUNT(*) AS n FROM gone GROUP BY doc_id)
   SELECT d.doc_id, LEN(ws) AS n_words, COALESCE(n, 0) AS n_removed, SHA256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-GROUPS = rf"""WITH RECURSIVE d AS (SELECT doc_id, REGEXP_EXTRACT_ALL({LOW}, '{SPACED}') AS ws FROM documents),
-  s AS (SELECT DISTINCT doc_id, ARRAY_TO_STRING(ws[i:i + 4], ' ') AS s FROM d, UNNEST(RANGE(1, GREATEST(LEN(ws) - 3, CASE WHEN LEN(ws) > 0 THEN 2 ELSE 0 END))) u(i)),
+GROUPS_OF = rf"""WITH RECURSIVE d AS (SELECT doc_id, REGEXP_EXTRACT_ALL({LOW}, '{SPACED}') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, ARRAY_TO_STRING(ws[i:i + SPAN], ' ') AS s FROM d, UNNEST(RANGE(1, GREATEST(LEN(ws) - LESS, CASE WHEN LEN(ws) > 0 THEN 2 ELSE 0 END))) u(i)),
   n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
   p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-  e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+  e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= PERCENT * (x.n + y.n - k)),
   reach AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM reach r JOIN e ON e.a = r.node),
   c AS (SELECT node, MIN(label) AS label FROM reach GROUP BY node)
   SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(label, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id"""
 
+
+
+def groups(n: int, percent: int) -> str:
+    """Components of documents whose sets of n-word shingles are similar."""
+    return GROUPS_OF.replace("SPAN", str(n - 1)).replace("LESS", str(n - 2)).replace("PERCENT", str(percent))
+
+
+GROUPS = groups(5, 80)
+NEAR = f"SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM ({groups(3, 85)})"
+
 CONTAMINATION = rf"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, REGEXP_EXTRACT_ALL({LOW}, '{ALNUM}') AS ws FROM benchmark),
   k AS (SELECT item, ws, LEAST(13, LEN(ws)) AS k FROM b WHERE LEN(ws) > 0),
   g AS (SELECT DISTINCT item, k, ARRAY_TO_STRING(ws[i:i + k - 1], ' ') AS g FROM k, UNNEST(RANGE(1, LEN(ws) - k + 2)) u(i)),
@@ -51,4 +61,4 @@ CONTAMINATION = rf"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, REGEXP_
   SELECT d.doc_id, LEN(ws) AS n_words, COALESCE(h.n, 0) AS n_hit, COALESCE(t.n, 0) AS n_items, SHA256(COALESCE(ids, '')) AS items_sha256, COALESCE(h.n, 0) > 0 AND 20 * COALESCE(h.n, 0) >= LEN(ws) AS contaminated
   FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLES = {"op4_line_dedup": LINES, "op5_substring_dedup": SUBSTRINGS, "op6_ngram_join": GROUPS, "op8_decontamination": CONTAMINATION}
+ORACLES = {"op4_line_dedup": LINES, "op5_substring_dedup": SUBSTRINGS, "op6_ngram_join": GROUPS, "op8_decontamination": CONTAMINATION, "op12_minhash_dedup": NEAR}

@@ -64,9 +64,9 @@ def shingles(t, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def components(docs):
+def components(docs, k=5, percent=80):
     """docs: (doc_id, text) -> {doc_id: (n_shingles, component_id)}."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, k) for d, t in docs}
     root = {d: d for d in sets}
 
     def find(x):
@@ -82,7 +82,7 @@ def components(docs):
                 near[e] += 1
             where[s].append(d)
         for e, n in near.items():
-            if 100 * n >= 80 * (len(sets[d]) + len(sets[e]) - n):
+            if 100 * n >= percent * (len(sets[d]) + len(sets[e]) - n):
                 a, b = find(d), find(e)
                 root[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
