@@ -61,4 +61,26 @@ CONTAMINATION = rf"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, REGEXP_
   SELECT d.doc_id, LEN(ws) AS n_words, COALESCE(h.n, 0) AS n_hit, COALESCE(t.n, 0) AS n_items, SHA256(COALESCE(ids, '')) AS items_sha256, COALESCE(h.n, 0) > 0 AND 20 * COALESCE(h.n, 0) >= LEN(ws) AS contaminated
   FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLES = {"op4_line_dedup": LINES, "op5_substring_dedup": SUBSTRINGS, "op6_ngram_join": GROUPS, "op8_decontamination": CONTAMINATION, "op12_minhash_dedup": NEAR}
+
+
+def codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds over integer parts, one CTE for each assignment and each codebook."""
+    rows = f"""WITH v AS (SELECT vec_id, label, LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
+  x AS MATERIALIZED (SELECT vec_id, i // (LEN(v) // {parts}) AS part, i % (LEN(v) // {parts}) AS pos, v[i + 1] AS x FROM v, UNNEST(RANGE(LEN(v))) u(i)),
+  b0 AS MATERIALIZED (SELECT part, entry, pos, x AS c FROM x JOIN (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""
+    for k in range(rounds + 1):
+        rows += f""",
+  d{k} AS (SELECT vec_id, x.part, entry, SUM((x - c) * (x - c)) AS d FROM x JOIN b{k} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL),
+  a{k} AS MATERIALIZED (SELECT vec_id, part, MIN(STRUCT_PACK(d := d, entry := entry)).entry AS entry, MIN(d) AS d FROM d{k} GROUP BY vec_id, part)"""
+        if k < rounds:
+            rows += f""",
+  m{k} AS (SELECT x.part, entry, pos, SUM(x) AS s, COUNT(*) AS n FROM x JOIN a{k} a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY ALL),
+  b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, CAST(CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS c FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)"""
+    return rows + f""",
+  r AS (SELECT vec_id, STRING_AGG(PRINTF('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(SUM(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+  h AS (SELECT SHA256(STRING_AGG(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+  SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), h"""
+
+
+ORACLES = {"op4_line_dedup": LINES, "op5_substring_dedup": SUBSTRINGS, "op6_ngram_join": GROUPS, "op8_decontamination": CONTAMINATION, "op12_minhash_dedup": NEAR, "op13_vector_codes": codes()}

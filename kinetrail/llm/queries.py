@@ -95,4 +95,10 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan, op11_periodic_runs, op12_minhash_dedup)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinetrail.llm.codes import code_table
+
+    return code_table(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_minimax_shards, op3_graph_neighbours, op4_line_dedup, op5_substring_dedup, op6_ngram_join, op7_language_id, op8_decontamination, op9_bpe_round_trip, op10_secret_scan, op11_periodic_runs, op12_minhash_dedup, op13_vector_codes)}
