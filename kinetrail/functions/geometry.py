@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.functions.windows import bounds, ordered, roll
@@ -106,3 +106,21 @@ def divergence(speed: Column, width: int, least: int) -> Column:
 def share_where(flag: Column, width: int, side: str = "trailing") -> Column:
     """Share of the window's rows, missing ones as false, for which flag holds."""
     return F.avg(F.when(flag, 1.0).otherwise(0.0)).over(ordered().rowsBetween(*bounds(width, side)))
+
+
+def tracked(df: DataFrame, side: str = "") -> list[str]:
+    return [c[len(side) : -2] for c in df.columns if c.startswith(side) and c.endswith("_x") and f"{c[:-2]}_y" in df.columns]
+
+
+def point(part: str, side: str = "") -> Point:
+    return F.col(f"{side}{part}_x"), F.col(f"{side}{part}_y")
+
+
+def middle(points: list[Point]) -> Point:
+    """Mean of the points that are there."""
+
+    def mean(k: int) -> Column:
+        total = sum((F.coalesce(p[k], F.lit(0.0)) for p in points), F.lit(0.0))
+        return F.try_divide(total, sum((p[k].isNotNull().cast("double") for p in points), F.lit(0.0)))
+
+    return mean(0), mean(1)

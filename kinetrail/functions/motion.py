@@ -1,409 +1,300 @@
-"""Feature families of one entity's motion and posture. Each takes frames of one rate (seq, frame, `<part>_x`, `<part>_y`
-for tracked parts, in cm) and returns their keys with the family's columns. Parts that are not tracked give no columns or,
-where a family can do without, are left out; a missing coordinate is null. Windows given in frames are for 30 a second."""
+"""Feature families of one entity's motion and posture. Each takes the frames of a sequence (`<part>_x`, `<part>_y` for
+tracked parts, in cm) and returns its columns by name; `sequences.features` runs them over a table. Parts that are not
+tracked give no columns or, where a family can do without, are left out. Windows given in frames are for 30 a second."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
 
-from kinetrail.functions import geometry as G
-from kinetrail.functions.decay import ewm
-from kinetrail.functions.windows import ordered, rank_share, roll, scale
+from kinetrail.functions import planar as P
+from kinetrail.functions.kernel import Array
+from kinetrail.functions.planar import EPS
+from kinetrail.functions.sequences import Frames, flag, zero
 
-KEYS = ("agent", "target", "seq", "frame")
-Agg = Callable[[Column], Column]
+Columns = dict[str, Array]
 
 
-def median(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.5))
-
-
-def zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
-
-
-def flag(c: Column) -> Column:
-    """1.0 where c holds, 0.0 where it does not or is null."""
-    return F.when(c, 1.0).otherwise(0.0)
-
-
-def tracked(df: DataFrame, side: str = "") -> list[str]:
-    return [c[len(side) : -2] for c in df.columns if c.startswith(side) and c.endswith("_x") and f"{c[:-2]}_y" in df.columns]
-
-
-def point(part: str, side: str = "") -> G.Point:
-    return F.col(f"{side}{part}_x"), F.col(f"{side}{part}_y")
-
-
-def middle(points: list[G.Point]) -> G.Point:
-    """Mean of the points that are there."""
-
-    def mean(k: int) -> Column:
-        return F.try_divide(sum((zero(p[k]) for p in points), F.lit(0.0)), sum((p[k].isNotNull().cast("double") for p in points), F.lit(0.0)))
-
-    return mean(0), mean(1)
-
-
-def centre(df: DataFrame, prefer: tuple[str, ...] = ("body_center",), side: str = "") -> G.Point:
-    """The first preferred part that is tracked, else the middle of all parts."""
-    parts = tracked(df, side)
-    return next((point(p, side) for p in prefer if p in parts), None) or middle([point(p, side) for p in parts])
-
-
-def squared(a: G.Point, b: G.Point) -> Column:
-    d = G.minus(a, b)
-    return d[0] * d[0] + d[1] * d[1]
-
-
-def apart(a: G.Point, b: G.Point) -> Column:
-    return F.sqrt(squared(a, b))
-
-
-def keyed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.select(*[k for k in KEYS if k in df.columns], *(c.alias(n) for n, c in columns.items()))
-
-
-class Rate:
-    """Windows of sequences with fps frames a second."""
-
-    def __init__(self, fps: float):
-        self.fps = float(fps)
-
-    def n(self, width: float) -> int:
-        return scale(width, self.fps)
-
-    def past(self, c: Column, width: int, least: int, agg: Agg) -> Column:
-        return roll(c, width, least, agg)
-
-    def mid(self, c: Column, width: int, least: int, agg: Agg) -> Column:
-        return roll(c, width, least, agg, "centred")
-
-    def ahead(self, c: Column, width: int, least: int, agg: Agg) -> Column:
-        return roll(c, width, least, agg, "future")
-
-    def lag(self, c: Column, k: int) -> Column:
-        """c k rows before, or -k rows after."""
-        w = ordered()
-        return F.lag(c, k).over(w) if k >= 0 else F.lead(c, -k).over(w)
-
-    def diff(self, c: Column, k: int = 1) -> Column:
-        return c - self.lag(c, k)
-
-    def step(self, p: G.Point, k: int = 1) -> Column:
-        return G.length((self.diff(p[0], k), self.diff(p[1], k)))
-
-    def long_enough(self, c: Column, width: int) -> Column:
-        """c where the sequence has width rows."""
-        w = Window.partitionBy("seq")
-        return F.when(F.count(F.lit(1)).over(w) >= width, c)
-
-
-def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """df with intermediate columns, which later windows read."""
-    return df.withColumns(columns)
-
-
-def distances(df: DataFrame, fps: float) -> DataFrame:
+def distances(s: Frames) -> Columns:
     """Squared distances of all parts, squared displacements of ears over 10 frames, elongation, body angle."""
-    r, parts = Rate(fps), tracked(df)
-    out = {f"{a}+{b}": squared(point(a), point(b)) for a, b in combinations(parts, 2)}
+    parts = s.tracked()
+    out = {f"{a}+{b}": P.squared(s.point(a), s.point(b)) for a, b in combinations(parts, 2)}
     if {"ear_left", "ear_right", "tail_base"} <= set(parts):
-        then = lambda p: tuple(r.lag(c, r.n(10)) for c in point(p))
+        then = lambda p: tuple(s.lag(c, s.n(10)) for c in s.point(p))
         for name, a, b in (("sp_lf", "ear_left", "ear_left"), ("sp_rt", "ear_right", "ear_right"), ("sp_lf2", "ear_left", "tail_base"), ("sp_rt2", "ear_right", "tail_base")):
-            out[name] = squared(point(a), then(b))
-        if "nose" in parts:
-            out["elong"] = squared(point("nose"), point("tail_base")) / (squared(point("ear_left"), point("ear_right")) + G.EPS)
+            out[name] = P.squared(s.point(a), then(b))
+    if (elong := elongation(s)) is not None:
+        out["elong"] = elong
     if {"nose", "body_center", "tail_base"} <= set(parts):
-        c = point("body_center")
-        out["body_ang"] = G.cosine(G.minus(point("nose"), c), G.minus(point("tail_base"), c))
-    return keyed(df, out)
+        c = s.point("body_center")
+        out["body_ang"] = P.cosine(P.minus(s.point("nose"), c), P.minus(s.point("tail_base"), c))
+    return out
+
 
+def elongation(s: Frames) -> Array | None:
+    """Squared length of the body over that of the line between the ears."""
+    if {"nose", "tail_base", "ear_left", "ear_right"} <= set(s.tracked()):
+        return P.squared(s.point("nose"), s.point("tail_base")) / (P.squared(s.point("ear_left"), s.point("ear_right")) + EPS)
+    return None
 
-def centre_windows(df: DataFrame, fps: float) -> DataFrame:
+
+def centre_windows(s: Frames) -> Columns:
     """Mean, spread and range of the centre, displacement and activity in windows of 5 to 60 frames."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_cx": c[0], "_cy": c[1], "_dx": r.diff(c[0]), "_dy": r.diff(c[1])})
-    out = {}
+    c = P.centre(s)
+    way, out = [s.diff(x) for x in c], {}
     for w in (5, 15, 30, 60):
-        n = r.n(w)
-        for axis in "xy":
-            p = F.col(f"_c{axis}")
-            out[f"c{axis}_m{w}"], out[f"c{axis}_s{w}"] = r.mid(p, n, 1, F.avg), r.mid(p, n, 1, F.stddev_samp)
-            out[f"{axis}_rng{w}"] = r.mid(p, n, 1, F.max) - r.mid(p, n, 1, F.min)
-        way = [r.past(F.col(d), n, 1, F.sum) for d in ("_dx", "_dy")]
-        out[f"disp{w}"] = G.length((way[0], way[1]))
-        out[f"act{w}"] = F.sqrt(r.past(F.col("_dx"), n, 1, F.var_samp) + r.past(F.col("_dy"), n, 1, F.var_samp))
-    return keyed(df, out)
-
-
-def kinematics(df: DataFrame, fps: float) -> DataFrame:
+        n = s.n(w)
+        for axis, p in zip("xy", c):
+            out[f"c{axis}_m{w}"], out[f"c{axis}_s{w}"] = s.mid(p, n, 1, "mean"), s.mid(p, n, 1, "std")
+            out[f"{axis}_rng{w}"] = s.mid(p, n, 1, "max") - s.mid(p, n, 1, "min")
+        out[f"disp{w}"] = P.length((s.past(way[0], n, 1, "sum"), s.past(way[1], n, 1, "sum")))
+        out[f"act{w}"] = np.sqrt(s.past(way[0], n, 1, "var") + s.past(way[1], n, 1, "var"))
+    return out
+
+
+def kinematics(s: Frames) -> Columns:
     """Displacements, speed, acceleration and jerk of the centre, their statistics, contrast and activity."""
-    r, c = Rate(fps), centre(df)
-    out = {}
+    c, out = P.centre(s), {}
     for k in (1, 2, 5, 10, 20, 40):
-        n = r.n(k)
-        out[f"c_disp_l{k}"] = zero(r.step(c, n))
-        out[f"c_sp_l{k}"] = zero(r.step(c, n)) * r.fps / n
-    df = staged(df, {"c_v": zero(r.step(c)) * r.fps})
-    df = staged(df, {"c_a": zero(r.diff(F.col("c_v"))) * r.fps, "_typical": r.past(F.col("c_v"), r.n(60), 1, median)})
-    df = staged(df, {"c_j": zero(r.diff(F.col("c_a"))) * r.fps, "_active": flag(F.col("c_v") > F.col("_typical") + 1.0)})
-    v, a, j = (F.col(x) for x in ("c_v", "c_a", "c_j"))
-    out |= {"c_v": v, "c_a": a, "c_j": j}
+        n = s.n(k)
+        out[f"c_disp_l{k}"] = zero(s.step(c, n))
+        out[f"c_sp_l{k}"] = out[f"c_disp_l{k}"] * s.fps / n
+    v = out["c_v"] = zero(s.step(c)) * s.fps
+    a = out["c_a"] = zero(s.diff(v)) * s.fps
+    j = out["c_j"] = zero(s.diff(a)) * s.fps
     for w in (5, 15, 30, 60, 120):
-        n = r.n(w)
+        n = s.n(w)
         least = max(1, n // 4)
-        m, s = r.past(v, n, least, F.avg), r.past(v, n, least, F.stddev_samp)
-        out |= {f"c_v_m{w}": m, f"c_v_s{w}": s, f"c_v_max{w}": r.past(v, n, least, F.max), f"c_v_cv{w}": s / (m + G.EPS)}
-        out |= {f"c_a_m{w}": r.past(a, n, least, F.avg), f"c_a_s{w}": r.past(a, n, least, F.stddev_samp), f"c_j_m{w}": r.past(j, n, least, F.avg)}
-    short, long = (r.past(v, r.n(w), max(1, r.n(w) // 3), F.avg) for w in (15, 90))
-    out |= {"c_v_contrast_15_90": zero(short - long), "c_v_ratio_15_90": zero(short / (long + G.EPS))}
-    out |= {f"c_active_{s}s": r.past(F.col("_active"), r.n(30 * s), 1, F.avg) for s in (1, 3)}
-    return keyed(df, out)
+        m, d = s.past(v, n, least, "mean"), s.past(v, n, least, "std")
+        out |= {f"c_v_m{w}": m, f"c_v_s{w}": d, f"c_v_max{w}": s.past(v, n, least, "max"), f"c_v_cv{w}": d / (m + EPS)}
+        out |= {f"c_a_m{w}": s.past(a, n, least, "mean"), f"c_a_s{w}": s.past(a, n, least, "std"), f"c_j_m{w}": s.past(j, n, least, "mean")}
+    short, long = (s.past(v, s.n(w), max(1, s.n(w) // 3), "mean") for w in (15, 90))
+    out |= {"c_v_contrast_15_90": zero(short - long), "c_v_ratio_15_90": zero(short / (long + EPS))}
+    active = flag(v > s.past(v, s.n(60), 1, "median") + 1.0)
+    return out | {f"c_active_{k}s": s.past(active, s.n(30 * k), 1, "mean") for k in (1, 3)}
 
 
-def paths(df: DataFrame, fps: float) -> DataFrame:
+def paths(s: Frames) -> Columns:
     """Tortuosity and efficiency over seconds, path of about six seconds around, path efficiency, and how speed differs
     between past and future (means, medians, divergence of normal distributions)."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_step": r.step(c)})
-    df = staged(df, {"_v": zero(F.col("_step")) * r.fps, "_way": zero(F.col("_step"))})
-    out = {}
-    for s in (1, 3):
-        n = max(5, int(s * r.fps))
-        path, net = r.past(F.col("_way"), n, n // 2, F.sum), zero(r.step(c, n))
-        out |= {f"tortuosity_{s}s": path / (net + 0.1), f"move_eff_{s}s": net / (path + 1.0)}
-    n = r.n(180)
-    out["path_cum180"] = zero(r.mid(F.col("_step"), 2 * n + 1, max(5, n // 6), F.sum))
+    c, out = P.centre(s), {}
+    step = s.step(c)
+    way, v = zero(step), zero(step) * s.fps
+    for k in (1, 3):
+        n = max(5, int(k * s.fps))
+        path, net = s.past(way, n, n // 2, "sum"), zero(s.step(c, n))
+        out |= {f"tortuosity_{k}s": path / (net + 0.1), f"move_eff_{k}s": net / (path + 1.0)}
+    n = s.n(180)
+    out["path_cum180"] = zero(s.mid(step, 2 * n + 1, max(5, n // 6), "sum"))
     for w in (30, 90):
-        out[f"path_eff_{w}"] = r.step(c, r.n(w)) / (r.past(F.col("_step"), r.n(w), 1, F.sum) + G.EPS)
-    v, n = F.col("_v"), max(3, r.n(30))
-    out["spd_asym_1s"] = G.asymmetry(v, n)
-    out["spd_asym_median_1s"] = zero(r.ahead(v, n, max(3, n // 4), median) - r.past(v, n, max(3, n // 4), median))
-    n = max(5, r.n(30))
-    out["spd_symkl_1s"] = G.divergence(v, n, max(3, n // 4))
-    return keyed(df, out)
+        out[f"path_eff_{w}"] = s.step(c, s.n(w)) / (s.past(step, s.n(w), 1, "sum") + EPS)
+    n = max(3, s.n(30))
+    least = max(3, n // 4)
+    out["spd_asym_1s"], out["spd_asym_median_1s"] = (zero(s.ahead(v, n, least, kind) - s.past(v, n, least, kind)) for kind in ("mean", "median"))
+    n = max(5, s.n(30))
+    fits = [(side(v, n, max(3, n // 4), "mean"), np.maximum(side(v, n, max(3, n // 4), "var"), EPS)) for side in (s.past, s.ahead)]
+    one_way = lambda a, b: (a[1] / b[1] + (a[0] - b[0]) ** 2 / b[1] - 1 + np.log(b[1] / a[1])) / 2
+    out["spd_symkl_1s"] = zero(one_way(*fits) + one_way(*fits[::-1]))
+    return out
+
+
+def turns(s: Frames) -> Columns:
+    """Mean curvature of the centre's way, and how much its direction turns (angles are not unwrapped)."""
+    dx, dy = (s.diff(x) for x in P.centre(s))
+    bend = np.abs(dx * s.diff(dy) - dy * s.diff(dx)) / (P.length((dx, dy)) ** 3 + EPS)
+    turn = np.abs(s.diff(np.arctan2(dy, dx)))
+    out = {f"curv_mean_{w}": s.past(bend, s.n(w), max(1, s.n(w) // 6), "mean") for w in (15, 30, 60)}
+    return out | {f"turn_rate_{w}": s.past(turn, s.n(w), max(1, s.n(w) // 6), "sum") for w in (15, 30)}
 
 
-def turns(df: DataFrame, fps: float) -> DataFrame:
-    """Mean curvature of the centre's way, and how much its direction turns (angles are not unwrapped)."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_dx": r.diff(c[0]), "_dy": r.diff(c[1])})
-    dx, dy = F.col("_dx"), F.col("_dy")
-    size = G.length((dx, dy))
-    bend = F.abs(dx * r.diff(dy) - dy * r.diff(dx)) / (size * size * size + G.EPS)
-    df = staged(df, {"_bend": bend, "_turn": F.abs(r.diff(F.atan2(dy, dx)))})
-    out = {f"curv_mean_{w}": r.past(F.col("_bend"), r.n(w), max(1, r.n(w) // 6), F.avg) for w in (15, 30, 60)}
-    out |= {f"turn_rate_{w}": r.past(F.col("_turn"), r.n(w), max(1, r.n(w) // 6), F.sum) for w in (15, 30)}
-    return keyed(df, out)
-
-
-def speed_scales(df: DataFrame, fps: float) -> DataFrame:
-    """Mean and spread of speed in windows of 5 to 320 frames, null where the sequence is shorter than the window."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_s": r.step(c) * r.fps})
-    stats = {}
+def speed_scales(s: Frames) -> Columns:
+    """Mean and spread of speed in windows of 5 to 320 frames, missing where the sequence is shorter than the window."""
+    v, out = s.step(P.centre(s)) * s.fps, {}
     for w in (5, 10, 20, 40, 160, 320):
-        n = r.n(w)
-        for name, agg in (("m", F.avg), ("s", F.stddev_samp)):
-            stats[f"sp_{name}{w}"] = r.long_enough(r.past(F.col("_s"), n, max(1, n // 4), agg), n)
-    df = staged(df, stats)
-    ratios = {f"sp_ratio_{a}_{b}": F.col(f"sp_m{a}") / (F.col(f"sp_m{b}") + G.EPS) for a, b in ((5, 40), (10, 160))}
-    return keyed(df, {n: F.col(n) for n in stats} | ratios)
+        n = s.n(w)
+        for name, kind in (("m", "mean"), ("s", "std")):
+            out[f"sp_{name}{w}"] = s.long_enough(s.past(v, n, max(1, n // 4), kind), n)
+    return out | {f"sp_ratio_{a}_{b}": out[f"sp_m{a}"] / (out[f"sp_m{b}"] + EPS) for a, b in ((5, 40), (10, 160))}
 
 
-def speed_states(df: DataFrame, fps: float) -> DataFrame:
+def speed_states(s: Frames) -> Columns:
     """Shares of four states of smoothed speed (cuts at 0.5, 2 and 5 cm a second, each in the lower state) and changes
-    between them; null where the sequence is shorter than the window."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_s": r.step(c) * r.fps})
-    df = staged(df, {"_m": r.past(F.col("_s"), r.n(15), max(1, r.n(15) // 3), F.avg)})
-    m = F.col("_m")
-    df = staged(df, {"_state": F.when(m <= 0.5, 0).when(m <= 2, 1).when(m <= 5, 2).when(m > 5, 3)})
-    state = F.col("_state")
-    before = r.lag(state, 1)
-    df = staged(df, {"_change": F.when(state.isNull() | before.isNull() | (state != before), 1.0).otherwise(0.0)})
+    between them; missing where the sequence is shorter than the window."""
+    m = s.past(s.step(P.centre(s)) * s.fps, s.n(15), max(1, s.n(15) // 3), "mean")
+    state = np.where(np.isnan(m), np.nan, np.searchsorted([0.5, 2.0, 5.0], zero(m), side="left"))
+    change = flag(~(state == s.lag(state)))
     out = {}
     for w in (30, 60, 120):
-        n = r.n(w)
+        n = s.n(w)
         least = max(1, n // 6)
-        for k in range(4):
-            out[f"s{k}_{w}"] = r.long_enough(r.past(flag(state == k), n, least, F.avg), n)
-        out[f"trans_{w}"] = r.long_enough(r.past(F.col("_change"), n, least, F.sum), n)
-    return keyed(df, out)
+        out |= {f"s{k}_{w}": s.long_enough(s.past(flag(state == k), n, least, "mean"), n) for k in range(4)}
+        out[f"trans_{w}"] = s.long_enough(s.past(change, n, least, "sum"), n)
+    return out
+
+
+def _long_means(s: Frames) -> list[tuple[str, Array, float]]:
+    return [(f"{axis}_e{span}", x, s.n(span)) for axis, x in zip("xy", P.centre(s)) for span in (60, 120, 240)]
 
 
-def long_range(df: DataFrame, fps: float) -> DataFrame:
+def long_range(s: Frames) -> Columns:
     """Wide means and exponentially weighted means of the centre, and the speed's rank within wide windows."""
-    r, c = Rate(fps), centre(df)
-    df = staged(df, {"_cx": c[0], "_cy": c[1], "_s": r.step(c) * r.fps})
-    for span in (60, 120, 240):
-        df = ewm(df, ["_cx", "_cy"], r.n(span), [f"x_e{span}", f"y_e{span}"])
-    out = {f"{axis}_e{span}": F.col(f"{axis}_e{span}") for axis in "xy" for span in (60, 120, 240)}
+    c, out = P.centre(s), s.decays(_long_means(s))
     for w in (120, 240):
-        n = r.n(w)
-        out |= {f"{axis}_ml{w}": r.long_enough(r.past(F.col(f"_c{axis}"), n, max(5, n // 6), F.avg), n) for axis in "xy"}
-    for w in (60, 120, 240):
-        n = r.n(w)
-        out[f"sp_pct{w}"] = r.long_enough(rank_share(F.col("_s"), n, max(5, n // 6)), n)
-    return keyed(df, out)
-
-
-def grooming(df: DataFrame, fps: float) -> DataFrame:
-    """Head against body speed, radial jitter of the nose and jitter of orientation in windows of 0.2 to 1 second."""
-    r, c, nose = Rate(fps), centre(df, ("body_center", "neck")), point("nose")
-    tail = point("tail_base") if "tail_base" in tracked(df) else None
-    base = {"_cs": zero(r.step(c) * r.fps), "_ns": zero(r.step(nose) * r.fps), "_r": apart(nose, c)}
-    if tail:
-        base["_turn"] = zero(F.abs(r.diff(F.atan2(nose[1] - tail[1], nose[0] - tail[0]))))
-    df = staged(df, base)
-    df = staged(df, {"_ratio": G.clipped(F.col("_ns") / (F.col("_cs") + 1e-3), 0.0, 10.0)})
-    out = {}
+        n = s.n(w)
+        out |= {f"{axis}_ml{w}": s.long_enough(s.past(x, n, max(5, n // 6), "mean"), n) for axis, x in zip("xy", c)}
+    v = s.step(c) * s.fps
+    return out | {f"sp_pct{w}": s.long_enough(s.rank_share(v, s.n(w), max(5, s.n(w) // 6)), s.n(w)) for w in (60, 120, 240)}
+
+
+long_range.decays = _long_means
+
+
+def grooming(s: Frames) -> Columns:
+    """Head against body speed, radial jitter of the nose and jitter of orientation in windows of 0.2 to 1 second; nothing
+    without a nose."""
+    if "nose" not in s.tracked():
+        return {}
+    c, nose, out = P.centre(s, ("body_center", "neck")), s.point("nose"), {}
+    body, head, radius = zero(s.step(c) * s.fps), zero(s.step(nose) * s.fps), P.apart(nose, c)
+    turn = None
+    if "tail_base" in s.tracked():
+        d = P.minus(nose, s.point("tail_base"))
+        turn = zero(np.abs(s.diff(np.arctan2(d[1], d[0]))))
+    ratio = np.clip(head / (body + 1e-3), 0.0, 10.0)
     for w, tag in ((6, "0p2s"), (9, "0p3s"), (15, "0p5s"), (30, "1p0s")):
-        n = r.n(w)
-        over = lambda c, agg: r.past(F.col(c), n, max(1, n // 3), agg)  # noqa: B023, E731
-        out |= {f"groom_hbd_med_{tag}": over("_ratio", median), f"groom_hbd_mean_{tag}": over("_ratio", F.avg), f"groom_nose_rad_std_{tag}": zero(over("_r", F.stddev_samp))}
-        out |= {f"groom_cs_mean_{tag}": over("_cs", F.avg), f"groom_ns_mean_{tag}": over("_ns", F.avg)}
-        if tail:
-            out |= {f"groom_orient_jit_mean_{tag}": over("_turn", F.avg), f"groom_orient_jit_std_{tag}": zero(over("_turn", F.stddev_samp))}
-    return keyed(df, out)
+        over = lambda x, kind: s.past(x, s.n(w), max(1, s.n(w) // 3), kind)  # noqa: B023, E731
+        out |= {f"groom_hbd_med_{tag}": over(ratio, "median"), f"groom_hbd_mean_{tag}": over(ratio, "mean"), f"groom_nose_rad_std_{tag}": zero(over(radius, "std"))}
+        out |= {f"groom_cs_mean_{tag}": over(body, "mean"), f"groom_ns_mean_{tag}": over(head, "mean")}
+        if turn is not None:
+            out |= {f"groom_orient_jit_mean_{tag}": over(turn, "mean"), f"groom_orient_jit_std_{tag}": zero(over(turn, "std"))}
+    return out
 
 
-def front_rear(df: DataFrame, fps: float) -> DataFrame:
-    """Log ratio of the speeds of front and rear parts, its mean over half a second, and the front's jitter."""
-    r, parts = Rate(fps), tracked(df)
+def front_rear(s: Frames) -> Columns:
+    """Log ratio of the speeds of front and rear parts, its mean over half a second, and the front's jitter; nothing where
+    no front or no rear part is tracked."""
 
-    def speed(names: tuple[str, ...]) -> Column:
-        have = [p for p in names if p in parts]
-        return zero(sum((r.step(point(p)) for p in have), F.lit(0.0)) / len(have)) * r.fps
+    def speed(names: tuple[str, ...]) -> Array | None:
+        have = [p for p in names if p in s.tracked()]
+        return zero(sum(s.step(s.point(p)) for p in have) / len(have)) * s.fps if have else None
 
-    df = staged(df, {"_front": speed(("nose", "ear_left", "ear_right")), "_rear": speed(("tail_base", "hip_left", "hip_right"))})
-    df = staged(df, {"fr_ratio": F.log1p("_front") - F.log1p("_rear"), "_jolt": F.abs(r.diff(F.col("_front")))})
-    n = int(0.5 * r.fps)
-    return keyed(df, {"fr_ratio": F.col("fr_ratio"), "fr_ratio_ma": r.past(F.col("fr_ratio"), n, 1, F.avg), "front_jitter": r.past(F.col("_jolt"), n, 1, F.avg)})
+    front, rear = speed(("nose", "ear_left", "ear_right")), speed(("tail_base", "hip_left", "hip_right"))
+    if front is None or rear is None:
+        return {}
+    ratio, n = np.log1p(front) - np.log1p(rear), max(1, int(0.5 * s.fps))
+    return {"fr_ratio": ratio, "fr_ratio_ma": s.past(ratio, n, 1, "mean"), "front_jitter": s.past(np.abs(s.diff(front)), n, 1, "mean")}
 
 
-def part_motion(df: DataFrame, fps: float) -> DataFrame:
+def part_motion(s: Frames) -> Columns:
     """Speed of nose, ears and tail base, their displacements and statistics, and how the ears differ."""
-    r = Rate(fps)
-    have = [p for p in ("nose", "ear_left", "ear_right", "tail_base") if p in tracked(df)]
-    df, out = staged(df, {f"{p}_v": zero(r.step(point(p))) * r.fps for p in have}), {}
+    have, out = [p for p in ("nose", "ear_left", "ear_right", "tail_base") if p in s.tracked()], {}
     for p in have:
-        v = out[f"{p}_v"] = F.col(f"{p}_v")
+        v = out[f"{p}_v"] = zero(s.step(s.point(p))) * s.fps
         for k in (2, 5, 10, 20):
-            out[f"{p}_disp_l{k}"] = zero(r.step(point(p), r.n(k)))
-            out[f"{p}_sp_l{k}"] = zero(r.step(point(p), r.n(k))) * r.fps / r.n(k)
+            out[f"{p}_disp_l{k}"] = zero(s.step(s.point(p), s.n(k)))
+            out[f"{p}_sp_l{k}"] = out[f"{p}_disp_l{k}"] * s.fps / s.n(k)
         for w in (10, 30, 60):
-            n = r.n(w)
-            out[f"{p}_v_m{w}"], out[f"{p}_v_s{w}"] = r.past(v, n, max(1, n // 4), F.avg), r.past(v, n, max(1, n // 4), F.stddev_samp)
+            n = s.n(w)
+            out[f"{p}_v_m{w}"], out[f"{p}_v_s{w}"] = s.past(v, n, max(1, n // 4), "mean"), s.past(v, n, max(1, n // 4), "std")
     if {"ear_left", "ear_right"} <= set(have):
-        a, b = F.col("ear_left_v"), F.col("ear_right_v")
-        out |= {"ear_lr_v_diff": F.abs(a - b), "ear_lr_v_ratio": a / (b + G.EPS)}
-    return keyed(df, out)
-
-
-def nose_tail(df: DataFrame, fps: float) -> DataFrame:
-    """Distance of nose and tail base: earlier values, differences, statistics, and how fast it changes."""
-    r = Rate(fps)
-    df = staged(df, {"nt_dist": apart(point("nose"), point("tail_base"))})
-    nt = F.col("nt_dist")
-    df, out = staged(df, {"nt_v": F.abs(zero(r.diff(nt)) * r.fps)}), {"nt_dist": nt}
+        a, b = out["ear_left_v"], out["ear_right_v"]
+        out |= {"ear_lr_v_diff": np.abs(a - b), "ear_lr_v_ratio": a / (b + EPS)}
+    return out
+
+
+def nose_tail(s: Frames) -> Columns:
+    """Distance of nose and tail base: earlier values, differences, statistics, and how fast it changes; nothing where one
+    of them is not tracked."""
+    if not {"nose", "tail_base"} <= set(s.tracked()):
+        return {}
+    nt = P.apart(s.point("nose"), s.point("tail_base"))
+    v, out = np.abs(zero(s.diff(nt)) * s.fps), {"nt_dist": nt}
     for k in (5, 10, 20, 40, 80):
-        out |= {f"nt_lg{k}": r.lag(nt, r.n(k)), f"nt_df{k}": zero(r.diff(nt, r.n(k)))}
+        out |= {f"nt_lg{k}": s.lag(nt, s.n(k)), f"nt_df{k}": zero(s.diff(nt, s.n(k)))}
     for w in (15, 30, 60, 120):
-        n = r.n(w)
-        m, s = r.past(nt, n, max(1, n // 4), F.avg), r.past(nt, n, max(1, n // 4), F.stddev_samp)
-        out |= {f"nt_m{w}": m, f"nt_s{w}": s, f"nt_cv{w}": s / (m + G.EPS)}
-    return keyed(df, out | {"nt_v": F.col("nt_v"), "nt_v_m30": r.past(F.col("nt_v"), r.n(30), 1, F.avg)})
+        n = s.n(w)
+        m, d = s.past(nt, n, max(1, n // 4), "mean"), s.past(nt, n, max(1, n // 4), "std")
+        out |= {f"nt_m{w}": m, f"nt_s{w}": d, f"nt_cv{w}": d / (m + EPS)}
+    return out | {"nt_v": v, "nt_v_m30": s.past(v, s.n(30), 1, "mean")}
 
 
-def ears(df: DataFrame, fps: float) -> DataFrame:
-    """Distance of the ears at earlier and later frames, and how steady it is."""
-    r = Rate(fps)
-    df = staged(df, {"_e": apart(point("ear_left"), point("ear_right"))})
-    e, n = F.col("_e"), r.n(30)
-    out = {f"ear_o{o}": r.lag(e, -r.n(o) if o > 0 else r.n(-o)) for o in (-40, -20, -10, 10, 20, 40)}
-    return keyed(df, out | {"ear_con": r.mid(e, n, 1, F.stddev_samp) / (r.mid(e, n, 1, F.avg) + G.EPS)})
+def ears(s: Frames) -> Columns:
+    """Distance of the ears at earlier and later frames, and how steady it is; nothing where one is not tracked."""
+    if not {"ear_left", "ear_right"} <= set(s.tracked()):
+        return {}
+    e, n = P.apart(s.point("ear_left"), s.point("ear_right")), s.n(30)
+    out = {f"ear_o{o}": s.lag(e, -s.n(o) if o > 0 else s.n(-o)) for o in (-40, -20, -10, 10, 20, 40)}
+    return out | {"ear_con": s.mid(e, n, 1, "std") / (s.mid(e, n, 1, "mean") + EPS)}
 
 
-def shape(df: DataFrame, fps: float) -> DataFrame:
+def shape(s: Frames) -> Columns:
     """Principal axes of the parts, bend of the spine (its spread over 30 rows at every rate), areas of triangles."""
-    r, parts = Rate(fps), tracked(df)
-    mean = middle([point(p) for p in parts])
-    df = staged(df, {"_mx": mean[0], "_my": mean[1]})
-    df = staged(df, {f"_{j}{k}": G.moment([point(p) for p in parts], (F.col("_mx"), F.col("_my")), "xy".index(j), "xy".index(k)) for j, k in ("xx", "yy", "xy")})
-    large, small = G.axes(F.col("_xx"), F.col("_yy"), F.col("_xy"))
-    root = lambda c: F.when(c >= 0, F.sqrt(F.greatest(c, F.lit(0.0))))
-    base = {"morph_len": root(large), "morph_wid": root(small)}
-    out = {}
-    if {"nose", "body_center", "tail_base"} <= set(parts):
-        base["spine_angle"] = G.spine_angle(point("nose"), point("body_center"), point("tail_base"))
-        out |= {"spine_angle": F.col("spine_angle"), "spine_var_30": r.past(F.col("spine_angle"), 30, 1, F.stddev_samp)}
-    if {"nose", "ear_left", "ear_right"} <= set(parts):
-        base["area_head"] = G.area(point("nose"), point("ear_left"), point("ear_right"))
-        out |= {"area_head": F.col("area_head"), "area_head_ch": zero(r.diff(F.col("area_head")))}
+    parts = set(s.tracked())
+    points = [s.point(p) for p in s.tracked()]
+    mean = P.middle(points)
+    xx, yy, xy = (P.moment(points, mean, j, k) for j, k in ((0, 0), (1, 1), (0, 1)))
+    long, wide = (np.where(e >= 0, np.sqrt(np.maximum(e, 0.0)), np.nan) for e in P.axes(xx, yy, xy))
+    ratio = long / (wide + EPS)
+    out = {"morph_len": long, "morph_wid": wide, "morph_area": long * wide, "morph_ratio": ratio, "morph_ratio_ma": s.past(ratio, s.n(15), 1, "mean")}
+    if {"nose", "body_center", "tail_base"} <= parts:
+        angle = P.spine_angle(s.point("nose"), s.point("body_center"), s.point("tail_base"))
+        out |= {"spine_angle": angle, "spine_var_30": s.past(angle, 30, 1, "std")}
+    if {"nose", "ear_left", "ear_right"} <= parts:
+        head = P.area(s.point("nose"), s.point("ear_left"), s.point("ear_right"))
+        out |= {"area_head": head, "area_head_ch": zero(s.diff(head))}
     third = next((p for p in ("body_center", "neck") if p in parts), None)
-    if third and {"nose", "tail_base"} <= set(parts):
-        base["area_body"] = G.area(point("nose"), point("tail_base"), point(third))
-        out |= {"area_body": F.col("area_body"), "shape_factor": F.col("area_body") / (squared(point("nose"), point("tail_base")) + G.EPS)}
-    df = staged(df, base)
-    df = staged(df, {"morph_area": F.col("morph_len") * F.col("morph_wid"), "morph_ratio": F.col("morph_len") / (F.col("morph_wid") + G.EPS)})
-    axes = {n: F.col(n) for n in ("morph_len", "morph_wid", "morph_area", "morph_ratio")}
-    return keyed(df, axes | {"morph_ratio_ma": r.past(F.col("morph_ratio"), r.n(15), 1, F.avg)} | out)
+    if third and {"nose", "tail_base"} <= parts:
+        body = P.area(s.point("nose"), s.point("tail_base"), s.point(third))
+        out |= {"area_body": body, "shape_factor": body / (P.squared(s.point("nose"), s.point("tail_base")) + EPS)}
+    return out
 
 
-def jitter(df: DataFrame, fps: float) -> DataFrame:
+def jitter(s: Frames) -> Columns:
     """Mean and largest second difference of the head's parts in short windows."""
-    r = Rate(fps)
-    have = [p for p in ("nose", "head", "ear_left") if p in tracked(df)]
-    df = staged(df, {f"_d{axis}_{p}": r.diff(c) for p in have for axis, c in zip("xy", point(p))})
-    df = staged(df, {f"_j_{p}": G.length((r.diff(F.col(f"_dx_{p}")), r.diff(F.col(f"_dy_{p}")))) for p in have})
     out = {}
-    for p in have:
+    for p in [p for p in ("nose", "head", "ear_left") if p in s.tracked()]:
+        shake = P.length(tuple(s.diff(s.diff(x)) for x in s.point(p)))
         for w in (6, 9, 15):
-            out |= {f"{p}_jitter_{name}_{w}": r.past(F.col(f"_j_{p}"), r.n(w), 1, agg) for name, agg in (("mean", F.avg), ("max", F.max))}
-    return keyed(df, out)
-
-
-def arena(df: DataFrame, fps: float) -> DataFrame:
-    """Place in the arena (columns arena_width, arena_height, arena_shape): a shape with `circ` in its name is round."""
-    r, c = Rate(fps), centre(df)
-    w, h, round_ = F.col("arena_width"), F.col("arena_height"), F.lower("arena_shape").contains("circ")
-    away = apart(c, (w / 2, h / 2))
-    corners = F.least(*[apart(c, (x, y)) for x in (F.lit(0.0), w) for y in (F.lit(0.0), h)])
-    wall = F.when(round_, F.greatest(F.least(w, h) / 2 - away, F.when(away.isNotNull(), 0.0))).otherwise(F.greatest(F.least(c[0], w - c[0], c[1], h - c[1]), F.when(c[0].isNotNull() | c[1].isNotNull(), 0.0)))
-    df = staged(df, {"_wall": F.when(away.isNotNull() | ~round_, wall), "_away": away})
-    df = staged(df, {"_corner": F.when(round_, F.col("_wall")).otherwise(corners)})
-    df = staged(df, {"_near_wall": flag(F.col("_wall") < 2.0), "_near_corner": flag(F.col("_corner") < 3.0)})
-    n = r.n(30)
-    rate = lambda c: r.past(F.col(c), n, max(1, n // 3), F.avg)
-    return keyed(df, {
-        "arena_x_norm": G.clipped(c[0] / (w + G.EPS), 0.0, 1.0), "arena_y_norm": G.clipped(c[1] / (h + G.EPS), 0.0, 1.0), "arena_center_dist": F.col("_away"), "arena_wall_dist": F.col("_wall"),
-        "arena_corner_dist": F.col("_corner"), "arena_wall_close_2cm": F.col("_near_wall"), "arena_corner_close_3cm": F.col("_near_corner"),
-        "arena_wall_close_rate_1s": rate("_near_wall"), "arena_corner_close_rate_1s": rate("_near_corner"),
-    })
-
-
-def key_lags(df: DataFrame, fps: float, keys: tuple[str, ...], lags: tuple[int, ...]) -> DataFrame:
-    """Earlier and later values of columns of df."""
-    r = Rate(fps)
+            out |= {f"{p}_jitter_{kind}_{w}": s.past(shake, s.n(w), 1, kind) for kind in ("mean", "max")}
+    return out
+
+
+def arena(s: Frames) -> Columns:
+    """Place in the arena (columns arena_width, arena_height, arena_shape): a shape with `circ` in its name is round.
+    Nothing where the arena's size has no columns."""
+    if not {"arena_width", "arena_height"} <= set(s.columns):
+        return {}
+    c, w, h = P.centre(s), s.columns["arena_width"], s.columns["arena_height"]
+    away, near = P.apart(c, (w / 2, h / 2)), lambda x: np.where(np.isnan(x), np.nan, np.maximum(x, 0.0))
+    if "arena_shape" in s.texts and "circ" in s.texts["arena_shape"].lower():
+        corner = wall = near(np.fmin(w, h) / 2 - away)
+    else:
+        wall = near(np.fmin(np.fmin(c[0], w - c[0]), np.fmin(c[1], h - c[1])))
+        corner = np.fmin.reduce([P.apart(c, (x, y)) for x in (np.zeros(len(w)), w) for y in (np.zeros(len(h)), h)])
+    close, cornered, n = flag(wall < 2.0), flag(corner < 3.0), s.n(30)
+    rate = lambda x: s.past(x, n, max(1, n // 3), "mean")
+    return {
+        "arena_x_norm": np.clip(c[0] / (w + EPS), 0.0, 1.0), "arena_y_norm": np.clip(c[1] / (h + EPS), 0.0, 1.0), "arena_center_dist": away, "arena_wall_dist": wall,
+        "arena_corner_dist": corner, "arena_wall_close_2cm": close, "arena_corner_close_3cm": cornered, "arena_wall_close_rate_1s": rate(close), "arena_corner_close_rate_1s": rate(cornered),
+    }
+
+
+def key_lags(s: Frames, keys: dict[str, Array | None], lags: tuple[int, ...]) -> Columns:
+    """Earlier and later values of the keys that are there."""
     out = {}
-    for k in keys:
-        for b in lags:
-            out |= {f"{k}_lag{b}": r.lag(F.col(k), r.n(b)), f"{k}_lead{b}": r.lag(F.col(k), -r.n(b))}
-    return keyed(df, out)
+    for k, x in keys.items():
+        for b in lags if x is not None else ():
+            out |= {f"{k}_lag{b}": s.lag(x, s.n(b)), f"{k}_lead{b}": s.lag(x, -s.n(b))}
+    return out
 
 
-def single_key_lags(df: DataFrame, fps: float, lags: tuple[int, ...] = (5, 10)) -> DataFrame:
+def single_key_lags(s: Frames, lags: tuple[int, ...] = (5, 10)) -> Columns:
     """nose-tail distance, elongation and fast mean speed, earlier and later."""
-    r = Rate(fps)
-    elong = squared(point("nose"), point("tail_base")) / (squared(point("ear_left"), point("ear_right")) + G.EPS)
-    df = staged(df, {"nt_dist": apart(point("nose"), point("tail_base")), "elong": elong, "_s": r.step(centre(df)) * r.fps})
-    df = staged(df, {"sp_m5": r.long_enough(r.past(F.col("_s"), r.n(5), max(1, r.n(5) // 4), F.avg), r.n(5))})
-    return key_lags(df, fps, ("nt_dist", "elong", "sp_m5"), lags)
+    nt = P.apart(s.point("nose"), s.point("tail_base")) if {"nose", "tail_base"} <= set(s.tracked()) else None
+    n = s.n(5)
+    fast = s.long_enough(s.past(s.step(P.centre(s)) * s.fps, n, max(1, n // 4), "mean"), n)
+    return key_lags(s, {"nt_dist": nt, "elong": elongation(s), "sp_m5": fast}, lags)
 
 
 #: Every family, by name.

@@ -1,183 +1,210 @@
-"""Feature families of directed pairs of entities. Each takes frames of one rate with the agent's parts as `A_<part>_x`,
-`A_<part>_y` and the target's as `B_...` (seq names the pair), and returns the pair's keys with the family's columns."""
+"""Feature families of directed pairs of entities. Each takes the frames of a pair with the agent's parts as `A_<part>_x`,
+`A_<part>_y` and the target's as `B_...`, and returns its columns by name; columns whose parts are not tracked are left out."""
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
 
-from kinetrail.functions import geometry as G
-from kinetrail.functions.motion import Rate, apart, centre, flag, key_lags, keyed, point, squared, staged, tracked, zero
-from kinetrail.functions.windows import correlation
+from kinetrail.functions import planar as P
+from kinetrail.functions.kernel import Array
+from kinetrail.functions.motion import Columns, key_lags
+from kinetrail.functions.planar import EPS
+from kinetrail.functions.sequences import Frames, Point, flag, zero
 
 A, B = "A_", "B_"
 
 
-def a(part: str) -> G.Point:
-    return point(part, A)
+def both(s: Frames, *parts: str) -> bool:
+    """Whether the parts are tracked on both sides."""
+    return set(parts) <= set(s.tracked(A)) & set(s.tracked(B))
 
 
-def b(part: str) -> G.Point:
-    return point(part, B)
+def elongation(s: Frames, side: str) -> Array | None:
+    """Length of the body over that of the line between the ears."""
+    if not {"nose", "tail_base", "ear_left", "ear_right"} <= set(s.tracked(side)):
+        return None
+    at = lambda p: s.point(p, side)
+    return P.apart(at("nose"), at("tail_base")) / (P.apart(at("ear_left"), at("ear_right")) + EPS)
 
 
-def halfway(p: G.Point, q: G.Point) -> G.Point:
-    return (p[0] + q[0]) / 2, (p[1] + q[1]) / 2
+def pair_distances(s: Frames) -> Columns:
+    """Squared distances of each part of the agent to each of the target, orientation to each other, elongations."""
+    out = {f"12+{p}+{q}": P.squared(s.point(p, A), s.point(q, B)) for p, q in product(s.tracked(A), s.tracked(B))}
+    if both(s, "nose", "tail_base"):
+        out["rel_ori"] = P.cosine(*(P.minus(s.point("nose", side), s.point("tail_base", side)) for side in (A, B)))
+    one, two = elongation(s, A), elongation(s, B)
+    out |= {name: x for name, x in (("A_elong", one), ("B_elong", two)) if x is not None}
+    return out if one is None or two is None else out | {"AB_elong_diff": one - two, "AB_elong_ratio": one / (two + EPS)}
 
 
-def elongation(side: str) -> Column:
-    return apart(point("nose", side), point("tail_base", side)) / (apart(point("ear_left", side), point("ear_right", side)) + G.EPS)
+def _centres(s: Frames) -> tuple[Point, Point]:
+    return s.point("body_center", A), s.point("body_center", B)
 
 
-def pair_distances(df: DataFrame, fps: float) -> DataFrame:
-    """Squared distances of each part of the agent to each of the target, orientation to each other, elongations."""
-    out = {f"12+{p}+{q}": squared(a(p), b(q)) for p, q in product(tracked(df, A), tracked(df, B))}
-    out["rel_ori"] = G.cosine(G.minus(a("nose"), a("tail_base")), G.minus(b("nose"), b("tail_base")))
-    df = staged(df, {"A_elong": elongation(A), "B_elong": elongation(B)})
-    one, two = F.col("A_elong"), F.col("B_elong")
-    return keyed(df, out | {"A_elong": one, "B_elong": two, "AB_elong_diff": one - two, "AB_elong_ratio": one / (two + G.EPS)})
-
-
-def pair_motion(df: DataFrame, fps: float) -> DataFrame:
-    """Displacements across the pair, approach (positive when they part), distance bins and windows, common movement,
-    nose distances, alignment of velocities at offsets, steadiness of the distance."""
-    r = Rate(fps)
-    then = lambda p: tuple(r.lag(c, r.n(10)) for c in p)
-    ca, cb = a("body_center"), b("body_center")
-    df = staged(df, {"ab_cd": apart(ca, cb), "_d2": squared(ca, cb), "nn": apart(a("nose"), b("nose")), "_n2": squared(a("nose"), b("nose"))} | {f"_d{s}{x}": r.diff(c) for s, p in (("a", ca), ("b", cb)) for x, c in zip("xy", p)})
-    va, vb = (F.col("_dax"), F.col("_day")), (F.col("_dbx"), F.col("_dby"))
-    df = staged(df, {"_together": G.dot(va, vb), "_align": G.cosine(va, vb), "_near": flag(F.col("nn") < 10.0)})
-    cd, d2, nn = F.col("ab_cd"), F.col("_d2"), F.col("nn")
-    out = {"sp_A": squared(a("ear_left"), then(a("ear_left"))), "sp_AB": squared(a("ear_left"), then(b("ear_left"))), "sp_B": squared(b("ear_left"), then(b("ear_left")))}
-    out |= {"appr": r.diff(F.col("_n2"), r.n(10)), "ab_cd": cd, "v_cls": flag(cd < 5), "cls": flag((cd >= 5) & (cd < 15)), "med": flag((cd >= 15) & (cd < 30)), "far": flag(cd >= 30)}
-    for w in (5, 15, 30, 60):
-        n = r.n(w)
-        out |= {f"d_{name}{w}": r.mid(d2, n, 1, agg) for name, agg in (("m", F.avg), ("s", F.stddev_samp), ("mn", F.min), ("mx", F.max))}
-        out[f"int{w}"] = 1 / (1 + r.mid(d2, n, 1, F.var_samp))
-        out |= {f"co_m{w}": r.mid(F.col("_together"), n, 1, F.avg), f"co_s{w}": r.mid(F.col("_together"), n, 1, F.stddev_samp)}
-    out["nn"] = nn
-    for k in (10, 20, 40):
-        n = r.n(k)
-        out |= {f"nn_lg{k}": r.lag(nn, n), f"nn_ch{k}": r.diff(nn, n), f"cl_ps{k}": r.past(F.col("_near"), n, 1, F.avg)}
-    for o in (-20, -10, 0, 10, 20):
-        out[f"va_{o}"] = F.col("_align") if not o else r.lag(F.col("_align"), -r.n(o) if o > 0 else r.n(-o))
-    n = r.n(30)
-    return keyed(df, out | {"int_con": r.mid(cd, n, 1, F.stddev_samp) / (r.mid(cd, n, 1, F.avg) + G.EPS)})
-
-
-def _leads(df: DataFrame, r: Rate) -> DataFrame:
-    ca, cb = a("body_center"), b("body_center")
-    df = staged(df, {"_rx": ca[0] - cb[0], "_ry": ca[1] - cb[1]} | {f"_d{s}{x}": r.diff(c) for s, p in (("a", ca), ("b", cb)) for x, c in zip("xy", p)})
-    away, va, vb = (F.col("_rx"), F.col("_ry")), (F.col("_dax"), F.col("_day")), (F.col("_dbx"), F.col("_dby"))
-    df = staged(df, {"_al": G.cosine(va, away), "_bl": G.cosine(vb, (-away[0], -away[1])), "_sa": G.length(va), "_sb": G.length(vb), "_closer": -r.diff(G.length(away))})
-    return staged(df, {"_chase": F.col("_closer") * F.col("_bl")})
-
-
-def pair_interaction(df: DataFrame, fps: float) -> DataFrame:
-    """Who leads, chase, and correlation of speeds."""
-    r = Rate(fps)
-    df, out = _leads(df, r), {}
-    mean = lambda c, w: r.past(F.col(c), r.n(w), max(1, r.n(w) // 6), F.avg)
-    for w in (30, 60):
-        out |= {f"A_ld{w}": mean("_al", w), f"B_ld{w}": mean("_bl", w)}
-    out["chase_30"] = mean("_chase", 30)
-    for w in (60, 120):
-        out[f"sp_cor{w}"] = correlation(F.col("_sa"), F.col("_sb"), r.n(w), max(1, r.n(w) // 6))
-    return keyed(df, out)
-
-
-def _sniffs(df: DataFrame) -> dict[str, Column]:
-    """Distances of the agent's nose to places of the target."""
-    parts, nose = tracked(df, B), a("nose")
-    out = {k: apart(nose, b(p)) for k, p in (("nn", "nose"), ("ne_l", "ear_left"), ("ne_r", "ear_right"), ("ntb", "tail_base")) if p in parts}
-    for k, p, q in (("ne_m", "ear_left", "ear_right"), ("nhm", "hip_left", "hip_right")):
-        if {p, q} <= set(parts):
-            out[k] = apart(nose, halfway(b(p), b(q)))
-    return out | {"nbd": apart(nose, centre(df, ("body_center", "neck"), B))}
+def _nose_gap(s: Frames) -> Array | None:
+    return P.apart(s.point("nose", A), s.point("nose", B)) if both(s, "nose") else None
+
 
+def _approach(s: Frames) -> Array | None:
+    """Change of the squared distance of the noses: positive when they part."""
+    return s.diff(P.squared(s.point("nose", A), s.point("nose", B)), s.n(10)) if both(s, "nose") else None
 
-def _nearest(found: dict[str, Column], names: tuple[str, ...]) -> Column:
-    have = [F.col(f"snf_d_{k}") for k in names if k in found]
-    return F.least(*have) if len(have) > 1 else have[0]
+
+def _steadiness(s: Frames) -> Array | None:
+    """Spread of the distance over its mean."""
+    if not both(s, "body_center"):
+        return None
+    gap, n = P.apart(*_centres(s)), s.n(30)
+    return s.mid(gap, n, 1, "std") / (s.mid(gap, n, 1, "mean") + EPS)
+
+
+def pair_motion(s: Frames) -> Columns:
+    """Displacements across the pair, approach, distance bins and windows, common movement, nose distances, alignment of
+    velocities at offsets, steadiness of the distance."""
+    out = {}
+    if both(s, "ear_left"):
+        a, b = s.point("ear_left", A), s.point("ear_left", B)
+        then = lambda p: tuple(s.lag(c, s.n(10)) for c in p)
+        out |= {"sp_A": P.squared(a, then(a)), "sp_AB": P.squared(a, then(b)), "sp_B": P.squared(b, then(b))}
+    if both(s, "nose"):
+        nn = _nose_gap(s)
+        near = flag(nn < 10.0)
+        out |= {"appr": _approach(s), "nn": nn}
+        for k in (10, 20, 40):
+            n = s.n(k)
+            out |= {f"nn_lg{k}": s.lag(nn, n), f"nn_ch{k}": s.diff(nn, n), f"cl_ps{k}": s.past(near, n, 1, "mean")}
+    if both(s, "body_center"):
+        ca, cb = _centres(s)
+        gap, gap2 = P.apart(ca, cb), P.squared(ca, cb)
+        va, vb = (tuple(s.diff(x) for x in c) for c in (ca, cb))
+        together, align = P.dot(va, vb), P.cosine(va, vb)
+        out |= {"ab_cd": gap, "v_cls": flag(gap < 5), "cls": flag((gap >= 5) & (gap < 15)), "med": flag((gap >= 15) & (gap < 30)), "far": flag(gap >= 30)}
+        for w in (5, 15, 30, 60):
+            n = s.n(w)
+            out |= {f"d_{name}{w}": s.mid(gap2, n, 1, kind) for name, kind in (("m", "mean"), ("s", "std"), ("mn", "min"), ("mx", "max"))}
+            out |= {f"int{w}": 1 / (1 + s.mid(gap2, n, 1, "var")), f"co_m{w}": s.mid(together, n, 1, "mean"), f"co_s{w}": s.mid(together, n, 1, "std")}
+        out |= {f"va_{o}": align if not o else s.lag(align, -s.n(o) if o > 0 else s.n(-o)) for o in (-20, -10, 0, 10, 20)}
+        out["int_con"] = _steadiness(s)
+    return out
+
+
+def _leads(s: Frames) -> tuple[Array, Array, Array]:
+    """How far agent and target move along the line between them, and chase."""
+    ca, cb = _centres(s)
+    away = P.minus(ca, cb)
+    va, vb = (tuple(s.diff(x) for x in c) for c in (ca, cb))
+    lead_b = P.cosine(vb, (-away[0], -away[1]))
+    return P.cosine(va, away), lead_b, -s.diff(P.length(away)) * lead_b
+
+
+def _chase(s: Frames) -> Array | None:
+    n = s.n(30)
+    return s.past(_leads(s)[2], n, max(1, n // 6), "mean") if both(s, "body_center") else None
+
+
+def pair_interaction(s: Frames) -> Columns:
+    """Who leads, chase, and correlation of speeds; nothing where a body_center is not tracked."""
+    if not both(s, "body_center"):
+        return {}
+    one, two, _ = _leads(s)
+    out = {f"{side}_ld{w}": s.past(x, s.n(w), max(1, s.n(w) // 6), "mean") for w in (30, 60) for side, x in (("A", one), ("B", two))}
+    out["chase_30"] = _chase(s)
+    speeds = [P.length(tuple(s.diff(x) for x in c)) for c in _centres(s)]
+    return out | {f"sp_cor{w}": s.correlation(*speeds, s.n(w), max(1, s.n(w) // 6)) for w in (60, 120)}
 
 
 FACE, GENITAL = ("nn", "ne_l", "ne_r", "ne_m"), ("nhm", "ntb")
 
 
-def pair_sniff(df: DataFrame, fps: float) -> DataFrame:
-    """Distances of the agent's nose to the target's face, body and rear: values, changes, statistics, closeness."""
-    r, found = Rate(fps), _sniffs(df)
-    df = staged(df, {f"snf_d_{k}": c for k, c in found.items()})
-    out = {"snf_dmin_face": _nearest(found, FACE), "snf_dmin_genital": _nearest(found, GENITAL), "snf_d_body": F.col("snf_d_nbd")}
-    for k in found:
-        d = out[f"snf_d_{k}"] = F.col(f"snf_d_{k}")
-        for l in (5, 10, 20):  # noqa: E741
-            out[f"snf_dch_{k}_l{l}"] = zero(r.diff(d, r.n(l)))
+def _sniffs(s: Frames) -> Columns:
+    """Distances of the agent's nose to places of the target, and the least of those of its face and rear."""
+    if "nose" not in s.tracked(A):
+        return {}
+    parts, nose = s.tracked(B), s.point("nose", A)
+    out = {k: P.apart(nose, s.point(p, B)) for k, p in (("nn", "nose"), ("ne_l", "ear_left"), ("ne_r", "ear_right"), ("ntb", "tail_base")) if p in parts}
+    for k, p, q in (("ne_m", "ear_left", "ear_right"), ("nhm", "hip_left", "hip_right")):
+        if {p, q} <= set(parts):
+            out[k] = P.apart(nose, P.halfway(s.point(p, B), s.point(q, B)))
+    return out | {"nbd": P.apart(nose, P.centre(s, ("body_center", "neck"), B))}
+
+
+def _nearest(found: Columns) -> Columns:
+    out = {}
+    for name, places in (("face", FACE), ("genital", GENITAL)):
+        if have := [found[k] for k in places if k in found]:
+            out[f"snf_dmin_{name}"] = np.fmin.reduce(have)
+    return out | ({"snf_d_body": found["nbd"]} if "nbd" in found else {})
+
+
+def pair_sniff(s: Frames) -> Columns:
+    """Distances of the agent's nose to the target's face, body and rear: values, changes, statistics, closeness; nothing
+    where the agent's nose is not tracked."""
+    found = _sniffs(s)
+    out = _nearest(found)
+    for k, d in found.items():
+        out[f"snf_d_{k}"] = d
+        out |= {f"snf_dch_{k}_l{b}": zero(s.diff(d, s.n(b))) for b in (5, 10, 20)}
         for w in (15, 30, 60):
-            n = r.n(w)
-            out |= {f"snf_dm_{k}_w{w}": r.past(d, n, max(1, n // 4), F.avg), f"snf_ds_{k}_w{w}": r.past(d, n, max(1, n // 4), F.stddev_samp)}
+            n = s.n(w)
+            out |= {f"snf_d{name}_{k}_w{w}": s.past(d, n, max(1, n // 4), kind) for name, kind in (("m", "mean"), ("s", "std"))}
         out |= {f"snf_close_{k}_{c}cm": flag(d < float(c)) for c in (2, 5)}
-    return keyed(df, out)
+    return out
 
 
-def pair_groom(df: DataFrame, fps: float) -> DataFrame:
-    """Jitter of the agent's nose relative to the target's body, against the target's speed and jitter."""
-    r = Rate(fps)
-    cb, nose = centre(df, ("body_center", "neck", "tail_base"), B), a("nose") if "nose" in tracked(df, A) else centre(df, ("body_center", "neck", "tail_base"), A)
-    df = staged(df, {"_rx": nose[0] - cb[0], "_ry": nose[1] - cb[1], "_bx": r.diff(cb[0]), "_by": r.diff(cb[1])})
-    df = staged(df, {"_rdx": r.diff(F.col("_rx")), "_rdy": r.diff(F.col("_ry")), "_speed": zero(G.length((F.col("_bx"), F.col("_by")))) * r.fps, "_bj": zero(G.length((r.diff(F.col("_bx")), r.diff(F.col("_by")))))})
-    df = staged(df, {"_rj": zero(G.length((r.diff(F.col("_rdx")), r.diff(F.col("_rdy")))))})
-    out = {}
+def pair_groom(s: Frames) -> Columns:
+    """Jitter of the agent's nose (or centre) relative to the target's body, against the target's speed and jitter."""
+    prefer, out = ("body_center", "neck", "tail_base"), {}
+    body = P.centre(s, prefer, B)
+    nose = s.point("nose", A) if "nose" in s.tracked(A) else P.centre(s, prefer, A)
+    shake = lambda p: zero(P.length(tuple(s.diff(s.diff(x)) for x in p)))
+    relative, own, speed = shake(P.minus(nose, body)), shake(body), zero(P.length(tuple(s.diff(x) for x in body))) * s.fps
     for w in (6, 15, 30):
-        n = r.n(w)
-        mean = lambda c: r.past(F.col(c), n, max(1, n // 3), F.avg)  # noqa: B023, E731
-        out |= {f"rel_jit_m{w}f": mean("_rj"), f"rel_jit_max{w}f": r.past(F.col("_rj"), n, max(1, n // 3), F.max), f"target_spd_m{w}f": mean("_speed")}
-        out |= {f"groom_ratio_{w}f": mean("_rj") / (mean("_speed") + 0.1), f"jit_ratio_{w}f": mean("_rj") / (mean("_bj") + G.EPS)}
-    return keyed(df, out)
-
-
-def pair_egocentric(df: DataFrame, fps: float) -> DataFrame:
-    """The target's centre, nose and rear in the agent's own axes (x to the left, y ahead)."""
-    r, parts = Rate(fps), tracked(df, B)
-    origin = centre(df, ("body_center", "neck"), A)
-    ahead = G.minus(a("nose"), a("tail_base") if "tail_base" in tracked(df, A) else origin)
-    df = staged(df, {"_h": G.length(ahead) + G.EPS})
-    df = staged(df, {"_hx": ahead[0] / F.col("_h"), "_hy": ahead[1] / F.col("_h")})
-    rear = halfway(b("hip_left"), b("hip_right")) if {"hip_left", "hip_right"} <= set(parts) else b("tail_base")
-    places = {"Bc": centre(df, ("body_center", "neck"), B), "Bn": b("nose"), "Bg": rear}
-    hx, hy = F.col("_hx"), F.col("_hy")
-    base = {}
-    for tag, p in places.items():
-        d = G.minus(p, origin)
-        base |= {f"ego_{tag}_x": d[1] * hx - d[0] * hy, f"ego_{tag}_y": d[0] * hx + d[1] * hy}
-    df = staged(df, base)
-    df = staged(df, {f"ego_{t}_v{c}": zero(r.diff(F.col(f"ego_{t}_{c}"))) * r.fps for t in places for c in "xy"} | {"_front": flag(F.col("ego_Bc_y") > 0)})
-    df = staged(df, {f"ego_{t}_v": G.length((F.col(f"ego_{t}_vx"), F.col(f"ego_{t}_vy"))) for t in places})
-    out = {}
-    for t in places:
-        x, y, v = (F.col(f"ego_{t}_{c}") for c in "xyv")
-        out |= {f"ego_{t}_x": x, f"ego_{t}_y": y, f"ego_{t}_r": G.length((x, y)), f"ego_{t}_ang": F.atan2(x, y), f"ego_{t}_front": flag(y > 0), f"ego_{t}_back": flag(y < 0), f"ego_{t}_left": flag(x > 0), f"ego_{t}_right": flag(x < 0)}
-        out |= {f"ego_{t}_front_close": flag((y > 0) & (F.abs(x) < 5)), f"ego_{t}_back_close": flag((y < 0) & (F.abs(x) < 5)), f"ego_{t}_vx": F.col(f"ego_{t}_vx"), f"ego_{t}_vy": F.col(f"ego_{t}_vy"), f"ego_{t}_v": v}
+        over = lambda x, kind="mean": s.past(x, s.n(w), max(1, s.n(w) // 3), kind)  # noqa: B023, E731
+        out |= {f"rel_jit_m{w}f": over(relative), f"rel_jit_max{w}f": over(relative, "max"), f"target_spd_m{w}f": over(speed)}
+        out |= {f"groom_ratio_{w}f": over(relative) / (over(speed) + 0.1), f"jit_ratio_{w}f": over(relative) / (over(own) + EPS)}
+    return out
+
+
+def pair_egocentric(s: Frames) -> Columns:
+    """The target's centre, nose and rear in the agent's own axes (x to the left, y ahead); nothing where the agent's nose
+    is not tracked."""
+    if "nose" not in s.tracked(A):
+        return {}
+    parts, out = s.tracked(B), {}
+    origin = P.centre(s, ("body_center", "neck"), A)
+    ahead = P.minus(s.point("nose", A), s.point("tail_base", A) if "tail_base" in s.tracked(A) else origin)
+    size = P.length(ahead) + EPS
+    hx, hy = ahead[0] / size, ahead[1] / size
+    places = {"Bc": P.centre(s, ("body_center", "neck"), B)}
+    if "nose" in parts:
+        places["Bn"] = s.point("nose", B)
+    if {"hip_left", "hip_right"} <= set(parts):
+        places["Bg"] = P.halfway(s.point("hip_left", B), s.point("hip_right", B))
+    elif "tail_base" in parts:
+        places["Bg"] = s.point("tail_base", B)
+    for t, place in places.items():
+        d = P.minus(place, origin)
+        x, y = d[1] * hx - d[0] * hy, d[0] * hx + d[1] * hy
+        vx, vy = (zero(s.diff(c)) * s.fps for c in (x, y))
+        v = P.length((vx, vy))
+        out |= {f"ego_{t}_x": x, f"ego_{t}_y": y, f"ego_{t}_r": P.length((x, y)), f"ego_{t}_ang": np.arctan2(x, y), f"ego_{t}_vx": vx, f"ego_{t}_vy": vy, f"ego_{t}_v": v}
+        out |= {f"ego_{t}_front": flag(y > 0), f"ego_{t}_back": flag(y < 0), f"ego_{t}_left": flag(x > 0), f"ego_{t}_right": flag(x < 0)}
+        out |= {f"ego_{t}_front_close": flag((y > 0) & (np.abs(x) < 5)), f"ego_{t}_back_close": flag((y < 0) & (np.abs(x) < 5))}
         for w in (15, 30, 60):
-            n = r.n(w)
+            n = s.n(w)
             for name, c in (("x", x), ("y", y), ("v", v)):
-                out |= {f"ego_{t}_{name}m{w}": r.past(c, n, max(1, n // 4), F.avg), f"ego_{t}_{name}s{w}": r.past(c, n, max(1, n // 4), F.stddev_samp)}
-    return keyed(df, out | {"ego_B_in_front_rate_1s": r.past(F.col("_front"), r.n(30), 1, F.avg)})
-
-
-def pair_key_lags(df: DataFrame, fps: float, lags: tuple[int, ...] = (5, 10, 20, 40)) -> DataFrame:
-    """Ten key columns of the other families, earlier and later."""
-    r = Rate(fps)
-    df, found = _leads(df, r), _sniffs(df)
-    df = staged(df, {f"snf_d_{k}": c for k, c in found.items()} | {"ab_cd": apart(a("body_center"), b("body_center")), "nn": apart(a("nose"), b("nose")), "A_elong": elongation(A), "B_elong": elongation(B)})
-    n = r.n(30)
-    df = staged(df, {
-        "appr": r.diff(F.col("nn") * F.col("nn"), r.n(10)), "int_con": r.mid(F.col("ab_cd"), n, 1, F.stddev_samp) / (r.mid(F.col("ab_cd"), n, 1, F.avg) + G.EPS), "chase_30": r.past(F.col("_chase"), n, max(1, n // 6), F.avg),
-        "snf_dmin_face": _nearest(found, FACE), "snf_dmin_genital": _nearest(found, GENITAL), "snf_d_body": F.col("snf_d_nbd"),
-    })
-    return key_lags(df, fps, ("ab_cd", "nn", "appr", "int_con", "chase_30", "snf_dmin_face", "snf_dmin_genital", "snf_d_body", "A_elong", "B_elong"), lags)
+                out |= {f"ego_{t}_{name}{tag}{w}": s.past(c, n, max(1, n // 4), kind) for tag, kind in (("m", "mean"), ("s", "std"))}
+    return out | {"ego_B_in_front_rate_1s": s.past(out["ego_Bc_front"], s.n(30), 1, "mean")}
+
+
+def pair_key_lags(s: Frames, lags: tuple[int, ...] = (5, 10, 20, 40)) -> Columns:
+    """Ten key columns of the other families, earlier and later, those that are there."""
+    near = _nearest(_sniffs(s))
+    keys = {"ab_cd": P.apart(*_centres(s)) if both(s, "body_center") else None, "nn": _nose_gap(s), "appr": _approach(s), "int_con": _steadiness(s), "chase_30": _chase(s)}
+    keys |= {k: near.get(k) for k in ("snf_dmin_face", "snf_dmin_genital", "snf_d_body")} | {"A_elong": elongation(s, A), "B_elong": elongation(s, B)}
+    return key_lags(s, keys, lags)
 
 
 FAMILIES = {f.__name__: f for f in (pair_distances, pair_motion, pair_interaction, pair_sniff, pair_groom, pair_egocentric, pair_key_lags)}

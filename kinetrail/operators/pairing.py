@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinetrail.functions.motion import tracked
+from kinetrail.functions.geometry import tracked
 
 
 def directed(frames: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

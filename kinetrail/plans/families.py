@@ -8,9 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetrail.functions import motion
-from kinetrail.functions.windows import by_rate
+from kinetrail.functions.sequences import features
 from kinetrail.plans.catalog import register
-from kinetrail.sources.tables import PARTS, RATES, frames
+from kinetrail.sources.tables import PARTS, frames
 
 _COORDS = ", ".join(f"CASE WHEN (vec_id + {i}) % 17 <> 0 THEN CAST(embedding[{2 * i + k + 1}] AS DOUBLE) * 10 + {(20, 15)[k]} END AS {p}_{'xy'[k]}" for i, p in enumerate(PARTS) for k in (0, 1))
 FRAMES_SQL = f"""fr0 AS (SELECT *, vec_id // 250 AS video, CAST(label % 2 AS BIGINT) AS entity FROM embeddings),
@@ -279,7 +279,7 @@ SQL = {
 
 def _family(name: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return by_rate(frames(spark, sf_dir), RATES, motion.FAMILIES[name])
+        return features(frames(spark, sf_dir), motion.FAMILIES[name])
 
     register(f"single_{name.removeprefix('single_')}", SQL[name](), query)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetrail.functions.motion import middle, point, tracked
+from kinetrail.functions.geometry import middle, point, tracked
 from kinetrail.operators import intervals, labels, models, sampling, scoring
 from kinetrail.plans.catalog import FRAMES as SCORE_FRAMES
 from kinetrail.plans.catalog import PLAIN, QUERIES, SCORED, SEGMENTS, TRACKS, _halves, register

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.functions import pairs
-from kinetrail.functions.windows import by_rate
+from kinetrail.functions.sequences import features
 from kinetrail.operators.pairing import directed
 from kinetrail.plans.catalog import register
 from kinetrail.plans.families import FRAMES_SQL, gap2, lag, lead, mid, n, part_of, past, select
-from kinetrail.sources.tables import PARTS, RATES, frames
+from kinetrail.sources.tables import PARTS, frames
 
 _SIDES = ", ".join(f"{s}.{p}_{c} AS {s.upper()}_{p}_{c}" for s in "ab" for p in PARTS for c in "xy")
 PAIRS_SQL = f"{FRAMES_SQL}, pr AS (SELECT a.video, a.entity AS agent, b.entity AS target, a.video * 4 + a.entity * 2 + b.entity AS seq, a.frame, a.fps, {_SIDES} FROM fr a JOIN fr b ON a.video = b.video AND a.frame = b.frame AND a.entity <> b.entity)"
@@ -142,7 +142,7 @@ SQL = {"pair_distances": _distances, "pair_motion": _motion, "pair_interaction":
 
 def _family(name: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = by_rate(directed(frames(spark, sf_dir)), RATES, pairs.FAMILIES[name])
+        rows = features(directed(frames(spark, sf_dir)), pairs.FAMILIES[name])
         return rows.select(F.col("seq.video").alias("video"), "*").drop("seq")
 
     register(f"all_{name}", SQL[name](), query)
