@@ -48,7 +48,6 @@ def _rolling(name: str, width: int, least: int, side: str, agg, sql_agg: str) ->
 
 
 for _side in ("trailing", "centred", "future"):
-    _rolling(f"roll_mean_{_side}", 15, 3, _side, F.avg, "AVG(x)")
     _rolling(f"roll_std_{_side}", 30, 5, _side, F.stddev_samp, "STDDEV_SAMP(x)")
 for _agg, _f in (("sum", F.sum), ("min", F.min), ("max", F.max)):
     _rolling(f"roll_{_agg}", 20, 4, "trailing", _f, f"{_agg.upper()}(x)")

