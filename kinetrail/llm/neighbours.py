@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by largest inner product: one robust-pruned directed graph for each shard of vectors.
 
-Vectors are dealt to shards of about SHARD by a hash of their id. A shard's graph is built in one task: in batches, a
+Vectors are dealt to shards of about SHARD by their length (within a factor of 2) and a hash of their id, so that a few very
+long ones don't squeeze the others together. A shard's graph is built in one task: in batches, a
 greedy beam search on the graph so far proposes neighbours, and robust pruning keeps a near one and drops those that are
 clearly closer to it than to the node (the relaxation factor ALPHA leaves some long edges). Equal vectors of a shard are
 one node. Queries go in blocks to each shard, a beam search finds candidates there, and their products are recomputed in
@@ -131,16 +132,20 @@ class Graph:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<double>): rows with an id and a vector without null or non-finite components and not all zero; of
-    rows that share an id, the one with the smallest vector."""
+    """(vec_id, v array<double>): rows with an id and a vector without null or non-finite components and not all zero."""
     v = F.col("embedding").cast("array<double>")
     good = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(good).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
+    return vectors.filter(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+
+
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their largest component, and the lengths of those; neither overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, np.sqrt((x * x).sum(axis=1))
 
 
 def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(dim, shard, graph): the pickled graph, ids and vectors of each shard of usable vectors (vec_id, v)."""
-    n = max(1, -(-vectors.count() // shard))
+    """(dim, band, shard, graph): the pickled graph, vectors and ids of each shard of usable vectors (vec_id, v)."""
 
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
@@ -149,66 +154,80 @@ def build(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         ids = ids[order]
         nodes, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
         members = np.split(ids[np.argsort(which.ravel(), kind="stable")], np.cumsum(np.bincount(which.ravel()))[:-1])
-        size = (nodes * nodes).sum(axis=1)
         # scaled so that float32 holds it, and lifted to one length
-        scale = np.sqrt(size.max())
-        lifted = np.hstack([nodes / scale, np.sqrt(np.maximum(0, 1 - size / scale**2))[:, None]])
+        part = nodes / np.abs(nodes).max()
+        size = (part * part).sum(axis=1)
+        top = np.sqrt(size.max())
+        lifted = np.hstack([part / top, np.sqrt(np.maximum(0, 1 - size / top**2))[:, None]])
         blob = pickle.dumps((Graph(lifted), nodes, members))
-        return pa.table({"dim": table.column("dim").slice(0, 1), "shard": table.column("shard").slice(0, 1), "graph": pa.array([blob], pa.binary())})
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in ("dim", "band", "shard")}, "graph": pa.array([blob], pa.binary())})
 
-    keyed = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("shard"))
-    return stored(keyed.groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, graph binary"), "graphs")
+    most = F.array_max(F.transform("v", F.abs))
+    length = F.log2(most) + F.log2(F.aggregate("v", F.lit(0.0), lambda total, x: total + (x / most) * (x / most))) / 2
+    banded = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.floor(length).cast("int").alias("band"))
+    counts = banded.groupBy("dim", "band").agg(F.ceil(F.count("*") / shard).alias("n"))
+    keyed = banded.join(counts, ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("n")).cast("int")).drop("n")
+    return stored(keyed.groupBy("dim", "band", "shard").applyInArrow(make, "dim int, band int, shard int, graph binary"), "graphs")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each of queries (vec_id, embedding) the k nearest found of vectors, its own id
-    left out, by largest inner product in double precision, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score): for each row of queries (vec_id, embedding), which are rows of vectors, the k nearest
+    found of vectors, its own row left out, by largest inner product in double precision, ties to the smaller vec_id.
 
     Vectors that are null, all zero, or hold a null or non-finite component, and rows without an id take no part, as
-    query or candidate; fewer candidates than k: all; vectors of other lengths than the query's are no candidates. Rows
-    that share an id count once. Empty tables: no rows. Other columns are left out. Memory of a task: a shard's graph
-    and a block of queries.
+    query or candidate; fewer candidates than k: all; vectors with another count of components than the query's are no
+    candidates. Rows that share an id are each a query and each other's candidates, repeated rows too. Products beyond a
+    double are infinite, and undefined ones (infinities of both signs) come last. Empty tables: no rows. Other columns are
+    left out. Memory of a task: a shard's graph and a block of queries.
     """
     base = stored(usable(vectors), "vectors")
     graphs = build(base, shard)
-    asked = usable(queries)
+    asked = usable(queries).withColumn("copy", F.row_number().over(Window.partitionBy("vec_id", "v").orderBy("vec_id")))
+    asked = stored(asked.select(F.xxhash64("vec_id", "v", "copy").alias("q"), "vec_id", "v"), "asked")
     blocks = max(1, -(-asked.count() // BLOCK))
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
-    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("ask"))  # about BLOCK rows
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("q", F.lit(5)), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
+    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("q", "vec_id", "v")).alias("ask"))  # about BLOCK rows
     # each block of queries goes to each shard of its length
-    shards = graphs.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
-    sent = packed.join(shards, "dim").select("dim", F.explode("shards").alias("shard"), "ask")
+    shards = graphs.groupBy("dim").agg(F.collect_set(F.struct("band", "shard")).alias("shards"))
+    sent = packed.join(shards, "dim").select("dim", F.explode("shards").alias("s"), "ask").select("dim", "s.*", "ask")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, ask in zip(batch.column("graph"), batch.column("ask")):
                 graph, nodes, members = pickle.loads(blob.as_py())
                 flat = ask.values
-                ids = flat.field("vec_id").to_numpy()
+                ids, names = flat.field("vec_id").to_numpy(), flat.field("q").to_numpy()
                 q = np.array(flat.field("v").flatten().to_numpy()).reshape(len(ids), -1)
                 for a in range(0, len(ids), 256):
                     own, part = ids[a : a + 256], q[a : a + 256]
-                    unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+                    unit, size = unit_rows(part)
+                    unit = unit / size[:, None]
                     got, dist, _ = graph.search(np.hstack([unit, np.zeros((len(part), 1))]), max(beam, 2 * k))
-                    rows: tuple[list, ...] = ([], [], [])
+                    rows: tuple[list, ...] = ([], [], [], [])
                     for i in range(len(own)):
                         near = got[i][got[i] >= 0]
-                        score = (nodes[near] * part[i]).sum(axis=1)
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            score = (nodes[near] * part[i]).sum(axis=1)
+                        score = np.where(np.isnan(score), -np.inf, score)
                         best = np.lexsort((np.array([members[x][0] for x in near]), -score))
                         pairs = []
                         for j in best.tolist():
                             # of equal vectors only the smallest ids can be among the k nearest
-                            pairs += [(-score[j], int(v)) for v in members[near[j]][: k + 1] if v != own[i]]
+                            held = members[near[j]][: k + 1].tolist()
+                            if own[i] in held and (nodes[near[j]] == part[i]).all():
+                                held.remove(own[i])
+                            pairs += [(-score[j], v) for v in held]
                             if len(pairs) > 4 * k and -pairs[k - 1][0] > score[j]:
                                 break
                         for s, v in sorted(pairs)[:k]:
                             rows[0].append(int(own[i]))
                             rows[1].append(v)
                             rows[2].append(-s)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], ["query_id", "vec_id", "score"])
+                            rows[3].append(int(names[a + i]))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(rows[c], pa.int64()) for c in (0, 1)), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.int64())], ["query_id", "vec_id", "score", "q"])
 
     # one graph at a time in a task: a batch is a few rows
-    pairs = sent.join(graphs, ["dim", "shard"]).select("graph", "ask").repartition(max(parallelism(base.sparkSession), 12))
-    found = pairs.mapInArrow(find, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pairs = sent.join(graphs, ["dim", "band", "shard"]).select("graph", "ask").repartition(max(parallelism(base.sparkSession), 12))
+    found = pairs.mapInArrow(find, "query_id long, vec_id long, score double, q long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
