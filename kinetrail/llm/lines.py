@@ -91,7 +91,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
     """(_id, _th, line, first_id, first_line) of every line that goes, with the earlier line it repeats or nearly repeats.
     Lines with fewer than `least` words never go; see dedup_lines() for the cases."""
     base = keyed(docs)
-    slim = base.select("_id", "text")
+    slim = base.select("_id", "_th", "text")
 
     def keys(li: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line number among li, key, whole key, is it the whole key) of what is counted."""
@@ -115,15 +115,16 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
     @frugal
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy()
+            ids, ths = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             for a, b, li in grouped(batch.column("text")):
                 if len(li.doc):
                     rows, k, _, _ = keys(li)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(ids[a:b][li.doc[rows]])], ["key", "_id"])
+                    of = li.doc[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(ids[a:b][of]), pa.array(ths[a:b][of])], ["key", "_id", "_th"])
 
     counted = slim.mapInArrow(count, "key long, e long, whole boolean").groupBy("key").agg(F.min("e").alias("a"), F.max("e").alias("b"), F.count("*").alias("n"), F.first("whole").alias("whole"))
     shared = stored(counted.filter("a <> b or (whole and n > 1)").select("key"), "halves")
-    lists = slim.mapInArrow(where, "key long, _id long").join(shared, "key", "left_semi").groupBy("_id").agg(F.collect_set("key").alias("keys"))
+    lists = slim.mapInArrow(where, "key long, _id long, _th long").join(shared, "key", "left_semi").groupBy("_id", "_th").agg(F.collect_set("key").alias("keys"))
 
     def apart(place: tuple) -> int:
         return ((place[0] ^ place[1] ^ place[2] * 0x9E3779B97F4A7C15) + 2**63 & 2**64 - 1) - 2**63
@@ -201,7 +202,7 @@ def duplicate_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFram
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["v", "p", "_id", "_th", "line", "of_id", "of_th", "of_line"])
 
-    rows = base.join(lists, "_id").sortWithinPartitions("_id", "_th").select("_id", "_th", "text", "keys")
+    rows = base.join(lists, ["_id", "_th"]).sortWithinPartitions("_id", "_th").select("_id", "_th", "text", "keys")
     found = rows.mapInArrow(emit, "v long, p int, _id long, _th long, line int, of_id long, of_th long, of_line int")
     place = F.struct("_id", "_th", "line")
     by_v, by_vp = Window.partitionBy("v"), Window.partitionBy("v", "p")
@@ -224,18 +225,18 @@ def dedup_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFrame:
     named like the two added ones are replaced; all others are kept, whatever their names.
     """
     slim = docs.select("doc_id", "text")
-    gone = duplicate_lines(slim, least, fuzzy).groupBy("_id").agg(F.collect_list(F.struct("_th", "line")).alias("_gone"))
+    gone = duplicate_lines(slim, least, fuzzy).groupBy("_id", "_th").agg(F.collect_list("line").alias("_gone"))
     kind = docs.schema["doc_id"].dataType
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "_n_lines", "_removed")]
     # the other columns travel as one, so their names meet no others
     other = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")] if rest else []
-    have = keyed(docs, *other).join(gone, "_id", "left")
+    have = keyed(docs, *other).join(gone, ["_id", "_th"], "left")
     doc_id = F.when(F.col("_id") != F.lit(-(2**63)), F.col("_id")).cast(kind).alias("doc_id")
     order = [doc_id if c == "doc_id" else F.col("text") if c == "text" else F.col("_rest").getField(c).alias(c) for c in docs.columns if c in rest or c in ("doc_id", "text")]
     kept = have.select(*order)
-    th, of = fresh(kept, "_th", "_gone")
-    slim = have.select(*order, F.lit(0).alias("_n_lines"), F.array().cast("array<int>").alias("_removed"), F.col("_th").alias(th), F.col("_gone").alias(of))
-    schema = slim.drop(th, of).schema
+    (of,) = fresh(kept, "_gone")
+    slim = have.select(*order, F.lit(0).alias("_n_lines"), F.array().cast("array<int>").alias("_removed"), F.col("_gone").alias(of))
+    schema = slim.drop(of).schema
     schema = type(schema)([type(f)(f.name, f.dataType, True) for f in schema])
     names = schema.names
 
@@ -243,10 +244,10 @@ def dedup_lines(docs: DataFrame, least: int = 5, fuzzy: int = 8) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new, total, removed = [], [], []
-            for t, mark, gone in zip(*(batch.column(c).to_pylist() for c in ("text", th, of))):
+            for t, gone in zip(*(batch.column(c).to_pylist() for c in ("text", of))):
                 lines = t.split("\n") if t else []
                 count = len(lines) - (bool(t) and t.endswith("\n"))
-                mine = sorted({x["line"] for x in gone if x["_th"] == mark}) if gone else []
+                mine = sorted(set(gone)) if gone else []
                 if mine:
                     drop = set(mine)
                     t = "\n".join(x for i, x in enumerate(lines) if i not in drop)

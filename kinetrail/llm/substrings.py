@@ -77,14 +77,14 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
 
     def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id").to_numpy()
+            ids, ths = batch.column("_id").to_numpy(), batch.column("_th").to_numpy()
             for a, b, w in words(batch.column("text")):
                 _, _, doc, values = anchors(w, size, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids[a:b][doc])], ["anchor", "_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(ids[a:b][doc]), pa.array(ths[a:b][doc])], ["anchor", "_id", "_th"])
 
-    texts = base.select("_id", "text")
+    texts = base.select("_id", "_th", "text")
     repeated = stored(texts.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    lists = texts.mapInArrow(where, "anchor long, _id long").join(repeated, "anchor", "left_semi").groupBy("_id").agg(F.collect_set("anchor").alias("anchors"))
+    lists = texts.mapInArrow(where, "anchor long, _id long, _th long").join(repeated, "anchor", "left_semi").groupBy("_id", "_th").agg(F.collect_set("anchor").alias("anchors"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # windows of this task's rows so far, which come in order
@@ -121,28 +121,26 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in out[:4]), pa.array(out[4], pa.binary())], ["key", "_id", "_th", "pos", "more"])
 
-    rows = base.join(lists, "_id").sortWithinPartitions("_id", "_th").select("_id", "_th", "text", "anchors")
+    rows = base.join(lists, ["_id", "_th"]).sortWithinPartitions("_id", "_th").select("_id", "_th", "text", "anchors")
     found = rows.mapInArrow(compare, "key long, _id long, _th long, pos int, more binary")
     place = F.struct("_id", "_th", "pos")
     first = F.min(place).over(Window.partitionBy("key", F.col("pos") < 0))
     late = found.withColumn("first", first).filter((place > F.col("first")) | (F.col("pos") < 0))
-    late = late.groupBy("_id").agg(F.collect_list(F.struct("_th", "pos", "more")).alias("late"))
+    late = late.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "more")).alias("late"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t, th, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_th", "late"))):
+            for i, t, late in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "late"))):
                 ws = (t or "").encode().split()  # splits at exactly these six bytes
                 gone = []
                 if late:
-                    mine = [x for x in late if x["_th"] == th]
-                    parts = [np.frombuffer(x["more"], np.int32) if x["pos"] < 0 else np.array([x["pos"]], np.int32) for x in mine]
-                    if parts:
-                        edge = np.zeros(len(ws) + 1, np.int64)
-                        pos = np.unique(np.concatenate(parts))
-                        np.add.at(edge, pos, 1)
-                        np.add.at(edge, pos + size, -1)
-                        gone = spans(np.cumsum(edge)[:-1] > 0).tolist()
+                    parts = [np.frombuffer(x["more"], np.int32) if x["pos"] < 0 else np.array([x["pos"]], np.int32) for x in late]
+                    edge = np.zeros(len(ws) + 1, np.int64)
+                    pos = np.unique(np.concatenate(parts))
+                    np.add.at(edge, pos, 1)
+                    np.add.at(edge, pos + size, -1)
+                    gone = spans(np.cumsum(edge)[:-1] > 0).tolist()
                 n, kept, at = len(ws), [], 0
                 for x, y in gone:
                     kept += ws[at:x]
@@ -154,5 +152,5 @@ def dedup_substrings(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), kind, pa.string()))], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     smallest = F.when(F.col("_id") == F.lit(-(2**63)), F.lit(None).cast("long")).otherwise(F.col("_id"))
-    done = base.join(late, "_id", "left").select(smallest.alias("doc_id"), "_th", "text", "late")
+    done = base.join(late, ["_id", "_th"], "left").select(smallest.alias("doc_id"), "text", "late")
     return done.mapInArrow(remove, "doc_id long, n_words long, n_removed long, spans array<struct<start: int, stop: int>>, kept string")

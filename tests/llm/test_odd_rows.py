@@ -119,7 +119,7 @@ def test_shards_against_brute_force(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     assert sorted(map(tuple, queries.QUERIES[name](spark, SF).select(*want.columns).collect())) == sorted(want.fetchall())
