@@ -11,12 +11,26 @@ from pyspark.sql import functions as F
 from kinetrail.functions.windows import changed
 
 
-def raster(frames: DataFrame, intervals: DataFrame, keys: list[str], closed: bool = True) -> DataFrame:
-    """frames (keys, frame) that lie in an interval (keys, action, start, stop), once for each action. Intervals become
-    frames before an equi-join, so the join needs no range condition."""
+def merged(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, action, start, last): intervals of the same keys and action that overlap or touch, as one; last is included.
+    Intervals that end before they start, or lack an end, go."""
+    along = Window.partitionBy(*keys, "action").orderBy("start")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    rows = intervals.filter("start <= last").withColumn("_new", F.when(before.isNull() | (before + 1 < F.col("start")), 1).otherwise(0))
+    rows = rows.withColumn("_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "action", "_island").agg(F.min("start").alias("start"), F.max("last").alias("last")).drop("_island")
+
+
+def raster(frames: DataFrame, intervals: DataFrame, keys: list[str], closed: bool = True, width: int = 1024) -> DataFrame:
+    """frames (keys, frame) that lie in an interval (keys, action, start, stop), once for each action. Overlapping intervals
+    of an action are one; intervals and frames meet in buckets of `width` frames and are compared there, so an interval
+    costs the buckets it touches, not its frames. Null keys, frames and ends lie in nothing."""
     last = F.col("stop") if closed else F.col("stop") - 1
-    marked = intervals.filter(F.col("start") <= last).select(*keys, "action", F.explode(F.sequence("start", last)).alias("frame"))
-    return frames.join(marked.distinct(), [*keys, "frame"])
+    whole = merged(intervals.select(*keys, "action", "start", last.alias("last")), keys)
+    at = lambda c: F.floor(F.col(c) / width)
+    marked = whole.withColumn("_bucket", F.explode(F.sequence(at("start"), at("last"))))
+    met = frames.withColumn("_bucket", at("frame")).join(marked, [*keys, "_bucket"])
+    return met.filter((F.col("frame") >= F.col("start")) & (F.col("frame") <= F.col("last"))).select(*frames.columns, "action")
 
 
 def best_state(scores: DataFrame, keys: list[str], threshold: float = 0.27) -> DataFrame:
@@ -63,7 +77,7 @@ def best_actions(scores: DataFrame, keys: list[str], thresholds: DataFrame | Non
     top = scores.groupBy(*keys, "frame").agg(F.max(F.struct("prob", (-F.col("ordinal")).alias("o"), "action")).alias("top"))
     rows = top.select(*keys, "frame", "top.prob", "top.action")
     if thresholds is not None:
-        rows = rows.join(F.broadcast(thresholds.select("action", "threshold")), "action", "left")
+        rows = rows.join(thresholds.select("action", "threshold"), "action", "left")
         bound = F.coalesce("threshold", F.lit(default))
     else:
         bound = F.lit(default)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,17 +13,29 @@ def class_weights(labels: DataFrame, by: str) -> DataFrame:
     return counted.withColumn("weight", F.greatest("neg", F.lit(1)) / F.greatest("pos", F.lit(1)))
 
 
+def ranked(rows: DataFrame, by: str, key: str, most: Column, digits: int = 3) -> DataFrame:
+    """rows with `_rank`, their place in the order of the md5 of key among those of one `by`, as far as `most` (a column)
+    reaches; the others go. Rows are counted by the first digits of their md5, and each prefix is ranked by itself with
+    the count of those before it, so no task orders a whole group; prefixes beyond the cut are not ordered at all. Rows that
+    share a key share a prefix. Rows whose `by` is null are one group."""
+    hashed = rows.withColumn("_md5", F.coalesce(F.md5(F.col(key).cast("string")), F.lit(""))).withColumn("_prefix", F.substring("_md5", 1, digits))
+    counts = hashed.groupBy(F.col(by).alias("_of"), F.col("_prefix").alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16 ** digits rows a group at most
+    placed = hashed.join(counts.select("_of", "_p", before.alias("_before")), F.col(by).eqNullSafe(F.col("_of")) & (F.col("_prefix") == F.col("_p"))).filter(F.col("_before") < most)
+    rank = F.row_number().over(Window.partitionBy(by, "_prefix").orderBy("_md5", key)) + F.col("_before")
+    return placed.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_md5", "_prefix", "_of", "_p", "_before")
+
+
 def downsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
     """labels (by, key, y) with as many rows of y = false as bring the share of y = true to ratio (all, where it is
-    there already, and where a group has only one class), those with the smallest md5 of key. Ranks come from a window
-    over negatives of one `by`; rows whose `by` is null are one group."""
+    there already, and where a group has only one class), those with the smallest md5 of key. Rows whose `by` is null are
+    one group; rows without a y go."""
     counted = class_weights(labels, by).select(F.col(by).alias("_by"), "pos", "neg")
     want = F.floor(F.col("pos") * (1 - ratio) / ratio)
     whole = (F.col("pos") == 0) | (F.col("neg") == 0) | (F.col("pos") / (F.col("pos") + F.col("neg")) >= ratio)
     keep = F.when(whole, F.col("neg")).otherwise(F.least(F.greatest(want, F.lit(1)), F.col("neg")))
-    rank = F.row_number().over(Window.partitionBy(by, "y").orderBy(F.md5(F.col(key).cast("string")), key))
-    rows = labels.withColumn("_r", rank).join(counted.select("_by", keep.alias("_k")), F.col(by).eqNullSafe(F.col("_by")))
-    return rows.filter(F.col("y") | (F.col("_r") <= F.col("_k"))).select(*labels.columns)
+    negatives = labels.filter(~F.col("y")).join(counted.select("_by", keep.alias("_most")), F.col(by).eqNullSafe(F.col("_by")))
+    return labels.filter("y").union(ranked(negatives, by, key, F.col("_most")).select(*labels.columns))
 
 
 def hold_out(rows: DataFrame, group: str, share: float = 0.1, digits: int = 2) -> DataFrame:
@@ -55,12 +67,12 @@ def cap_rows(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
 
 def upsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
     """labels (by, key, y) with rows of y = true repeated until their share is ratio (as they are, where it is there
-    already): each equally often, those with the smallest md5 of key once more."""
+    already): each equally often, those with the smallest md5 of key once more. Rows without a y stay as they are."""
     counted = class_weights(labels, by).select(F.col(by).alias("_by"), "pos", "neg")
     want = F.ceil(ratio * F.col("neg") / (1 - ratio))
-    rank = F.row_number().over(Window.partitionBy(by, "y").orderBy(F.md5(F.col(key).cast("string")), key))
-    rows = labels.withColumn("_r", rank).join(counted.withColumn("_w", want), F.col(by).eqNullSafe(F.col("_by")))
     pos = F.nullif(F.col("pos"), F.lit(0))
-    more = F.floor(F.col("_w") / pos) + F.when(F.col("_r") <= F.col("_w") % pos, 1).otherwise(0)
-    copies = F.when(F.col("y") & (F.col("_w") > F.col("pos")), more).otherwise(1).cast("int")
-    return rows.withColumn("_c", F.explode(F.array_repeat(F.lit(1), copies))).select(*labels.columns)
+    grows = want > F.col("pos")
+    share = counted.select("_by", F.when(grows, F.floor(want / pos)).otherwise(1).alias("_each"), F.when(grows, want % pos).otherwise(0).alias("_more"))
+    positives = labels.filter("y").join(share, F.col(by).eqNullSafe(F.col("_by")))
+    every = positives.withColumn("_c", F.explode(F.array_repeat(F.lit(1), F.col("_each").cast("int"))))
+    return labels.filter(~F.coalesce("y", F.lit(False))).union(every.select(*labels.columns)).union(ranked(positives, by, key, F.col("_more")).select(*labels.columns))

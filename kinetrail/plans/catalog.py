@@ -154,13 +154,13 @@ FIRST = """q AS (SELECT half, lab, agent, target, action, frame, ROW_NUMBER() OV
 @register("score_by_action", f"WITH {FRAMES}, {PLAIN}, {SCORED} SELECT lab, action, tp, fp, fn, ROUND(f, 6) AS f FROM f")
 def score_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _halves(spark, sf_dir)
-    return scoring.f_beta(scoring.counts(scoring.frames(a), scoring.frames(b))).withColumn("f", rounded(F.col("f"), 6))
+    return scoring.f_beta(scoring.counts(a, b)).withColumn("f", rounded(F.col("f"), 6))
 
 
 @register("score_macro", f"WITH {FRAMES}, {PLAIN}, {SCORED}, l AS (SELECT lab, AVG(f) AS f FROM f GROUP BY lab) SELECT ROUND(AVG(f), 6) AS score, COUNT(*) AS labs FROM l")
 def score_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _halves(spark, sf_dir)
-    return scoring.macro(scoring.f_beta(scoring.counts(scoring.frames(a), scoring.frames(b)))).withColumn("score", rounded(F.col("score"), 6))
+    return scoring.macro(scoring.f_beta(scoring.counts(a, b))).withColumn("score", rounded(F.col("score"), 6))
 
 
 @register("score_first_wins", f"WITH {FRAMES}, {FIRST}, {SCORED} SELECT lab, action, tp, fp, fn, ROUND(f, 6) AS f FROM f")

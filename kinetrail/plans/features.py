@@ -177,7 +177,7 @@ def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("score_report", f"WITH {FRAMES}, {PLAIN}, {SCORED} SELECT lab, action, ROUND(CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) ELSE 0 END, 6) AS prec, ROUND(CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) ELSE 0 END, 6) AS recall, tp + fn AS support, ROUND(f, 6) AS f FROM f")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _halves(spark, sf_dir)
-    r = scoring.report(scoring.counts(scoring.frames(a), scoring.frames(b)))
+    r = scoring.report(scoring.counts(a, b))
     return r.select("lab", "action", rounded(F.col("prec"), 6).alias("prec"), rounded(F.col("recall"), 6).alias("recall"), "support", rounded(F.col("f"), 6).alias("f"))
 
 

@@ -139,7 +139,7 @@ def active_label_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_granular(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _halves(spark, sf_dir)
     kinds = scoring.categories(a.withColumn("row", F.col("event_id")), ["view"])
-    return scoring.granular(scoring.counts(scoring.frames(a), scoring.frames(b)), kinds).select("switch", "action", "tp", "fp", "fn", "support", "prec", "recall", "f")
+    return scoring.granular(scoring.counts(a, b), kinds).select("switch", "action", "tp", "fp", "fn", "support", "prec", "recall", "f")
 
 
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

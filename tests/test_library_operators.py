@@ -1,10 +1,13 @@
 """Literal cases of ingest, rates, resampling, labels, segments and models."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.functions.windows import by_rate
-from kinetrail.operators import intervals, labels, models, sampling
+from kinetrail.operators import intervals, labels, models, sampling, scoring
 from kinetrail.operators.pairing import directed
 from kinetrail.plans.catalog import ORACLES, QUERIES
 from kinetrail.sources import recordings as R
@@ -111,3 +114,48 @@ def test_models(spark, tmp_path):
 def test_boosted_trees_query(spark):
     df = QUERIES["boosted_trees"](spark, "/root/testdata/sf0.001")
     assert "boosted_trees" not in ORACLES and df.filter("prob >= 0 and prob <= 1").count() == df.count() > 0
+
+
+def test_sweep_counts_against_frames(spark):
+    """Segments that overlap, touch, nest, repeat and are empty: the same counts as sets of frames."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: [(int(rng.integers(0, 2)), int(rng.integers(0, 2)), 0, "ab"[rng.integers(0, 2)], a := int(rng.integers(0, 60)), a + int(rng.integers(-1, 15)), i) for i in range(n)]
+    schema = "lab int, agent int, target int, action string, start long, stop long, row long"
+    truth, found = draw(40), [*draw(40), (5, 0, 0, "a", 3, 9, 99), (0, 0, 0, "a", None, 4, 100)]
+    sets = lambda rows: {(lab, a, t, x, f) for lab, a, t, x, s, e, _ in rows if s is not None for f in range(s, e)}
+    want = {}
+    one, two = sets(truth), sets(found)
+    for lab, _, _, x, *_ in one | two:
+        want[lab, x] = tuple(sum((k[0], k[3]) == (lab, x) for k in part) for part in (one & two, two - one, one - two))
+    a, b = (spark.createDataFrame(rows, schema).repartition(3) for rows in (truth, found))
+    assert {(r["lab"], r["action"]): (r["tp"], r["fp"], r["fn"]) for r in scoring.counts(a, b).collect()} == want
+    assert {r["lab"] for r in scoring.within(b, a, "lab").collect()} == {0, 1} and scoring.counts(a.limit(0), b.limit(0)).count() == 0
+    # a frame belongs to the first row that covers it
+    first = {}
+    for lab, ag, t, x, s, e, row in sorted(truth, key=lambda r: r[-1]):
+        for f in range(s, e):
+            first.setdefault((lab, ag, t, f), x)
+    pieces = scoring.first_wins(a).collect()
+    assert {(r["lab"], r["agent"], r["target"], f): r["action"] for r in pieces for f in range(r["start"], r["stop"])} == first
+    assert sum(r["stop"] - r["start"] for r in pieces) == len(first)
+
+
+def test_long_intervals_cost_buckets(spark):
+    """An interval of a hundred million frames, and overlapping ones of an action, without a row for each frame."""
+    frames = spark.createDataFrame([(1, f) for f in (0, 5, 10**8, 10**8 + 1, 7_777_777)] + [(2, 5), (None, 5)], "seq int, frame long")
+    wide = spark.createDataFrame([(1, "a", 0, 10**8), (1, "a", 5, 6), (1, "b", 6, 4), (1, "b", 4, 5), (1, "b", 5, 5), (2, "a", None, 9)], "seq int, action string, start long, stop long")
+    got = sorted(map(tuple, intervals.raster(frames, wide, ["seq"], width=1 << 20).collect()))
+    assert got == [(1, 0, "a"), (1, 5, "a"), (1, 5, "b"), (1, 7_777_777, "a"), (1, 10**8, "a")]
+    assert sorted(r["frame"] for r in intervals.raster(frames, wide, ["seq"], closed=False, width=1 << 20).filter("action = 'a'").collect()) == [0, 5, 7_777_777]
+
+
+def test_cuts_by_hash_prefix(spark):
+    """The same rows as a plain order of all hashes, at several prefix lengths; null groups and keys, repeated keys."""
+    rows = [(g, None if i % 90 == 7 else i - i % 3, i % 5 == 0) for g in ("a", "b", None) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, y boolean").repartition(3)
+    order = lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i) if i is not None else ("", 0)
+    for digits in (1, 2, 3):
+        got = sampling.ranked(df, "g", "id", F.lit(100), digits).collect()
+        for g in ("a", "b", None):
+            want = sorted((order(i) for h, i, _ in rows if h == g))[:100]
+            assert [order(r["id"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["_rank"])] == want
