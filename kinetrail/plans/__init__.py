@@ -1,3 +1,3 @@
 """Registered queries. Importing the package registers all of them."""
 
-from kinetrail.plans import catalog, families, features, ingest, pair_families, windows  # noqa: F401
+from kinetrail.plans import assembled, catalog, families, features, ingest, pair_families, windows  # noqa: F401
