@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrail.functions.geometry import middle, point, tracked
-from kinetrail.operators import intervals, labels, models, sampling, scoring
+from kinetrail.operators import boosting, intervals, labels, models, sampling, scoring
 from kinetrail.plans.catalog import FRAMES as SCORE_FRAMES
 from kinetrail.plans.catalog import PLAIN, QUERIES, SCORED, SEGMENTS, TRACKS, _halves, register
 from kinetrail.plans.families import FRAMES_SQL
@@ -153,3 +153,22 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["boosted_trees"] = boosted_trees
+
+
+_LABELLED = f"""WITH {TRACKS}, l AS (SELECT fps AS section, CASE WHEN seq % 2 = 0 THEN 'single' ELSE 'pair' END AS branch, a.action, t.action = a.action AS y FROM tracks t, (SELECT DISTINCT action FROM tracks) a),
+  c AS (SELECT section, branch, action, CAST(COUNT(*) FILTER (y) AS BIGINT) AS pos, CAST(COUNT(*) FILTER (NOT y) AS BIGINT) AS neg FROM l GROUP BY ALL)
+  SELECT section, branch, action, pos, neg, pos AS used_pos, CASE WHEN CAST(pos AS DOUBLE) / (pos + neg) >= CAST(0.3 AS DOUBLE) THEN neg ELSE LEAST(GREATEST(CAST(FLOOR(pos * (1 - CAST(0.3 AS DOUBLE)) / CAST(0.3 AS DOUBLE)) AS BIGINT), 1), neg) END AS used_neg, 4 AS trees
+  FROM c WHERE pos > 0 AND neg > 0"""
+
+
+#: Kinds of events: fixed values.
+ACTIONS = ("signup", "click", "error", "view", "purchase")
+
+
+@register("boosted_actions", _LABELLED)
+def boosted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of every action of every section and branch, each on its own resampled rows: what it was fitted on."""
+    t = tracks(spark, sf_dir).select("event_id", "action", "x", F.col("y").alias("value"), F.col("fps").alias("section"), F.when(F.col("seq") % 2 == 0, "single").otherwise("pair").alias("branch"))
+    rows = t.withColumn("listed", F.explode(F.array(*map(F.lit, ACTIONS)))).select("section", "branch", F.col("listed").alias("action"), "event_id", (F.col("action") == F.col("listed")).alias("y"), "x", "value")
+    found = boosting.fit_all(rows, ["section", "branch", "action"], ["x", "value"], "event_id", boosting.Settings(trees=4, depth=3))
+    return found.select("section", "branch", "action", "pos", "neg", "used_pos", "used_neg", F.size(F.array_distinct(F.transform("nodes", lambda n: n["tree"]))).alias("trees"))
