@@ -60,12 +60,15 @@ def single_targets(rows: DataFrame, listed_single: list[str]) -> DataFrame:
     (smallest `row`) is on itself, or it is listed."""
     first = rows.groupBy("action").agg(F.min_by(F.col("agent") == F.col("target"), "row").alias("_alone")).select(F.col("action").alias("_action"), "_alone")
     alone = F.coalesce("_alone", F.lit(False)) | F.col("action").isin(listed_single)
-    return rows.join(F.broadcast(first), F.col("action") == F.col("_action"), "left").withColumn("target", F.when(alone, F.col("agent")).otherwise(F.col("target"))).drop("_action", "_alone")
+    return rows.join(first, F.col("action") == F.col("_action"), "left").withColumn("target", F.when(alone, F.col("agent")).otherwise(F.col("target"))).drop("_action", "_alone")
 
 
-def fill(extents: DataFrame, actions: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+def fill(extents: DataFrame, actions: DataFrame, predicted: DataFrame, key: str, skip: Column | None = None) -> DataFrame:
     """(key, agent, target, action, start, stop) for keys without a prediction: each (agent, target)'s actions, in order,
-    share the frames first..last in equal parts, the last one ending with them."""
+    share the frames first..last in equal parts, the last one ending with them. skip: extents that are not filled, such as
+    those of labs whose name starts a certain way; where it is null they are filled."""
+    if skip is not None:
+        extents = extents.filter(~F.coalesce(skip, F.lit(False)))
     bare = extents.join(predicted.select(key).distinct(), key, "left_anti")
     turns = actions.groupBy(key, "agent", "target").agg(F.array_sort(F.collect_set("action")).alias("all"))
     each = bare.join(turns, key).select(key, "agent", "target", "first", "last", F.size("all").alias("n"), F.posexplode("all").alias("i", "action"))

@@ -172,3 +172,30 @@ def boosted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.withColumn("listed", F.explode(F.array(*map(F.lit, ACTIONS)))).select("section", "branch", F.col("listed").alias("action"), "event_id", (F.col("action") == F.col("listed")).alias("y"), "x", "value")
     found = boosting.fit_all(rows, ["section", "branch", "action"], ["x", "value"], "event_id", boosting.Settings(trees=4, depth=3))
     return found.select("section", "branch", "action", "pos", "neg", "used_pos", "used_neg", F.size(F.array_distinct(F.transform("nodes", lambda n: n["tree"]))).alias("trees"))
+
+
+_OFFICIAL = f"""WITH {SEGMENTS}, g AS (SELECT *, agent AS video, agent % 3 AS lab FROM segments), truth AS (SELECT * FROM g WHERE event_id % 2 = 0 AND agent <> 3), guess AS (SELECT * FROM g WHERE event_id % 2 = 1),
+  one AS (SELECT video, ARG_MIN(action, event_id) AS x1, ARG_MAX(action, event_id) AS x2 FROM truth GROUP BY video),
+  act AS (SELECT guess.* FROM guess JOIN one USING (video) WHERE start < stop AND guess.action IN (x1, x2)),
+  fr AS (SELECT video, lab, agent, target, action, event_id, UNNEST(RANGE(start, stop)) AS frame FROM act),
+  p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY video, agent, target, frame ORDER BY event_id) AS n FROM fr) WHERE n = 1),
+  t AS (SELECT DISTINCT lab, agent, target, action, UNNEST(RANGE(start, stop)) AS frame FROM truth WHERE start < stop), {SCORED}
+  SELECT lab, action, tp, fp, fn, f FROM f"""
+
+
+@register("score_listed", _OFFICIAL)
+def score_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of recordings that the solution has, whose label its first row lists, the first row in the table's own
+    order taking a frame that several cover."""
+    s = segments(spark, sf_dir).withColumns({"video": F.col("agent"), "lab": F.col("agent") % 3, "row": F.col("event_id")})
+    truth, guess = s.filter("event_id % 2 = 0 AND agent <> 3"), s.filter("event_id % 2 = 1")
+    told = truth.groupBy("video").agg(F.concat_ws(",", F.min_by("action", "row"), F.max_by("action", "row")).alias("labels_of")).withColumn("row", F.lit(0))
+    kept = labels.active(scoring.within(guess, truth, "video"), told, "video", ["action"])
+    return scoring.f_beta(scoring.counts(truth, scoring.first_wins(kept)))
+
+
+@register("frames_without_events", f"WITH {TRACKS}, h AS (SELECT DISTINCT seq, frame FROM tracks WHERE action = 'view') SELECT seq, frame FROM tracks WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.seq = tracks.seq AND h.frame + 1 = tracks.frame)")
+def frames_without_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that no view precedes: an anti-join that keeps most rows."""
+    t = tracks(spark, sf_dir)
+    return t.select("seq", "frame").join(t.filter("action = 'view'").select("seq", (F.col("frame") + 1).alias("frame")), ["seq", "frame"], "left_anti")

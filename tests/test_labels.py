@@ -38,3 +38,12 @@ def test_csv_round_trip(spark, tmp_path):
     write_csv(rows, str(tmp_path / "out"), "video", ["start"])
     got = read_csv(spark, str(tmp_path / "out"), "row_id long, video long, start long").orderBy("row_id").collect()
     assert [(r.video, r.start) for r in got] == sorted((v, s) for v in (1, 2, 3) for s in (7, 5, 5))
+
+
+def test_fill_skips_some_recordings(spark):
+    from pyspark.sql import functions as F
+
+    extents = spark.createDataFrame([(1, 0, 9, "open_a"), (2, 0, 9, "lab"), (3, 0, 9, None)], "video long, first long, last long, lab string")
+    actions = spark.createDataFrame([(v, "1", "2", "chase") for v in (1, 2, 3)], "video long, agent string, target string, action string")
+    got = fill(extents, actions, spark.createDataFrame([], "video long"), "video", F.col("lab").startswith("open"))
+    assert sorted(r["video"] for r in got.collect()) == [2, 3]
