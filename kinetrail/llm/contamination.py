@@ -2,24 +2,41 @@
 
 Words are lower-cased (A-Z) runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Training words stream through the automaton,
 which tracks the longest match that ends at each word; a match of at least `window` words lies in an item's windows,
-and its words are hit. The automaton is built for blocks of items of bounded size, so what is sent to tasks is bounded;
-more items make more blocks, which are run in turn: what one found is written before the next begins.
+and its words are hit. The automaton is built for blocks of items of bounded size, so what is sent to tasks is bounded.
+Where there are more blocks than one, a first pass over the documents keeps the stretches of words whose neighbours are
+neighbours in some item (by a bit table of fixed size, so a few others too), and each block's automaton streams only
+those; what a block found is written before the next begins.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinetrail.llm.common import bounded, discard, fresh, frugal, stored
-from kinetrail.llm.words import ALNUM, Words, words
+from kinetrail.llm.common import bounded, fresh, frugal, scratch, stored
+from kinetrail.llm.words import ALNUM, Words, mix, words
 
 #: Most words of items in one automaton.
 BLOCK = 200_000
+#: Bits (a power of two) of the table that says which words, or pairs of them, some item may hold.
+BITS = 1 << 27
+
+
+def runs_within(w: Words, ok: np.ndarray, extra: int, least: int) -> list[tuple[int, int, int]]:
+    """(document, from, to) of runs of ok within documents, `extra` words longer than the run, of at least `least` words."""
+    begins = np.zeros(len(w.hash) + 1, bool)
+    begins[w.first] = True  # no run goes on into the next document
+    begins = begins[: len(ok) + 1]
+    at, before = np.append(ok, False), np.append(False, ok)
+    edge = np.stack([np.flatnonzero(at & (~before | begins)), np.flatnonzero(before & (~at | begins))], axis=1)
+    edge = edge[edge[:, 1] - edge[:, 0] + extra >= least]
+    return [(int(w.doc[a]), int(a), int(b) + extra) for a, b in edge]
 
 
 class Automaton:
@@ -100,19 +117,10 @@ class Automaton:
             return []
         if self.least == 1:
             start = np.flatnonzero(np.isin(h, self.words))
-            return [(int(w.doc[i]), int(i), int(i) + 1) for i in start] if not len(self.pairs) else self._runs(w, np.isin(h, self.words), 0)
+            return [(int(w.doc[i]), int(i), int(i) + 1) for i in start] if not len(self.pairs) else runs_within(w, np.isin(h, self.words), 0, self.least)
         p = self._pair(h[:-1], h[1:])
         at = np.minimum(np.searchsorted(self.pairs, p), len(self.pairs) - 1)
-        return self._runs(w, (self.pairs[at] == p) & (w.doc[:-1] == w.doc[1:]), 1)
-
-    def _runs(self, w: Words, ok: np.ndarray, extra: int) -> list[tuple[int, int, int]]:
-        begins = np.zeros(len(w.hash) + 1, bool)
-        begins[w.first] = True  # no run goes on into the next document
-        begins = begins[: len(ok) + 1]
-        at, before = np.append(ok, False), np.append(False, ok)
-        edge = np.stack([np.flatnonzero(at & (~before | begins)), np.flatnonzero(before & (~at | begins))], axis=1)
-        edge = edge[edge[:, 1] - edge[:, 0] + extra >= self.least]
-        return [(int(w.doc[a]), int(a), int(b) + extra) for a, b in edge]
+        return runs_within(w, (self.pairs[at] == p) & (w.doc[:-1] == w.doc[1:]), 1, self.least)
 
     def stream(self, ws: list[int], breaks: np.ndarray | None = None) -> tuple[list[tuple[int, int]], set]:
         """Hit intervals [from, to) of word numbers, and the items whose windows occur."""
@@ -180,27 +188,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
     Null or wordless text: 0 words, no hits. Null item_id: its words hit, it is not listed. Null or empty benchmark:
     no hits. cut: the hit spans are left out of `text`. Equal items are all listed. Rows of docs that repeat fare alike, null
     ids like others. Columns of docs keep their names and values; one named like an added column is an error.
-    Narrow for benchmarks of one block: no shuffle, one pass over the documents.
+    Benchmarks of one block: no shuffle, one pass over the documents. More blocks: the documents are read once and written
+    with their stretches, every block reads the stretches alone, and what they found is joined to the rows.
     """
     if clash := [n for n in names if n.lower() in {c.lower() for c in docs.columns}]:
         raise ValueError(f"docs has columns named like added ones: {', '.join(clash)}")
     n_words, spans_of, items_of = names
-    have = bounded(docs).withColumns({n_words: F.lit(-1).cast("long"), spans_of: F.array().cast("array<struct<start: int, stop: int>>"), items_of: F.array().cast("array<string>")})
-    sc = docs.sparkSession.sparkContext
-    schema = have.schema
+    (stretches,) = fresh(docs, "_stretches")
+    have = bounded(docs)
     blocks = item_blocks(benchmark, window, block)
-    items, old = next(blocks, []), None
-    while items is not None:
-        after = next(blocks, None)
-        sent = sc.broadcast(Automaton(items, window))  # at most `block` words: bounded
+    items, after = next(blocks, []), next(blocks, None)
+    added = have.withColumns({n_words: F.lit(-1).cast("long"), spans_of: F.array().cast("array<struct<start: int, stop: int>>"), items_of: F.array().cast("array<string>")})
+    schema = added.schema
+
+    def finished(batch: pa.RecordBatch, n: np.ndarray, hit: dict[int, list], items: dict[int, set]) -> pa.RecordBatch:
+        spans = [_merge(hit[i]) if i in hit else [] for i in range(batch.num_rows)]
+        held = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+        if cut and any(spans):
+            held["text"] = pa.array([_without(t, x) if x else t for t, x in zip(held["text"].to_pylist(), spans)], pa.string())
+        held[n_words] = pa.array(n, pa.int64())
+        held[spans_of] = pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+        held[items_of] = pa.array([sorted(items.get(i, set()) - {None}) for i in range(batch.num_rows)], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([held[c] for c in schema.names], names=schema.names)
+
+    if after is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))  # at most `block` words: bounded
 
         @frugal
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=cut and after is None) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = sent.value
             for batch in batches:
-                n = np.zeros(batch.num_rows, np.int64)
-                hit: dict[int, list] = {i: [(x["start"], x["stop"]) for x in v] for i, v in enumerate(batch.column(spans_of).to_pylist()) if v}
-                items: dict[int, set] = {i: set(v) for i, v in enumerate(batch.column(items_of).to_pylist()) if v}
+                n, hit, items = np.zeros(batch.num_rows, np.int64), {}, {}
                 for a, b, w in words(batch.column("text"), ALNUM, lower=True):
                     n[a:b] = w.counts
                     for d, x, y in m.stretches(w):
@@ -208,26 +226,100 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
                         if hits:
                             off = x - int(w.first[d])
                             hit.setdefault(a + d, []).extend((p + off, q + off) for p, q in hits)
-                            items.setdefault(a + d, set()).update(found - {None})
-                spans = [_merge(hit[i]) if i in hit else [] for i in range(batch.num_rows)]
-                if last and any(spans):
-                    texts = batch.column("text").to_pylist()
-                    batch = batch.set_column(batch.schema.names.index("text"), "text", pa.array([_without(t, x) if x else t for t, x in zip(texts, spans)], pa.string()))
-                given = {
-                    n_words: pa.array(n), spans_of: pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    items_of: pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays([given[c] if c in given else batch.column(k) for k, c in enumerate(batch.schema.names)], names=batch.schema.names)
-
-        have = have.mapInArrow(run, schema)
-        if after is not None:  # one automaton at a time
-            have, was = stored(have, "found"), old
-            old = have
-            sent.unpersist()
-            if was is not None:
-                discard(was)
-        items = after
-    return have
+                            items.setdefault(a + d, set()).update(found)
+                yield finished(batch, n, hit, items)
+
+        return have.mapInArrow(run, schema)
+
+    kept, row = _kept(have, benchmark, window, block, n_words, stretches)
+    found, k = f"{scratch(docs.sparkSession)}/found-{uuid.uuid4().hex}", 0
+    asked = kept.filter(F.size(stretches) > 0).select(row, stretches)
+    while items is not None:
+        _stream_block(asked, items, window, row, stretches).write.mode("append").parquet(found)
+        items, after = after, next(blocks, None)
+    hits = docs.sparkSession.read.schema(HITS.format(row)).parquet(found).groupBy(row).agg(F.flatten(F.collect_list("spans")).alias("_all_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_all_items"))
+    joined = kept.drop(stretches).join(hits, row, "left").select(*[F.col(f"`{c}`") for c in docs.columns], n_words, F.col("_all_spans").alias(spans_of), F.col("_all_items").alias(items_of))
+
+    @frugal
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index
+            hit = {i: [(x["start"], x["stop"]) for x in v] for i, v in enumerate(batch.column(at(spans_of)).to_pylist()) if v}
+            items = {i: set(v) for i, v in enumerate(batch.column(at(items_of)).to_pylist()) if v}
+            yield finished(batch, batch.column(at(n_words)).to_numpy(), hit, items)
+
+    return joined.mapInArrow(finish, schema)
+
+
+#: What a block's automaton found in a row of the documents.
+HITS = "{} long, spans array<struct<start: int, stop: int>>, items array<string>"
+
+
+def _bits(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether table has the bit of each hash."""
+    k = mix(h) & np.uint64(BITS - 1)
+    return (table[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _kept(docs: DataFrame, benchmark: DataFrame, window: int, block: int, n_words: str, stretches: str) -> tuple[DataFrame, str]:
+    """docs, written, with a row number, the number of words, and the stretches (from, words) that some item may hold; the
+    row number's name."""
+    table, least = np.zeros(BITS // 8, np.uint8), window
+    for items in item_blocks(benchmark, window, block):
+        least = min([least, *(len(ws) for _, ws in items)])
+    single = least == 1  # then words count by themselves, else neighbours
+    for items in item_blocks(benchmark, window, block):
+        held = [np.array(ws, np.uint64) for _, ws in items]
+        h = np.concatenate(held if single else [Automaton._pair(w[:-1], w[1:]) for w in held])
+        k = mix(h) & np.uint64(BITS - 1)
+        np.bitwise_or.at(table, (k >> np.uint64(3)).astype(np.int64), np.uint8(1) << (k & np.uint64(7)).astype(np.uint8))
+    sent = docs.sparkSession.sparkContext.broadcast(table)  # BITS / 8 bytes
+    (row,) = fresh(docs, "_row")
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            n, out = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+            for a, b, w in words(batch.column(batch.schema.names.index("text")), ALNUM, lower=True):
+                n[a:b] = w.counts
+                h = w.hash
+                if len(h) < least:
+                    continue
+                ok = _bits(h, bits) if single else _bits(Automaton._pair(h[:-1], h[1:]), bits) & (w.doc[:-1] == w.doc[1:])
+                for d, x, y in runs_within(w, ok, 0 if single else 1, least):
+                    out[a + d].append({"at": x - int(w.first[d]), "words": h[x:y].view(np.int64)})
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(out, kind)], names=[*batch.schema.names, n_words, stretches])
+
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    part = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*numbered.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(stretches, T.ArrayType(part))])
+    return stored(numbered.mapInArrow(run, schema), "stretches"), row
+
+
+def _stream_block(asked: DataFrame, items: list[tuple[str | None, list[int]]], window: int, row: str, stretches: str) -> DataFrame:
+    """(row, spans, items) of the rows in whose stretches windows of items occur."""
+    sent = asked.sparkSession.sparkContext.broadcast(Automaton(items, window))  # at most a block of words: bounded
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for i, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans, found = [], set()
+                for p in parts:
+                    hits, its = m.stream([x & 0xFFFFFFFFFFFFFFFF for x in p["words"]])
+                    spans += [{"start": a + p["at"], "stop": b + p["at"]} for a, b in hits]
+                    found |= its
+                if spans:
+                    for c, v in zip(out, (i, spans, sorted(found - {None}))):
+                        c.append(v)
+            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[row, "spans", "items"])
+
+    return asked.mapInArrow(run, HITS.format(row))
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:

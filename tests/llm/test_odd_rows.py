@@ -145,3 +145,26 @@ def test_pipeline_against_plain_versions(spark):
         if not judge[d][2]:  # nothing was cut out
             ids = t.encode(text, add_special_tokens=False).ids
             assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(text))
+
+
+def test_large_benchmark_reads_documents_once(spark, odd):
+    """Fifty blocks of items: equal to one block; the documents are scanned once, each block reads stretches alone."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{x}" for x in rng.integers(0, 300, 60)) for _ in range(200)]
+    items = [(i, " ".join(texts[i].split()[5 : 5 + (1 if i % 50 == 49 else 30)])) for i in range(100)] + [(None, " ".join(texts[150].split()[:20])), (900, None), (901, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(None, texts[3], 0), (None, None, 0)], "doc_id long, text string, _row long").repartition(4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    mark = lambda d, **kw: sorted((str(tuple(r)) for r in contamination(d, bench, **kw).collect()))
+    want = mark(docs)
+    got = mark(docs.mapInArrow(counted, docs.schema), block=60)
+    assert got == want and seen.value == 202
+    few = spark.createDataFrame([(i, t) for i, t in items if t is None or len(t.split()) != 1], "item_id long, text string")
+    one, many = (sorted(str(tuple(r)) for r in contamination(docs, few, block=b, cut=True).collect()) for b in (200_000, 45))
+    assert one == many and any("[Row(" in x for x in one)
