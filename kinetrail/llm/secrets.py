@@ -49,7 +49,7 @@ PLACEHOLDERS = "example sample test dummy password passwd secret token key user
 WORD = re.compile(r"[a-z]{3,20}")
 HINTS = ("password", "passwd", "secret", "token", "key", "auth", "credential", "aws", "login")
 OTHERS = ("card", "phone", "iban", "order", "uuid", "sha", "md5", "commit", "digest", "isbn", "version")
-FEATURES = ("length", "digits", "upper", "lower", "marks", "transitions", "entropy", "coverage", "longest_letters", "longest_digits", "assigned", "hint", "other", "in_path", "path_test", "path_config", "quoted", "surprise", "called", *(f"before{k}" for k in range(BEFORE)), *(f"after{k}" for k in range(AFTER)))
+FEATURES = ("length", "digits", "upper", "lower", "marks", "transitions", "entropy", "coverage", "longest_letters", "longest_digits", "assigned", "hint", "other", "in_path", "path_test", "path_config", "quoted", "surprise", "called", "prefix", *(f"before{k}" for k in range(BEFORE)), *(f"after{k}" for k in range(AFTER)))
 #: Kinds of characters of the transition model: a to z, digits, all others.
 KINDS = np.full(256, 27)
 KINDS[97:123], KINDS[65:91], KINDS[48:58] = np.arange(26), np.arange(26), 26
@@ -90,7 +90,7 @@ def covered(candidate: str, words: frozenset[str]) -> int:
     return total
 
 
-def measure(candidate: str, before: str, after: str, path: str, assigned: bool, corpus: Corpus) -> list[float]:
+def measure(candidate: str, before: str, after: str, path: str, form: str, corpus: Corpus) -> list[float]:
     """FEATURES of a candidate between the texts before and after it."""
     n = len(candidate)
     kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "m" for c in candidate)
@@ -104,10 +104,10 @@ def measure(candidate: str, before: str, after: str, path: str, assigned: bool,
     longest = lambda k: max((len(m) for m in re.findall(k, kinds)), default=0)
     return [float(x) for x in (
         n, kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("m") / n, sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
-        -sum(c / n * math.log2(c / n) for c in count.values()), covered(candidate[:200], corpus.words) / min(n, 200), longest("[ul]+"), longest("d+"), assigned,
+        -sum(c / n * math.log2(c / n) for c in count.values()), covered(candidate[:200], corpus.words) / min(n, 200), longest("[ul]+"), longest("d+"), form in ("assigned", "address", "option"),
         any(h in near for h in HINTS), any(h in near for h in OTHERS), before[-1:] in ("/", "\\") or after[:1] in ("/", "\\") or "://" in before[-24:] or candidate.count("/") > 1,
         bool(re.search(r"test|example|doc|sample", path, re.I)), bool(re.search(r"conf|env|secret|key|\.ya?ml|\.ini", path, re.I)), before[-1:] in "\"'" and before[-1:] != "" and after[:1] in ("\"", "'"),
-        corpus.surprise(candidate[:200]), after[:1] == "(" or candidate.startswith("$"), *beside,
+        corpus.surprise(candidate[:200]), after[:1] == "(" or candidate.startswith("$"), form == "prefix", *beside,
     )]
 
 
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, path: str = "source", corpus: Corpus | None = None) ->
                     g = m.lastindex
                     a, b = m.span(g)
                     before, after = t[max(0, a - 64) : a], t[b : b + 32]
-                    for c, v in zip(out, (i, a, b, FORMS[g - 1], m[g], before, after, p, measure(m[g], before, after, p or "", g in (1, 4, 5), known))):
+                    for c, v in zip(out, (i, a, b, FORMS[g - 1], m[g], before, after, p, measure(m[g], before, after, p or "", FORMS[g - 1], known))):
                         c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "stop", "form", "candidate", "before", "after", "path", "features"])
