@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id among keys.
 NO_ID = -(2**63)
+#: Spark's setting that removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of rows a task puts out until it gives freed memory back.
 TRIM = 1 << 23
 
@@ -32,9 +34,15 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing. The
+    shuffle files of the write go as soon as it is done; else they stay until the driver's next garbage collection."""
+    path, conf = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["stored_at"] = path
     return out

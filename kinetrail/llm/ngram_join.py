@@ -12,6 +12,7 @@ leaves a subtree as soon as what remains of the two can't reach it. Candidates t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,12 @@ CHUNK = 48 << 20
 MOST = 400
 #: Names a task remembers; what it forgets costs only shuffling.
 REMEMBERED = 1_000_000
+#: Columns that a signature's keys are dealt to, by their last bits: as many slices at most, so this is a power of 2.
+LANES = 8
+#: Keys of a slice, about: what is shuffled at a time.
+SLICE = 32_000_000
+#: Rows of names that are sent to every task.
+SENT = 100_000
 #: Up to this size a fourth of a set must be shared within signatures, so that a line many documents share ties no short ones.
 SHORT = 160
 
@@ -239,6 +246,15 @@ class Tree(Block):
         self.at.append(node)
 
 
+def dealt(keys: np.ndarray) -> list[bytes]:
+    """The keys of each lane."""
+    lane = (keys & np.uint64(LANES - 1)).astype(np.int64)
+    order = np.argsort(lane, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=LANES))]).tolist()
+    keys = keys[order]
+    return [keys[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
 class Prefixes:
     """Keys of a set: the n-grams of its signature; sets are compared in a prefix tree."""
 
@@ -265,11 +281,12 @@ def _pivots(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in forest.edges()], names=["p", "root"])
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST, method: Prefixes | None = None) -> DataFrame:
+def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST, method: Prefixes | None = None, slice_keys: int = SLICE, sent: int = SENT) -> DataFrame:
     """(_id, _th, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
     lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words: the whole sequence as one) and the smallest _id that links
     lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long, which
     names a component only where all its ids are null; _th is a hash of the text. method: how sets are keyed and compared.
+    slice_keys: keys that are shuffled at a time, as far as LANES slices reach; sent: rows of names sent to every task at a time.
 
     Null text or no words: empty set, linked with nothing. Rows that repeat or share a doc_id: one row each; equal sets
     are one set. Empty table: no rows. Very long texts: one set at a time is held. Other columns are left out.
@@ -277,6 +294,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     spark = docs.sparkSession
     method = method or Prefixes(percent)
     slim = keyed(docs).select("_id", "_th", "text")
+    lanes = [f"part{k}" for k in range(LANES)]
 
     @frugal
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +304,18 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
             if len(seen) > REMEMBERED:
                 seen.clear()
             for a, b, w in words(batch.column("text"), SPACED, lower=True):
-                size, sids, parts = [], [], []
+                size, sids, count, parts = [], [], [], []
                 for s in hashed_sets(w, n):
                     sid = set_id(s) if len(s) else None
                     size.append(len(s))
                     sids.append(sid)
                     new = sid is not None and sid not in seen
                     seen.add(sid)
-                    parts.append(method.keys(s).tobytes() if new else None)
-                cols = [ids.slice(a, b - a), ths.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["_id", "_th", "n", "sid", "part"])
+                    keys = method.keys(s) if new else None
+                    count.append(len(keys) if new else None)
+                    parts.append(dealt(keys) if new else [None] * LANES)
+                cols = [ids.slice(a, b - a), ths.slice(a, b - a), pa.array(size, pa.int32()), pa.array(sids, pa.int64()), pa.array(count, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, pa.binary()) for c in zip(*parts))], ["_id", "_th", "n", "sid", "n_keys", *lanes])
 
     @frugal
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +328,24 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                     pa.array(np.frombuffer(b"".join(parts), np.int64)), pa.array(np.repeat(some.column("sid").to_numpy(), sizes)), pa.array(np.repeat(some.column("n").to_numpy(), sizes))
                 ], ["key", "sid", "n"])
 
-    named = stored(slim.mapInArrow(names, "_id long, _th long, n int, sid long, part binary"), "sets")
-    signed = named.filter("part is not null").select("part", "sid", "n").mapInArrow(opened, "key long, sid long, n int")
-    named = named.drop("part")
-    shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
+    parted = stored(slim.mapInArrow(names, "_id long, _th long, n int, sid long, n_keys int, " + ", ".join(f"{c} binary" for c in lanes)), "parts")
+    named = stored(parted.select("_id", "_th", "n", "sid"), "sets")
     least_level = method.least(F.col("n"))
-    lists = signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "key"))).alias("keys"))
-    rare = lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
+    # one slice of the keys after the other, so that the disk holds the shuffles of one
+    slices, total = 1, parted.agg(F.sum("n_keys")).first()[0] or 0
+    while slices < LANES and total > slices * slice_keys:
+        slices *= 2
+    lists = []
+    for k in range(slices):
+        signed = parted.filter("n_keys is not null").select(F.concat(*lanes[k::slices]).alias("part"), "sid", "n").mapInArrow(opened, "key long, sid long, n int")
+        shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
+        lists.append(stored(signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "key")).alias("keys")), "lists"))
+        discard(shared)
+    discard(parted)
+    whole_lists = reduce(DataFrame.union, lists).groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"))
+    rare = whole_lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
     rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
-    discard(shared)
+    discard(*lists)
 
     @frugal
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +379,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     discard(ties)
 
     # the whole sets of candidates, from one document of each
-    one = named.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("_id", "_th")).alias("row")).select("sid", "row.*").join(blocks, "sid")
+    one = stored(named.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("_id", "_th")).alias("row")).select("sid", "row.*").join(blocks, "sid"), "ones")
 
     @frugal
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +391,17 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                 cols = [blocks.take(pa.array([a + d for d in ok], pa.int64())), pa.array([sids[a + d] for d in ok], pa.int64()), pa.array([sets[d].tobytes() for d in ok], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["block", "sid", "items"])
 
-    picked = slim.join(one, ["_id", "_th"]).select("text", "sid", "block")
-    sets = stored(picked.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare.drop("ties"), "sid"), "whole")
-    discard(rare, blocks)
+    # the texts stay where they are as long as a slice of the names can be sent to them; else they are shuffled slice by slice
+    rows = one.count()
+    turns = max(1, min(LANES, -(-rows // sent)))
+    turn = F.pmod(F.xxhash64("_id", "_th", F.lit(5)), F.lit(turns))
+    picked = []
+    for k in range(turns):
+        mine = one.filter(turn == k)
+        found = slim.filter(turn == k).join(F.broadcast(mine) if rows <= sent * turns else mine, ["_id", "_th"]).select("text", "sid", "block")
+        picked.append(stored(found.mapInArrow(whole, "block long, sid long, items binary").dropDuplicates(["sid"]).join(rare.drop("ties"), "sid"), "whole"))
+    sets = reduce(DataFrame.union, picked)
+    discard(rare, blocks, one)
 
     @frugal
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,7 +473,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     rows = stored(named.join(labels, "sid", "left").withColumn("group", group).select("_id", "_th", "n", "group"), "grouped")
     known = F.when(F.col("_id") != F.lit(NO_ID), F.col("_id"))
     least = stored(rows.filter("group is not null").groupBy("group").agg(F.min(known).alias("least")), "least")
-    discard(named, sets, small)
+    discard(named, small, *picked)
     return rows.join(least, "group", "left").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
 
 
@@ -455,7 +492,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CH
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with the columns it came with, only the rows whose doc_id is the smallest of its group; rows of a group that
     share that doc_id stay together, and so do those of a group without any doc_id."""
-    found = linked(docs, n, percent).filter("_id = component").select("_id", "_th").distinct()
-    a, b = fresh(docs, "kept_id", "kept_text")
+    found = linked(docs, n, percent).filter("_id <> component").select("_id", "_th").distinct()
+    a, b = fresh(docs, "other_id", "other_text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(found.select(F.col("_id").alias(a), F.col("_th").alias(b)), (key == F.col(a)) & (F.xxhash64("text") == F.col(b)), "left_semi")
+    others = stored(found.select(F.col("_id").alias(a), F.col("_th").alias(b)), "others")
+    # those that go are few as a rule: sent to the texts, they leave them where they are
+    return docs.join(F.broadcast(others) if others.count() <= SENT else others, (key == F.col(a)) & (F.xxhash64("text") == F.col(b)), "left_anti")
