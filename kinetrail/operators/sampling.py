@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +69,11 @@ def cap_rows(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
 
 def upsample(labels: DataFrame, by: str, key: str, ratio: float) -> DataFrame:
     """labels (by, key, y) with rows of y = true repeated until their share is ratio (as they are, where it is there
-    already): each equally often, those with the smallest md5 of key once more. Rows without a y stay as they are."""
+    already): each equally often, those with the smallest md5 of key once more. Rows without a y stay as they are. ratio
+    is taken as the decimal number it is written as: a share of 0.3 of 77 rows is 23.1, not a double short of it."""
     counted = class_weights(labels, by).select(F.col(by).alias("_by"), "pos", "neg")
-    want = F.ceil(ratio * F.col("neg") / (1 - ratio))
+    share_of = Decimal(str(ratio))
+    want = F.ceil((F.lit(share_of) * F.col("neg")).cast("double") / F.lit(float(1 - share_of)))
     pos = F.nullif(F.col("pos"), F.lit(0))
     grows = want > F.col("pos")
     share = counted.select("_by", F.when(grows, F.floor(want / pos)).otherwise(1).alias("_each"), F.when(grows, want % pos).otherwise(0).alias("_more"))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,15 @@ def test_resampling_of_one_class_and_null_groups(spark):
     assert sum(r.held_out for r in sampling.hold_out(df.limit(3), "id", 0.1).collect()) == 1 and sampling.hold_out(df.limit(0), "id").count() == 0
 
 
+def test_upsampling_takes_its_share_as_a_decimal(spark):
+    """As SQL does: ceil(0.3 * n / (1 - 0.3)); a double 0.3 is one off at these counts."""
+    rows = [(n, i, i >= n) for n in (77, 119, 154, 189, 238) for i in range(n + 1)]
+    df = spark.createDataFrame(rows, "g int, id long, y boolean")
+    got = {r["g"]: r["count"] for r in sampling.upsample(df, "g", "id", 0.3).filter("y").groupBy("g").count().collect()}
+    con = duckdb.connect()
+    assert got == {n: int(con.sql(f"SELECT CEIL(0.3 * {n} / (1 - 0.3))").fetchall()[0][0]) for n in got} and len(got) == 5
+
+
 def test_odd_labels_and_ids(spark):
     df = spark.createDataFrame([(1, '["mouse1,self,Dig", "\'mouse2\',rear"]'), (2, None), (3, "no list")], "id int, j string")
     assert sorted((r.id, r.agent, r.target, r.action) for r in labels.listed(df, "j", "id").collect()) == [(1, "mouse1", "self", "dig"), (1, "mouse2", "rear", None)]
