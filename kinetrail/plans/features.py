@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions import geometry as G
 from kinetrail.functions.decay import ewm
-from kinetrail.functions.windows import correlation, ordered, roll
+from kinetrail.functions.windows import ordered, roll
 from kinetrail.operators import labels, sampling, scoring
+from kinetrail.operators.pairing import rolling_correlations
 from kinetrail.plans.catalog import FRAMES, OVER, PLAIN, POSES, SCORED, SEGMENTS, TRACKS, _halves, register, rounded
 from kinetrail.sources.tables import poses, segments, tracks
 
@@ -108,11 +109,7 @@ def body_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pair_speed_correlation", f"""WITH {STEPS}, b AS (SELECT a.seq AS agent, c.seq AS target, a.frame, CASE WHEN c.s IS NOT NULL THEN a.s END AS q, CASE WHEN a.s IS NOT NULL THEN c.s END AS r FROM v a JOIN v c ON a.frame = c.frame AND a.seq <> c.seq)
   SELECT agent, target, frame, ROUND(CASE WHEN COUNT(q) OVER w >= 10 AND STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w > 0 THEN COVAR_SAMP(q, r) OVER w / (STDDEV_SAMP(q) OVER w * STDDEV_SAMP(r) OVER w) END, 4) AS r FROM b WINDOW w AS (PARTITION BY agent, target ORDER BY frame ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def pair_speed_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _steps(spark, sf_dir)
-    a = v.select(F.col("seq").alias("agent"), "frame", "s")
-    b = v.select(F.col("seq").alias("target"), "frame", F.col("s").alias("r"))
-    pairs = a.join(b, "frame").filter("agent <> target").withColumn("pair", F.struct("agent", "target"))
-    return pairs.select("agent", "target", "frame", rounded(correlation(F.col("s"), F.col("r"), 60, 10, "pair")).alias("r"))
+    return rolling_correlations(_steps(spark, sf_dir).select("seq", "frame", "s"), 60, 10).withColumn("r", rounded(F.col("r")))
 
 
 @register("smooth_scores", f"WITH {TRACKS} SELECT seq, frame, ROUND(AVG(k / 100.0) OVER ({OVER} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS prob FROM tracks")

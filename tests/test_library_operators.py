@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetrail.functions.windows import by_rate
 from kinetrail.operators import intervals, labels, models, sampling, scoring
-from kinetrail.operators.pairing import directed
+from kinetrail.operators.pairing import directed, rolling_correlations
 from kinetrail.plans.catalog import ORACLES, QUERIES
 from kinetrail.sources import recordings as R
 
@@ -80,6 +80,29 @@ def test_upsampling_takes_its_share_as_a_decimal(spark):
     assert got == {n: int(con.sql(f"SELECT CEIL(0.3 * {n} / (1 - 0.3))").fetchall()[0][0]) for n in got} and len(got) == 5
 
 
+@pytest.mark.parametrize("block", [7, 8, 1000])
+def test_correlations_across_blocks(spark, block):
+    """Sequences of different lengths, one constant, one with gaps in its values; windows reach over the edges of blocks."""
+    rng, rows = np.random.default_rng(3), []
+    for seq, n in enumerate((40, 33, 25, 40)):
+        rows += [(seq, i, None if seq == 1 and i % 3 == 0 else 0.1 if seq == 2 else float(rng.normal())) for i in range(n)]
+    s = {(q, i): np.nan if v is None else v for q, i, v in rows}
+    df = spark.createDataFrame(rows, "seq long, frame long, s double").repartition(5)
+    got = {(r.agent, r.target, r.frame): r.r for r in rolling_correlations(df, 7, 3, block).collect()}
+    assert set(got) == {(a, b, i) for a, i in s for b in range(4) if b != a and (b, i) in s}
+    for (a, b, i), r in got.items():
+        x, y = (np.array([s[q, j] for j in range(max(0, i - 6), i + 1)]) for q in (a, b))
+        ok = ~np.isnan(x) & ~np.isnan(y)
+        want = np.corrcoef(x[ok], y[ok])[0, 1] if ok.sum() >= 3 and 2 not in (a, b) else None
+        assert (r is None and want is None) or r == pytest.approx(want, abs=1e-9)
+
+
+def test_pairs_share_one_exchange(spark):
+    """No join of frames with frames and no window over pairs."""
+    plan = QUERIES["pair_speed_correlation"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_odd_labels_and_ids(spark):
     df = spark.createDataFrame([(1, '["mouse1,self,Dig", "\'mouse2\',rear"]'), (2, None), (3, "no list")], "id int, j string")
     assert sorted((r.id, r.agent, r.target, r.action) for r in labels.listed(df, "j", "id").collect()) == [(1, "mouse1", "self", "dig"), (1, "mouse2", "rear", None)]
