@@ -29,6 +29,20 @@ def test_only_missing_tells():
     assert p[y].min() > 0.8 and p[~y].max() < 0.2
 
 
+def test_all_rows_count(spark):
+    """No bound by default; the trees are those of all rows, fitted one by one."""
+    assert Settings().most is None
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 500, 3000) / 7, np.where(rng.random(3000) < 0.1, np.nan, rng.normal(size=3000))
+    y = u + np.nan_to_num(v) * 20 > 45
+    rows = [("a", i, bool(y[i]), float(u[i]), float(v[i])) for i in range(3000)]
+    s = Settings(trees=3, depth=3, ratio=None)
+    m = fit_all(spark.createDataFrame(rows, "k string, id long, y boolean, u double, v double").repartition(7), ["k"], ["u", "v"], "id", s).collect()[0]
+    assert (m["used_pos"], m["used_neg"]) == (y.sum(), (~y).sum())
+    x = np.stack([u, v], axis=1)
+    assert np.allclose(probability(trees_of(m["nodes"]), x), probability(fit(x, y, s), x), atol=1e-9)
+
+
 def test_odd_columns():
     rng = np.random.default_rng(1)
     x = np.stack([np.full(200, np.nan), np.full(200, 7.0), rng.integers(0, 2, 200).astype(float)], axis=1)
