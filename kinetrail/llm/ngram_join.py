@@ -7,6 +7,10 @@ first of those tie candidates together into blocks; frequent passages don't, as
 sets stand in a prefix tree: a set walks the branches that lead to its candidates, those that share
 enough of their signatures with it for what remains to reach the bound, sharing the overlap with common beginnings, and
 leaves a subtree as soon as what remains of the two can't reach it. Candidates that links have already put in the set's own group are passed over.
+
+A block too large for one tree is cut first: similar sets share percent of the n-grams of each, so a set that shares fewer with
+all others of large blocks has no partner, and the rest are tied anew by the rarest of their whole sets. What is still too large
+is compared by chunks.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrail.llm.common import NO_ID, discard, fresh, frugal, keyed, parallelism, stored
-from kinetrail.llm.groups import Forest, components
+from kinetrail.llm.groups import Forest, components, contracted
 from kinetrail.llm.words import SPACED, Words, mix, ranges, words
 
 #: Bytes of sets that one prefix tree holds; a larger block is compared chunk by chunk.
@@ -35,6 +39,8 @@ LANES = 8
 SLICE = 32_000_000
 #: Rows of names that are sent to every task.
 SENT = 100_000
+#: Bytes of sets that meet in the chunks of large blocks at a time, or four times those blocks, if that is more.
+MET = 1 << 28
 #: Up to this size a fourth of a set must be shared within signatures, so that a line many documents share ties no short ones.
 SHORT = 160
 
@@ -109,17 +115,18 @@ class Block:
             self.up[max(a, b)] = min(a, b)
             self.hub[min(a, b)] = one if self.links[one] >= self.links[two] else two
 
-    def add(self, s: np.ndarray, keys: list[int], like: int = -1) -> int:
+    def add(self, s: np.ndarray, keys: list[int], like: int = -1, compare: bool = True, keep: bool = True) -> int:
         """Adds a set and links it with the earlier ones; keys: the shared keys of its signature; like: a set known to
-        be in its group."""
+        be in its group. compare: whether it is linked; keep: whether later ones are linked with it, and if not, none of
+        those is kept."""
         me, size = len(self.sets), len(s)
-        near = self._candidates(size, keys)
+        near = self._candidates(size, keys) if compare else []
         self.sets.append(s)
         if me == len(self.sizes):
             self.sizes = np.resize(self.sizes, 2 * me)
         self.sizes[me] = size
         self.up.append(me)
-        self.links.append(0)
+        self.links.append(0 if keep else -1)  # so that a kept set stands for the group
         self._remember(me)
         if like >= 0:
             self.union(me, like)
@@ -129,6 +136,8 @@ class Block:
             mine = self.find(me)
             if left := {x: None for x in near if self.find(x) != mine}:
                 self._walk(me, left)
+        if not keep:
+            return me
         self._insert(me)
         for k in keys:
             held = self.by_key.get(k)
@@ -281,12 +290,26 @@ def _pivots(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in forest.edges()], names=["p", "root"])
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST, method: Prefixes | None = None, slice_keys: int = SLICE, sent: int = SENT) -> DataFrame:
+def meetings(rest: DataFrame, turns: int, k: int) -> DataFrame:
+    """What meets in turn k of `turns`: each query chunk (sets outside the main group, `asks`) of a block, numbered `ask`, and
+    every chunk `to` of the block. rest: sets (block, sid, label, items, keys, weight) with their chunk q of c, the block's main
+    label and its number r of query chunks. A query chunk and the block it meets belong to one turn."""
+    wide = ["block", "ask", "to", "sid", "label", "asks", "items", "keys", "weight"]
+    first = F.pmod(F.pmod(F.xxhash64("block"), F.lit(turns)) + k, F.lit(turns))  # of the block's query chunks in this turn
+    asks = rest.filter("label <> main").withColumn("ask", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("r"))).filter(F.pmod("ask", F.lit(turns)) == first)
+    told = rest.withColumn("ask", F.explode(F.when(first < F.col("r"), F.sequence(first, F.col("r") - 1, F.lit(turns).cast("long")))))
+    return asks.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("asks", F.lit(True)).select(*wide).union(told.withColumn("to", F.col("q")).withColumn("asks", F.lit(False)).select(*wide))
+
+
+def linked(
+    docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, most: int = MOST, method: Prefixes | None = None, slice_keys: int = SLICE, sent: int = SENT, met: int = MET
+) -> DataFrame:
     """(_id, _th, n_shingles, component) of each row of docs (doc_id, text): the size of its set of word n-grams (A-Z
     lower-cased, words `[^\\x20\\x09-\\x0D]+`; fewer words: the whole sequence as one) and the smallest _id that links
     lead to. Two sets are linked if 100 * intersection >= percent * union. _id is doc_id, null as the smallest long, which
     names a component only where all its ids are null; _th is a hash of the text. method: how sets are keyed and compared.
-    slice_keys: keys that are shuffled at a time, as far as LANES slices reach; sent: rows of names sent to every task at a time.
+    slice_keys: keys that are shuffled at a time, as far as LANES slices reach; sent: rows of names sent to every task at a time;
+    met: bytes of sets that meet in the chunks of large blocks at a time.
 
     Null text or no words: empty set, linked with nothing. Rows that repeat or share a doc_id: one row each; equal sets
     are one set. Empty table: no rows. Very long texts: one set at a time is held. Other columns are left out.
@@ -330,22 +353,35 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
 
     parted = stored(slim.mapInArrow(names, "_id long, _th long, n int, sid long, n_keys int, " + ", ".join(f"{c} binary" for c in lanes)), "parts")
     named = stored(parted.select("_id", "_th", "n", "sid"), "sets")
-    least_level = method.least(F.col("n"))
-    # one slice of the keys after the other, so that the disk holds the shuffles of one
-    slices, total = 1, parted.agg(F.sum("n_keys")).first()[0] or 0
-    while slices < LANES and total > slices * slice_keys:
-        slices *= 2
-    lists = []
-    for k in range(slices):
-        signed = parted.filter("n_keys is not null").select(F.concat(*lanes[k::slices]).alias("part"), "sid", "n").mapInArrow(opened, "key long, sid long, n int")
+
+    def slices(total: int) -> int:
+        """How many slices keys are shuffled in, one after the other, so that the disk holds the shuffles of one."""
+        out = 1
+        while out < LANES and total > out * slice_keys:
+            out *= 2
+        return out
+
+    def listed(signed: DataFrame) -> DataFrame:
+        """(sid, n, keys) of (key, sid, n): the keys that other sets have too, with how many have them."""
         shared = stored(signed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.count("*").alias("df")).filter("a <> b").select("key", "df"), "keys")
-        lists.append(stored(signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "key")).alias("keys")), "lists"))
+        out = stored(signed.join(shared, "key").groupBy("sid").agg(F.first("n").alias("n"), F.collect_set(F.struct("df", "key")).alias("keys")), "lists")
         discard(shared)
+        return out
+
+    def rarest(lists: list[DataFrame], least: Column) -> DataFrame:
+        """(sid, keys, ties, weight) of the sets that share at least `least` keys: the keys, rarest first, those of them that
+        tie, and how often all occur."""
+        whole_lists = reduce(DataFrame.union, lists).groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"))
+        rare = whole_lists.filter(F.size("keys") >= least).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
+        rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
+        discard(*lists)
+        return rare
+
+    lists, turns = [], slices(parted.agg(F.sum("n_keys")).first()[0] or 0)
+    for k in range(turns):
+        lists.append(listed(parted.filter("n_keys is not null").select(F.concat(*lanes[k::turns]).alias("part"), "sid", "n").mapInArrow(opened, "key long, sid long, n int")))
     discard(parted)
-    whole_lists = reduce(DataFrame.union, lists).groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.flatten(F.collect_list("keys"))).alias("keys"))
-    rare = whole_lists.filter(F.size("keys") >= least_level).select("sid", F.expr("transform(keys, x -> x.key)").alias("keys"), least_level.alias("least"), F.expr("aggregate(keys, 0L, (total, x) -> total + x.df)").alias("weight"))
-    rare = stored(rare.select("sid", "keys", F.slice("keys", F.lit(1), F.size("keys") - F.col("least") + 1).alias("ties"), "weight"), "candidates")
-    discard(*lists)
+    rare = rarest(lists, method.least(F.col("n")))
 
     @frugal
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,13 +406,18 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                 forest, of = Forest(), {}
         yield from told()
 
-    ties = stored(rare.select("sid", "ties").mapInArrow(tie, "key long, a long, b long"), "ties")
-    by_key = ties.filter("key is not null").select("key", F.col("a").alias("x")).distinct()
-    centres = by_key.groupBy("key").agg(F.min("x").alias("m"), F.max("x").alias("z")).filter("m <> z").select("key", "m")
-    across = by_key.join(centres, "key").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
-    blocks = components(ties.filter("key is null").select("a", "b").union(across))
-    blocks = stored(blocks.select(F.col("node").alias("sid"), F.col("label").alias("block")), "blocks")
-    discard(ties)
+    def tied(rare: DataFrame) -> DataFrame:
+        """(sid, block) of the sets that share a tying key with another one."""
+        ties = stored(rare.select("sid", "ties").mapInArrow(tie, "key long, a long, b long"), "ties")
+        by_key = ties.filter("key is not null").select("key", F.col("a").alias("x")).distinct()
+        centres = by_key.groupBy("key").agg(F.min("x").alias("m"), F.max("x").alias("z")).filter("m <> z").select("key", "m")
+        across = by_key.join(centres, "key").filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b"))
+        found = components(ties.filter("key is null").select("a", "b").union(across))
+        found = stored(found.select(F.col("node").alias("sid"), F.col("label").alias("block")), "blocks")
+        discard(ties)
+        return found
+
+    blocks = tied(rare)
 
     # the whole sets of candidates, from one document of each
     one = stored(named.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("_id", "_th")).alias("row")).select("sid", "row.*").join(blocks, "sid"), "ones")
@@ -406,7 +447,8 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
     @frugal
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets in the order of their group, those that share most first; one tree a group. Yields each set and the one
-        that stands for those it is linked to; of sets with a label, only the pairs of labels that links joined."""
+        that stands for those it is linked to; of sets with a label, only the pairs of labels that links joined. Those that
+        ask (pivot) come after those of a chunk, which have met before."""
 
         def settle(group: int, block: int, tree: Block, sids: list[int], labels: list, pivots: list[bool]) -> pa.RecordBatch:
             roots = [tree.find(i) for i in range(len(sids))]
@@ -424,7 +466,7 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
                     if sids:
                         yield settle(group, block, tree, sids, labels, pivots)
                     group, block, tree, sids, labels, pivots, first = g, in_block, method.block(), [], [], [], {}
-                me = tree.add(np.frombuffer(items, np.uint64), keys, first.get(label, -1) if label is not None else -1)
+                me = tree.add(np.frombuffer(items, np.uint64), keys, first.get(label, -1) if label is not None else -1, label is None or pivot, label is None or not pivot)
                 sids.append(sid)
                 labels.append(label)
                 pivots.append(pivot)
@@ -435,18 +477,39 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
 
     def joined(rows: DataFrame) -> DataFrame:
         parts = parallelism(spark)
-        return rows.repartition(parts, "g").sortWithinPartitions("g", F.desc("weight"), "sid").select("g", "block", "sid", "label", "pivot", "items", "keys").mapInArrow(join, "g long, block long, b long, a long, pivot boolean")
+        return rows.repartition(parts, "g").sortWithinPartitions("g", F.col("label").isNotNull() & F.col("pivot"), F.desc("weight"), "sid").select("g", "block", "sid", "label", "pivot", "items", "keys").mapInArrow(join, "g long, block long, b long, a long, pivot boolean")
 
-    sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
-    over = (F.col("bytes") > chunk) | (F.col("size") > most)
-    none, no = F.lit(None).cast("long").alias("label"), F.lit(False).alias("pivot")
-    small = stored(joined(sets.join(sizes.filter(~over), "block").select(F.xxhash64("block").alias("g"), "block", "sid", none, no, "items", "keys", "weight")), "links")
-    labels = small.select(F.col("b").alias("sid"), F.col("a").alias("label"))
+    def oversized(sets: DataFrame) -> DataFrame:
+        """(block, size, bytes) of the blocks that one tree doesn't hold: few, as each has many sets or many bytes."""
+        sizes = sets.groupBy("block").agg(F.count("*").alias("size"), F.sum(F.length("items")).alias("bytes"))
+        return stored(sizes.filter((F.col("bytes") > chunk) | (F.col("size") > most)), "over")
+
+    def by_block(sets: DataFrame) -> DataFrame:
+        return stored(joined(sets.select(F.xxhash64("block").alias("g"), "block", "sid", none, no, "items", "keys", "weight")), "links")
 
-    if sizes.filter(over).limit(1).count():
-        # Large blocks: chunks by hash, each with the same few pivots, which tie the groups of the chunks together; then the
-        # sets outside the largest group so far against all chunks, so that no pair of sets in different groups is left out.
-        large = stored(sets.join(sizes.filter(over), "block").withColumn("c", F.ceil(2 * F.greatest(F.col("bytes") / chunk, F.col("size") / most)).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
+    none, no = F.lit(None).cast("long").alias("label"), F.lit(False).alias("pivot")
+    over = oversized(sets)
+    small = [by_block(sets.join(F.broadcast(over), "block", "left_anti"))]
+
+    if large_bytes := over.agg(F.sum("bytes")).first()[0]:
+        # Large blocks, as common passages make them: tied anew by the n-grams of whole sets, of which similar ones share most.
+        wide = sets.join(F.broadcast(over.select("block")), "block")
+        lists, turns = [], slices(large_bytes // 8)
+        for k in range(turns):
+            items = wide.select(F.col("items").alias("part"), "sid", (F.length("items") / 8).cast("int").alias("n")).mapInArrow(opened, "key long, sid long, n int")
+            lists.append(listed(items.filter(F.pmod("key", F.lit(turns)) == k)))
+        rarer = rarest(lists, F.ceil(F.col("n") * percent / 100).cast("int"))
+        parts = tied(rarer)
+        cut = stored(wide.join(parts.withColumnRenamed("block", "part"), "sid").withColumn("block", F.xxhash64("block", "part")).drop("part"), "cut")
+        discard(rarer, parts, over, *picked)
+        over, picked = oversized(cut), [cut]
+        small.append(by_block(cut.join(F.broadcast(over), "block", "left_anti")))
+    labels = reduce(DataFrame.union, small).select(F.col("b").alias("sid"), F.col("a").alias("label"))
+
+    if over.limit(1).count():
+        # Blocks that are still large: chunks by hash, each with the same few pivots, which tie the groups of the chunks together; then
+        # the sets outside the largest group so far against all chunks, so that no pair of sets in different groups is left out.
+        large = stored(cut.join(F.broadcast(over), "block").withColumn("c", F.ceil(2 * F.greatest(F.col("bytes") / chunk, F.col("size") / most)).cast("int")).withColumn("h", F.xxhash64("sid", F.lit(7))).withColumn("q", F.pmod("h", "c").cast("int")), "large")
         pivot = F.floor(F.pmod(F.col("h"), F.lit(2**40)) * F.col("size") / 2**40) < 64  # about 64 of a block
         spread = large.withColumn("pivot", pivot).withColumn("q", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("q"))))
         first = stored(joined(spread.select(F.xxhash64("block", "q").alias("g"), "block", "sid", none, "pivot", "items", "keys", "weight")), "links")
@@ -456,24 +519,27 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUNK, m
         heads = stored(held.join(roots, "p", "left").select("g", "a", F.coalesce("root", "p").alias("head")), "heads")
         groups = first.join(heads, ["g", "a"], "left").groupBy(F.col("b").alias("sid")).agg(F.min(F.coalesce("head", "a")).alias("label"))
         marked = stored(large.join(groups, "sid"), "marked")
-        count = marked.groupBy("block", "label").agg(F.count("*").alias("k"))
-        main = count.groupBy("block").agg(F.max(F.struct("k", "label")).alias("top")).select("block", F.col("top.label").alias("main"), F.col("top.k").alias("main_size"))
-        rest = marked.join(main, "block").withColumn("r", F.ceil(F.col("c") * (F.col("size") - F.col("main_size")) / F.col("size")).cast("int")).filter("r > 0")
-        # a query chunk (sets outside the main group) meets every chunk of the block
-        asks = rest.filter("label <> main").withColumn("ask", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("r")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-        told = rest.withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).withColumn("to", F.col("q"))
-        wide = ["block", "ask", "to", "sid", "label", "items", "keys", "weight"]
-        pairs = asks.select(*wide).union(told.select(*wide))
-        second = joined(pairs.select(F.xxhash64("block", "ask", "to").alias("g"), "block", "sid", "label", no, "items", "keys", "weight"))
-        final = stored(components(second.select("a", "b")).select(F.col("node").alias("label"), F.col("label").alias("final")), "final")
-        labels = labels.union(marked.select("sid", "label").join(final, "label", "left").select("sid", F.coalesce("final", "label")))
         discard(large, first, heads)
+        count = marked.groupBy("block", "label").agg(F.count("*").alias("k"))
+        main = stored(count.groupBy("block").agg(F.max(F.struct("k", "label")).alias("top")).select("block", F.col("top.label").alias("main"), F.col("top.k").alias("main_size")), "main")
+        rest = marked.join(F.broadcast(main), "block").withColumn("r", F.ceil(F.col("c") * (F.col("size") - F.col("main_size")) / F.col("size"))).filter("r > 0")
+        # each set of the main group meets r query chunks, the others c chunks besides: turn by turn, so that the disk holds the shuffle of one
+        width = F.length("items") + 8 * F.size("keys")
+        all_met, once = rest.agg(F.sum(width * (F.col("r") + F.when(F.col("label") != F.col("main"), F.col("c")).otherwise(0))), F.sum(width)).first()
+        turns = -(-(all_met or 0) // max(met, 4 * (once or 0)))
+        second = [stored(contracted(joined(meetings(rest, turns, k).select(F.xxhash64("block", "ask", "to").alias("g"), "block", "sid", "label", F.col("asks").alias("pivot"), "items", "keys", "weight")).select("a", "b")), "met") for k in range(turns)]
+        found = marked.select("sid", "label")
+        if second:
+            final = stored(components(reduce(DataFrame.union, second)).select(F.col("node").alias("label"), F.col("label").alias("final")), "final")
+            found = found.join(final, "label", "left").select("sid", F.coalesce("final", "label"))
+            discard(*second)
+        labels = labels.union(found)
 
     group = F.coalesce("label", "sid")
     rows = stored(named.join(labels, "sid", "left").withColumn("group", group).select("_id", "_th", "n", "group"), "grouped")
     known = F.when(F.col("_id") != F.lit(NO_ID), F.col("_id"))
     least = stored(rows.filter("group is not null").groupBy("group").agg(F.min(known).alias("least")), "least")
-    discard(named, small, *picked)
+    discard(named, over, *small, *picked)
     return rows.join(least, "group", "left").select("_id", "_th", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component"))
 
 

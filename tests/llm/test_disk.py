@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinetrail.llm import common
-from kinetrail.llm.ngram_join import linked, one_of_each, with_ids
+from kinetrail.llm import common, ngram_join
+from kinetrail.llm.ngram_join import linked, meetings, one_of_each, with_ids
 
 
 def shuffled(spark):
@@ -50,3 +50,40 @@ def test_the_pipeline_keeps_one_stage(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
     assert [n - before for n in held] == [0, 1, 1, 1, 1]
+
+
+def test_a_common_passage_makes_no_large_block(spark, monkeypatch):
+    r, names = random.Random(5), []
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " x") for i in range(0, 12, 2)]
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (names.append(name), common.stored(df, name))[1])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in with_ids(linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=8)).collect()}
+    assert got == brute.components(rows) and len({c for _, c in got.values()}) == 60
+    assert names.count("blocks") == 2 and "large" not in names
+
+
+def test_large_blocks_meet_in_turns(spark, monkeypatch):
+    r, names = random.Random(6), []
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in r.sample(range(60), r.randrange(2, 5)):
+            w[j] = f"z{r.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (names.append(name), common.stored(df, name))[1])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in with_ids(linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=8, met=1)).collect()}
+    assert got == brute.components(rows) and len({c for _, c in got.values()}) > 5
+    assert names.count("met") > 2
+
+
+def test_each_query_chunk_has_one_turn(spark):
+    rows = [(b, s, s % 3, 0, s % 4, 4, 3 + b) for b in (0, 1) for s in range(40)]
+    rest = spark.createDataFrame(rows, "block long, sid long, label long, main long, q int, c int, r long").selectExpr("*", "binary('') items", "array(1L) keys", "1L weight")
+    of = lambda turns: [[(x["block"], x["ask"], x["to"], x["sid"], x["asks"]) for x in meetings(rest, turns, k).collect()] for k in range(turns)]
+    whole, cut = of(1)[0], of(3)
+    assert sorted(x for turn in cut for x in turn) == sorted(whole) and all(cut)
+    assert [sum(not x[4] for x in whole), sum(x[4] for x in whole)] == [40 * 3 + 40 * 4, 2 * 26 * 4]
+    seen = [{x[:2] for x in turn} for turn in cut]
+    assert sum(map(len, seen)) == len(set().union(*seen)) == 7
