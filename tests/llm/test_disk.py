@@ -87,3 +87,13 @@ def test_each_query_chunk_has_one_turn(spark):
     assert [sum(not x[4] for x in whole), sum(x[4] for x in whole)] == [40 * 3 + 40 * 4, 2 * 26 * 4]
     seen = [{x[:2] for x in turn} for turn in cut]
     assert sum(map(len, seen)) == len(set().union(*seen)) == 7
+
+
+def test_the_pipeline_cuts_a_large_block(spark, monkeypatch):
+    r, names = random.Random(7), []
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(20)), "en", "s", 1) for i in range(420)]
+    rows += [(1000 + i, rows[i][1] + " x", "en", "s", 1) for i in range(3)]
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: (names.append(name), common.stored(df, name))[1])
+    kept = corpus_pipeline.groups(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(420)) and "large" not in names
